@@ -1,10 +1,12 @@
 """The registered query of each operator and the SQL that gives the same rows, where SQL can."""
 
-from . import mixing
+from . import mixing, quality
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
+    "op6_rule_cascade": quality.query,
 }
 ORACLES = {
     "op1_poisson_mixing": mixing.ORACLE,
+    "op6_rule_cascade": quality.ORACLE,
 }

@@ -1,10 +1,11 @@
 """The registered query of each operator and the SQL that gives the same rows, where SQL can."""
 
-from . import mixing, quality
+from . import mixing, quality, token_files
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
     "op6_rule_cascade": quality.query,
+    "op7_plane_token_files": token_files.query,
 }
 ORACLES = {
     "op1_poisson_mixing": mixing.ORACLE,

@@ -1,12 +1,13 @@
 """The registered query of each operator and the SQL that gives the same rows, where SQL can."""
 
-from . import mixing, packing, quality, token_files
+from . import language, mixing, packing, quality, token_files
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
     "op2_pattern_packing": packing.query,
     "op6_rule_cascade": quality.query,
     "op7_plane_token_files": token_files.query,
+    "op9_language_crf": language.query,
 }
 ORACLES = {
     "op1_poisson_mixing": mixing.ORACLE,

@@ -1,6 +1,6 @@
 """The registered query of each operator and the SQL that gives the same rows, where SQL can."""
 
-from . import language, mixing, packing, quality, token_files
+from . import language, mixing, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_rule_cascade": quality.query,
     "op7_plane_token_files": token_files.query,
     "op9_language_crf": language.query,
+    "op10_lexicon_toxicity": toxicity.query,
 }
 ORACLES = {
     "op1_poisson_mixing": mixing.ORACLE,

@@ -154,20 +154,19 @@ class EliasFano:
             return out
         x = x.astype(np.uint64)
         high, low = x >> np.uint64(self.bits), x & np.uint64((1 << self.bits) - 1)
-        bit = self._starts(high)
-        at = bit - high.astype(np.int64)
-        live = np.flatnonzero((bit < 64 * len(self.high)) & (at < self.n))
-        while len(live):
-            b = bit[live]
-            one = (self.high[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
-            live = live[one]
-            value = self._low(at[live])
-            hit = value == low[live]
-            out[live[hit]] = at[live[hit]]
-            live = live[value < low[live]]
-            bit[live] += 1
-            at[live] += 1
-            live = live[(bit[live] < 64 * len(self.high)) & (at[live] < self.n)]
+        lo = np.minimum(self._starts(high) - high.astype(np.int64), self.n)
+        hi = np.minimum(self._starts(high + np.uint64(1)) - high.astype(np.int64) - 1, self.n)
+        live = np.flatnonzero(lo < hi)
+        while len(live):  # binary search among the low bits of one high part
+            middle = (lo[live] + hi[live]) >> 1
+            value = self._low(middle)
+            want = low[live]
+            hit = value == want
+            out[live[hit]] = middle[hit]
+            less = value < want
+            lo[live] = np.where(less, middle + 1, lo[live])
+            hi[live] = np.where(less, hi[live], middle)
+            live = live[~hit & (lo[live] < hi[live])]
         return out
 
     def get(self, at: np.ndarray) -> np.ndarray:
@@ -191,6 +190,7 @@ def dump(arrays: list[np.ndarray]) -> list[bytes]:
 
 
 def load(raw: np.ndarray) -> list[np.ndarray]:
+    raw = raw.view(np.ndarray)
     n = int(raw[:8].view(np.uint64)[0])
     out, at = [], 8 + 16 * n
     for k in range(n):

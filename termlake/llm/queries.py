@@ -1,10 +1,11 @@
 """The registered query of each operator and the SQL that gives the same rows, where SQL can."""
 
-from . import language, mixing, packing, quality, token_files, toxicity
+from . import language, mixing, ngrams, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
     "op2_pattern_packing": packing.query,
+    "op5_elias_fano_ngrams": ngrams.query,
     "op6_rule_cascade": quality.query,
     "op7_plane_token_files": token_files.query,
     "op9_language_crf": language.query,

@@ -1,10 +1,11 @@
 """The registered query of each operator and the SQL that gives the same rows, where SQL can."""
 
-from . import language, mixing, ngrams, packing, pages, quality, token_files, toxicity
+from . import language, mixing, ngrams, packing, pages, quality, token_files, toxicity, vectors
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
     "op2_pattern_packing": packing.query,
+    "op3_anisotropic_search": vectors.query,
     "op4_consensus_paths": pages.query,
     "op5_elias_fano_ngrams": ngrams.query,
     "op6_rule_cascade": quality.query,

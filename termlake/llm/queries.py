@@ -1,6 +1,6 @@
 """The registered query of each operator and the SQL that gives the same rows, where SQL can."""
 
-from . import language, mixing, ngrams, packing, pages, quality, token_files, toxicity, vectors
+from . import language, mixing, ngrams, packing, pages, quality, shingles, token_files, toxicity, vectors
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_elias_fano_ngrams": ngrams.query,
     "op6_rule_cascade": quality.query,
     "op7_plane_token_files": token_files.query,
+    "op8_grouped_prefix_join": shingles.query,
     "op9_language_crf": language.query,
     "op10_lexicon_toxicity": toxicity.query,
 }

@@ -3,15 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from termlake.llm import language, mixing, packing, quality, shingles
+from termlake.llm.common import crc_mod, cut
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with the least score of ``language.MIN_SCORE``; the others go."""
+    return language.keep(docs, language.train_on(docs.where(crc_mod("doc_id", 4) != 2)))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule of the cascade rejects."""
+    return quality.cascade(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates: that of the smallest doc_id, and of its repeated rows any one.
+
+    Documents without words are in no group, so all of them stay, as do rows without an id.
+    """
+    found = shingles.join(docs)
+    drop = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(drop, "doc_id", "left_anti")
+    empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
+    mark = F.when(F.col("doc_id").isNull() | empty, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return left.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"]).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights of their sources, in a global random order."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All pieces of all documents with their place in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: SQL can express neither the language model nor the tokenizer; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    from termlake.llm.common import cut
-
+    """All stages over ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest doc_id, and of its repeated rows any one.
+    """One row of each group of near duplicates: that of the smallest doc_id; its repeated rows count as one.
 
     Documents without words are in no group, so all of them stay, as do rows without an id.
     """
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     drop = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(drop, "doc_id", "left_anti")
     empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    mark = F.when(F.col("doc_id").isNull() | empty, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    mark = F.when(F.col("doc_id").isNull() | empty, F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
     return left.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"]).select(docs.columns)
 
 

@@ -8,7 +8,7 @@ from ..functions import text as X
 from .fixtures import GLOSSARY, SENTENCES, draw_sql, glossary, sentences, t, with_ctes
 from .registry import query
 
-_SINGULAR = (
+SINGULAR = (
     "CASE WHEN length({w}) > 4 AND {w} LIKE '%ies' THEN regexp_replace({w}, 'ies$', 'y') WHEN length({w}) > 4 AND regexp_matches({w}, '(s|x|z|ch|sh)es$') THEN regexp_replace({w}, 'es$', '') "
     "WHEN length({w}) > 3 AND {w} LIKE '%s' AND NOT regexp_matches({w}, '(ss|us|is)$') THEN regexp_replace({w}, 's$', '') ELSE {w} END"
 )
@@ -107,7 +107,7 @@ def _(s, d):
     f"""WITH n AS (SELECT p_partkey, p_name, p_type, regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g') AS bare FROM part)
     SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(^|\\s)[A-Z]{{2,}}[0-9]*(\\s|$)') OR regexp_matches(p_name, '[a-z0-9][A-Z]') OR regexp_matches(p_name, '[0-9]') THEN 'acronym_or_symbolic'
       WHEN contains(trim(p_name), ' ') THEN 'multiword' ELSE 'single_word' END AS term_class,
-      array_to_string(list_transform(list_filter(string_split(bare, ' '), lambda w: w <> ''), lambda w: {_SINGULAR.format(w='w')}), ' ') AS aggressive,
+      array_to_string(list_transform(list_filter(string_split(bare, ' '), lambda w: w <> ''), lambda w: {SINGULAR.format(w='w')}), ' ') AS aggressive,
       trim(p_name) <> '' AS can_copy, len(list_filter(string_split(bare, ' '), lambda w: w <> '')) AS n_tokens FROM n""",
 )
 def _(s, d):
@@ -248,7 +248,7 @@ def _(s, d):
 
 @query(
     "x48_plural_merge",
-    f"WITH {GLOSSARY}, c AS (SELECT {_SINGULAR.format(w='term')} AS canonical, term FROM glossary) SELECT canonical, count(*) AS n, min(term) AS first_term FROM c GROUP BY canonical",
+    f"WITH {GLOSSARY}, c AS (SELECT {SINGULAR.format(w='term')} AS canonical, term FROM glossary) SELECT canonical, count(*) AS n, min(term) AS first_term FROM c GROUP BY canonical",
 )
 def _(s, d):
     return glossary(s, d).select(X.singular(F.col("term")).alias("canonical"), "term").groupBy("canonical").agg(F.count("*").alias("n"), F.min("term").alias("first_term"))

@@ -102,7 +102,7 @@ def format_term_map(pairs: Column, empty: str = "omit") -> Column:
 
 def mask_pattern(term: Column) -> Column:
     """The pattern that masks a term: plain terms at word boundaries in any case, one CJK character between others, other CJK as it is."""
-    body = F.regexp_replace(quote_regex(normalise_space(term)), " ", r"\\\\s+")
+    body = F.regexp_replace(quote_regex(normalise_space(term)), " ", r"\\s+")
     return (
         F.when(F.regexp_like(term, F.lit(r"^[A-Za-z0-9][A-Za-z0-9 ._+/#-]*$")), F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), body, F.lit(r"(?![A-Za-z0-9])")))
         .when(F.regexp_like(term, F.lit(f"^{CJK}$")), F.concat(F.lit(f"(?<!{CJK})"), body, F.lit(f"(?!{CJK})")))

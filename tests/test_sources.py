@@ -20,7 +20,7 @@ def test_jsonl(spark, tmp_path):
     assert sorted(r.a for r in R.jsonl(spark, p, "a int", strict=False).collect()) == [1, 2]
     with pytest.raises(Exception, match="(?i)malformed|bad"):
         R.jsonl(spark, p, "a int").collect()
-    assert R.jsonl_with_rejects(spark, p, T.StructType().add("a", T.IntegerType())).where("_bad IS NOT NULL").count() == 1
+    assert sum(r._bad is not None for r in R.jsonl_with_rejects(spark, p, T.StructType().add("a", T.IntegerType())).collect()) == 1
 
 
 @pytest.mark.parametrize("root", ['{"k": {"target_translations": {"zh": " "}, "translation": "x"}, "m": {"term": "t", "target_translations": {"zh": "y"}}}', '[{"key": "k", "translation": "x"}, {"term": "t", "target_translation": "y"}]'])

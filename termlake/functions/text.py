@@ -173,10 +173,12 @@ def normalise_term(s: Column, mode: str = "none") -> Column:
 
 def singular(w: Column) -> Column:
     """-ies to -y, -es after a hissing sound and a plain -s away; short words and -ss, -us, -is stay."""
+    short = lambda n: F.substr(w, F.lit(1), F.length(w) - n)
     return (
-        F.when((F.length(w) > 4) & w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
-        .when((F.length(w) > 4) & F.regexp_like(w, F.lit("(s|x|z|ch|sh)es$")), F.regexp_replace(w, "es$", ""))
-        .when((F.length(w) > 3) & w.endswith("s") & ~F.regexp_like(w, F.lit("(ss|us|is)$")), F.regexp_replace(w, "s$", ""))
+        F.when(~w.endswith("s"), w)
+        .when((F.length(w) > 4) & w.endswith("ies"), F.concat(short(3), F.lit("y")))
+        .when((F.length(w) > 4) & w.endswith("es") & F.regexp_like(w, F.lit("(s|x|z|ch|sh)es$")), short(2))
+        .when((F.length(w) > 3) & ~F.substr(w, F.length(w) - 1, F.lit(2)).isin("ss", "us", "is"), short(1))
         .otherwise(w)
     )
 

@@ -29,25 +29,18 @@ def nested_loop_match(texts: DataFrame, terms: DataFrame, text: str = "line", te
     return texts.join(terms, X.source_contains(F.col(text), F.col(term)))
 
 
-def ngrams(tokens, most: int):
-    """All runs of 1 to ``most`` tokens, joined by spaces."""
-    return X.let(
-        tokens,
-        lambda t: F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(most)),
-                lambda n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>")),
-            )
-        ),
-    )
-
-
 def ngram_match(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term", most: int = 4) -> DataFrame:
-    """Equi join of the distinct n-grams of a text's words with the normalised words of a term."""
+    """Pairs of a text and a term whose normalised words, at most ``most``, stand in the text's words in a row.
+
+    An n-gram join keyed by the term's first word: the distinct words of a text meet the bank in a hash join, and only
+    those candidates are looked up as a whole.
+    """
     words = F.filter(F.transform(F.split(F.lower(X.normalise_space(F.col(text))), " "), lambda w: X.singular(F.regexp_replace(F.regexp_replace(w, "'s$", ""), "[^a-z0-9']", ""))), lambda w: w != "")
-    left = texts.withColumn("__gram", F.explode(F.array_distinct(ngrams(words, most))))
-    right = terms.withColumn("__gram", F.array_join(X.match_tokens(F.col(term), most), " ")).where("__gram <> ''")
-    return left.join(right, "__gram").drop("__gram")
+    left = texts.withColumn("__words", words)
+    left = left.withColumn("__tok", F.explode(F.array_distinct("__words")))
+    right = terms.withColumn("__needle", X.match_tokens(F.col(term), most)).where("__needle IS NOT NULL").withColumn("__tok", F.col("__needle")[0])
+    found = left.join(right, "__tok").where((F.size("__needle") == 1) | (F.size(X.find_spans(F.col("__words"), F.col("__needle"))) > 0))
+    return found.drop("__words", "__tok", "__needle")
 
 
 def spans(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term") -> DataFrame:

@@ -14,7 +14,6 @@ is lost: a link between connected classes adds nothing, all others are tested.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,17 +67,24 @@ def shingles(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(SKETCH)).astype(np.int64)
+    return ((h >> np.uint64(5)) % np.uint64(SKETCH)).astype(np.int64)
 
 
-def ordered_sets(texts: pa.Array, levels: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of the documents, one document after the other, each in the common order; and offsets."""
+def ordered_sets(texts: pa.Array, levels: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
+    """Of each document its distinct shingles in the common order, as ascending integers.
+
+    An integer is the shingle's frequency level in the top 5 bits and 59 bits of its hash below, so it names the shingle
+    and its place in the order at once, in all documents alike.
+    """
     h, doc = shingles(texts, width)
-    order = np.lexsort((h, levels[_slot(h)], doc))
-    h, doc = h[order], doc[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
-    h, doc = h[new], doc[new]
-    return h, np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(texts)))))
+    key = (np.minimum(levels[_slot(h)], 31).astype(np.uint64) << np.uint64(59)) | (h >> np.uint64(5))
+    ends = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
+    out, at = [], 0
+    for end in ends:
+        s = np.sort(key[at:end])
+        out.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if end - at > 1 else s)
+        at = end
+    return out
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -86,7 +92,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def frequency_levels(texts: DataFrame, width: int = WORDS) -> np.ndarray:
-    """For each slot of the sketch the binary logarithm of its most frequent shingle's documents, 0 for rare ones.
+    """For each slot of the sketch the binary logarithm of its most frequent shingle's count, 0 for rare ones.
 
     Tasks count exactly what they read between two flushes and send shingles seen twice or more; the rest cannot be
     frequent there.  The sketch only orders shingles, any order gives right results.
@@ -109,10 +115,7 @@ def frequency_levels(texts: DataFrame, width: int = WORDS) -> np.ndarray:
 
         size = 0
         for b in batches:
-            h, doc = shingles(b.column("text"), width)
-            pair = np.lexsort((h, doc))
-            h, doc = h[pair], doc[pair]
-            held.append(h[np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))] if len(h) else h)
+            held.append(shingles(b.column("text"), width)[0])
             size += len(held[-1])
             if size > FLUSH:
                 yield from flush()
@@ -154,10 +157,9 @@ def _members(texts: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, offsets = ordered_sets(b.column("text"), levels)
-            sets = np.split(h, offsets[1:-1]) if b.num_rows else []
+            sets = ordered_sets(b.column("text"), levels)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_group(s) for s in sets], pa.binary())],
+                [b.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_group(s) for s in sets], pa.binary())],
                 names=["doc_id", "n", "cls", "grp"],
             )
 
@@ -177,7 +179,7 @@ def _postings(texts: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
             if keys:
                 k, o, p = np.concatenate(keys), np.repeat(np.arange(len(keys)), list(map(len, keys))).astype(np.uint32), np.concatenate(places)
                 names, n = np.frombuffer(b"".join(seen), "<u8").reshape(-1, 2), np.array(sizes, np.uint32)
-                bucket = ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                bucket = (mix64(k) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((k, bucket))
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for s in range(buckets):
@@ -190,8 +192,7 @@ def _postings(texts: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
             held = 0
 
         for b in batches:
-            h, offsets = ordered_sets(b.column("text"), levels)
-            for s in np.split(h, offsets[1:-1]) if b.num_rows else []:
+            for s in ordered_sets(b.column("text"), levels):
                 if len(s):
                     g = _group(s)
                     if g not in seen:
@@ -226,9 +227,10 @@ def _postings(texts: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(meet, "shingle long, grp binary, n long, pos long")
 
 
-def _sets(texts: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """cls, set (sorted hashes) of the classes whose group is wanted, and of few others."""
-    place = F.pmod(F.conv(F.substring(F.hex("grp"), 1, 15), 16, 10).cast("long"), F.lit(FILTER))
+def _sets(texts: DataFrame, levels: np.ndarray, pairs: DataFrame) -> DataFrame:
+    """cls, set of the classes that stand in ``pairs``, and of few others: a filter of fixed size picks them while texts are read again."""
+    place = F.pmod(F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("long"), F.lit(FILTER))
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
     words = wanted.select(place.alias("p")).selectExpr("cast(p div 64 as int) AS w", "shiftleft(1L, cast(p % 64 as int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(FILTER // 64, np.int64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
@@ -237,20 +239,16 @@ def _sets(texts: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for b in batches:
-            h, offsets = ordered_sets(b.column("text"), levels)
             names, sets = [], []
-            for s in np.split(h, offsets[1:-1]) if b.num_rows else []:
-                if not len(s):
-                    continue
-                at = int(_group(s).hex()[:15], 16) % FILTER
-                if int(bits[at >> 6]) >> (at & 63) & 1:
-                    cls = _digest(s)
-                    if cls not in sent:
-                        if len(sent) > 500_000:
-                            sent.clear()
-                        sent.add(cls)
-                        names.append(cls)
-                        sets.append(np.sort(s).tobytes())
+            for s in ordered_sets(b.column("text"), levels):
+                cls = _digest(s)
+                at = int(cls.hex()[:15], 16) % FILTER
+                if int(bits[at >> 6]) >> (at & 63) & 1 and cls not in sent:
+                    if len(sent) > 500_000:
+                        sent.clear()
+                    sent.add(cls)
+                    names.append(cls)
+                    sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "set"])
 
     return map_arrow(texts.select("text"), run, "cls binary, set binary", ROWS).groupBy("cls").agg(F.first("set").alias("set"))
@@ -263,8 +261,11 @@ def _fits(a: str, b: str) -> str:
     return f"100 * {small} >= {PERCENT} * {large} AND {100 + PERCENT} * {rest} >= {PERCENT} * ({a}.n + {b}.n)"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, levels: np.ndarray) -> DataFrame:
     """The pairs (a, b) of classes whose similarity reaches the threshold."""
+    if pairs.isEmpty():
+        return pairs
+    sets = _sets(texts, levels, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +298,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     runs = cut(_postings(texts.select("text"), levels, buckets))
     classes = cut(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("grp").alias("grp"), F.first("n").alias("n")))
     several = classes.groupBy("grp").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).where("c > 1")
-    sets = cut(_sets(texts, levels, runs.select("grp").union(several.select("grp"))))
 
     # first links: each posting list with its leader, each group of several classes with its first
     lead = runs.groupBy("shingle").agg(F.min(F.struct("pos", "grp", "n")).alias("l")).select("shingle", F.col("l.grp").alias("grp"), F.col("l.n").alias("n"), F.col("l.pos").alias("pos"))
@@ -305,7 +305,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     firsts = classes.groupBy("grp").agg(F.min("cls").alias("first"))
     one = near.join(firsts.select(F.col("grp").alias("gb"), F.col("first").alias("b")), "gb").join(classes.select(F.col("grp").alias("ga"), F.col("cls").alias("a")), "ga").select("a", "b")
     own = classes.join(several, "grp").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
-    links = cut(_verify(one.union(own), sets))
+    links = cut(_verify(cut(one.union(own)), texts, levels))
     parts = cut(components(links, "a", "b"))
 
     # the rest: pairs of groups, and of classes inside a group, that are not connected yet
@@ -320,7 +320,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     cross = rest.join(left, "ga").join(right, "gb").where("la <> lb").select("a", "b")
     inside = named.join(spans.where("lo <> hi").select("grp"), "grp", "left_semi")
     inside = inside.alias("x").join(inside.alias("y"), "grp").where("x.cls < y.cls AND x.label <> y.label").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    links = reduce(DataFrame.union, [links, _verify(cross.union(inside), sets)])
+    links = links.union(_verify(cut(cross.union(inside)), texts, levels))
     parts = components(links, "a", "b").withColumnRenamed("node", "cls")
 
     grouped = classes.select("cls", "low").join(parts, "cls", "left").select("cls", "low", F.coalesce("component", "cls").alias("component"))

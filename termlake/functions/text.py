@@ -376,3 +376,29 @@ def parse_number(s: Column) -> Column:
 
 def format_metric(x: Column, digits: int = 4, signed: bool = False) -> Column:
     return F.coalesce(F.format_string(f"%{'+' if signed else ''}.{digits}f", x.cast("double")), F.lit("NA"))
+
+
+def pick_spans(spans: Column) -> Column:
+    """Of overlapping spans (structs with start and end) the earliest stays, of equal starts the longest."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].cast("long").alias("start"), (-s["end"].cast("long")).alias("back"))))
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def step(acc: Column, s: Column) -> Column:
+        free = (F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["end"])
+        return F.when(free, F.array_append(acc, F.struct(s["start"].alias("start"), (-s["back"]).alias("end")))).otherwise(acc)
+
+    return F.aggregate(ordered, empty, step)
+
+
+def char_spans(s: Column, term: Column, least: int = 3) -> Column:
+    """array<struct<start, end>> of all places of a term at word boundaries, in any case; terms below ``least`` characters have none."""
+    lower, t = F.lower(s), F.lower(normalise_space(term))
+
+    def places(z: Column) -> Column:
+        n = F.length(z["t"])
+        every = F.when((n >= least) & (F.length(z["s"]) >= n), F.sequence(F.lit(0), F.length(z["s"]) - n)).otherwise(F.array().cast("array<int>"))
+        inside = lambda i: F.regexp_like(F.substr(z["s"], i, F.lit(1)), F.lit("[a-z0-9]"))
+        hits = F.filter(every, lambda i: (F.substr(z["s"], i + 1, n) == z["t"]) & ~((i > 0) & inside(i)) & ~inside(i + n + 1))
+        return F.transform(hits, lambda i: F.struct(i.alias("start"), (i + n).alias("end")))
+
+    return let(F.struct(lower.alias("s"), t.alias("t")), places)

@@ -294,3 +294,12 @@ def _(s, d):
 def _(s, d):
     first = glossary(s, d).where("NOT startswith(term, 'th') AND length(term) <= 14")
     return first.orderBy("pos").limit(200).where("length(term) >= 7").select("term")  # the cut stands between the two filters
+
+
+@query(
+    "l07_occurrences_without_overlap",
+    """SELECT item_id, (len(regexp_extract_all(lower(text), '(^|[^a-z0-9])the of($|[^a-z0-9])')) + len(list_filter(regexp_extract_all(regexp_replace(lower(text), '(^|[^a-z0-9])the of($|[^a-z0-9])', ' # ', 'g'), '[a-z0-9]+'), lambda x: x = 'the')))::INT AS n FROM benchmark""",
+)
+def _(s, d):
+    both = F.concat(X.char_spans(F.col("text"), F.lit("the")), X.char_spans(F.col("text"), F.lit("the of")))
+    return t(s, d, "benchmark").select("item_id", F.size(X.pick_spans(both)).alias("n"))

@@ -10,6 +10,12 @@ def t(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, dealt over the cores; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def glossary(s: SparkSession, d: str) -> DataFrame:
     """term, translation, pos (first place), n (occurrences): words of six letters or more of the benchmark."""
     words = t(s, d, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("p", "term"))
@@ -19,7 +25,7 @@ def glossary(s: SparkSession, d: str) -> DataFrame:
 def sentences(s: SparkSession, d: str) -> DataFrame:
     """doc_id, talk, lang, sent_idx, line, reference (the next line), hypothesis (words of even length)."""
     lines = F.split("text", "\n")
-    rows = t(s, d, "documents").select("doc_id", F.col("source").alias("talk"), "lang", lines.alias("lines"), F.posexplode(lines).alias("sent_idx", "line"))
+    rows = spread(t(s, d, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", F.col("source").alias("talk"), "lang", lines.alias("lines"), F.posexplode(lines).alias("sent_idx", "line"))
     return rows.select(
         "doc_id", "talk", "lang", F.col("sent_idx").cast("long").alias("sent_idx"), "line",
         F.coalesce(F.get("lines", F.col("sent_idx") + 1), "line").alias("reference"),

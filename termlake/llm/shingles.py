@@ -7,7 +7,7 @@ classes, and those are compared whole.
 
 Only connection matters to the result, so pairs come in two steps.  First each posting list gives pairs with one leader,
 the group that has the shingle earliest in its prefix: of a family of near copies that is the one with the fewest changes.
-Then, with the components of the first links known, all pairs are formed whose classes are not connected yet.  No link
+Then, with the components of the first links known, all pairs are formed whose classes are neither connected nor compared yet.  No link
 is lost: a link between connected classes adds nothing, all others are tested.
 """
 
@@ -36,6 +36,8 @@ SKETCH_PARTS = 16
 FLUSH = 4_000_000
 #: Shingles of a bucket of posting lists, on average.
 BUCKET = 2_000_000
+#: Posting lists of up to so many groups are searched for postings that pass the filters with no other.
+SHORT_RUN = 16
 ROWS = 1024
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -167,7 +169,7 @@ def _members(texts: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _postings(texts: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
-    """shingle, grp, n, pos of all prefix shingles that two groups or more have."""
+    """shingle, grp, n, pos of all prefix shingles that two groups or more have; postings that fit no other are left out of short lists."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -216,9 +218,18 @@ def _postings(texts: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
         k, p, n, a, c = (x[order] for x in (k, p, n, a, c))
         fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])))  # one group may come from several tasks
         k, p, n, a, c = (x[fresh] for x in (k, p, n, a, c))
-        first = np.concatenate(([True], k[1:] != k[:-1]))
-        run = np.cumsum(first) - 1
-        many = np.bincount(run)[run] > 1
+        order = np.lexsort((n, k))
+        k, p, n, a, c = (x[order] for x in (k, p, n, a, c))
+        n, p = n.astype(np.int64), p.astype(np.int64)
+        run = np.cumsum(np.concatenate(([True], k[1:] != k[:-1]))) - 1
+        long = np.bincount(run)[run] > SHORT_RUN
+        many = long.copy()
+        for step in range(1, SHORT_RUN):  # of short lists only postings that fit some other, in ascending size
+            i = np.flatnonzero((run[step:] == run[:-step]) & ~long[step:])
+            j = i + step
+            fits = (100 * n[i] >= PERCENT * n[j]) & ((100 + PERCENT) * np.minimum(n[i] - p[i], n[j] - p[j]) >= PERCENT * (n[i] + n[j]))
+            many[i[fits]] = True
+            many[j[fits]] = True
         names = np.stack([a[many], c[many]], 1).astype("<u8")
         raw = names.tobytes()
         return pa.table({"shingle": pa.array(k[many].view(np.int64)), "grp": pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), "n": pa.array(n[many], pa.int64()), "pos": pa.array(p[many], pa.int64())})
@@ -254,6 +265,10 @@ def _sets(texts: DataFrame, levels: np.ndarray, pairs: DataFrame) -> DataFrame:
     return map_arrow(texts.select("text"), run, "cls binary, set binary", ROWS).groupBy("cls").agg(F.first("set").alias("set"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _fits(a: str, b: str) -> str:
     """Length filter and position filter of a shared prefix shingle, as SQL."""
     small, large = f"least({a}.n, {b}.n)", f"greatest({a}.n, {b}.n)"
@@ -305,7 +320,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     firsts = classes.groupBy("grp").agg(F.min("cls").alias("first"))
     one = near.join(firsts.select(F.col("grp").alias("gb"), F.col("first").alias("b")), "gb").join(classes.select(F.col("grp").alias("ga"), F.col("cls").alias("a")), "ga").select("a", "b")
     own = classes.join(several, "grp").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
-    links = cut(_verify(cut(one.union(own)), texts, levels))
+    tested = cut(_ordered(one.union(own)).distinct())
+    links = cut(_verify(tested, texts, levels))
     parts = cut(components(links, "a", "b"))
 
     # the rest: pairs of groups, and of classes inside a group, that are not connected yet
@@ -320,7 +336,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     cross = rest.join(left, "ga").join(right, "gb").where("la <> lb").select("a", "b")
     inside = named.join(spans.where("lo <> hi").select("grp"), "grp", "left_semi")
     inside = inside.alias("x").join(inside.alias("y"), "grp").where("x.cls < y.cls AND x.label <> y.label").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    links = links.union(_verify(cut(cross.union(inside)), texts, levels))
+    later = _ordered(cross.union(inside)).distinct().join(tested, ["a", "b"], "left_anti")
+    links = links.union(_verify(cut(later), texts, levels))
     parts = components(links, "a", "b").withColumnRenamed("node", "cls")
 
     grouped = classes.select("cls", "low").join(parts, "cls", "left").select("cls", "low", F.coalesce("component", "cls").alias("component"))

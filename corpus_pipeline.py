@@ -27,9 +27,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = shingles.join(docs)
     drop = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(drop, "doc_id", "left_anti")
-    empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    mark = F.when(F.col("doc_id").isNull() | empty, F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
-    return left.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"]).select(docs.columns)
+    again = cut(found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left.select(docs.columns)
+    once, several = left.join(again, "doc_id", "left_anti"), left.join(again, "doc_id", "left_semi")
+    blank = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
+    mark = F.when(blank, F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+    several = several.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"])
+    return once.select(docs.columns).unionByName(several.select(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

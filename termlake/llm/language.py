@@ -69,7 +69,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(word[edge])
     owner, mark = np.concatenate(owners), np.concatenate(marks)
     order = np.argsort(owner, kind="stable")
-    bucket = (mix64(mark[order]) % np.uint64(BUCKETS)).astype(np.int64)
+    bucket = (mix64(mark[order]) % np.uint64(BUCKETS)).astype(np.int32)
     return bucket, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words)))))
 
 
@@ -79,6 +79,13 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def word_sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each word the sum of its features' rows of ``table``, label by label; every word has a feature."""
+    if len(starts) < 2:
+        return np.zeros((0, table.shape[1]))
+    return np.stack([np.add.reduceat(table[:, y][rows], starts[:-1], dtype=np.float64) for y in range(table.shape[1])], 1)
+
+
 # ---------------------------------------------------------------- the chain
 
 
@@ -140,7 +147,7 @@ class Model:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of each label for distinct words; words without letters say nothing."""
         bucket, starts = features(words)
-        score = sums(self.weights[bucket], starts) / np.sqrt(np.maximum(np.diff(starts), 1))[:, None]
+        score = word_sums(self.weights, bucket, starts) / np.sqrt(np.maximum(np.diff(starts), 1))[:, None]
         none = len(self.labels)
         score = score + self.lexical[[self.lexicon.get(w, none) for w in words]]
         score[[not w for w in words]] = 0
@@ -184,8 +191,10 @@ def train(texts: list[str], tags: list[str]) -> Model:
     scale = 1 / np.sqrt(np.maximum(np.diff(starts), 1))
     lex = np.array([lexicon.get(w, k) for w in words])
     mute = np.array([not w for w in words])
-    owner = np.repeat(np.arange(len(words)), np.diff(starts))
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(starts))
     used, slot = np.unique(bucket, return_inverse=True)
+    slot = slot.astype(np.int32)
+    del bucket
     reset = np.zeros(len(at) + 1, bool)
     reset[offsets[:-1]] = True
     reset = reset[:-1]
@@ -203,7 +212,7 @@ def train(texts: list[str], tags: list[str]) -> Model:
         np.add.at(pairs, (truth[inner - 1], truth[inner]), 1)
         for _ in range(steps):
             done += 1
-            score = sums(params[0][slot], starts) * scale[:, None] + params[1][lex]
+            score = word_sums(params[0], slot, starts) * scale[:, None] + params[1][lex]
             score[mute] = 0
             score = np.exp(np.clip(score - score.max(1, keepdims=True), -40, 0))[at]
             move = np.exp(params[2] - params[2].max())
@@ -213,11 +222,13 @@ def train(texts: list[str], tags: list[str]) -> Model:
             expected = np.stack([np.bincount(at, both[:, y], len(words)) for y in range(k)], 1)
             gap = (expected - observed) / len(at)
             gap[mute] = 0
-            xi = alpha[inner - 1][:, :, None] * move[None] * (score[inner] * beta[inner])[:, None, :]
-            moved = (xi / xi.sum((1, 2), keepdims=True)).sum(0)
-            scaled = (gap * scale[:, None])[owner]
+            before, after = alpha[inner - 1], score[inner] * beta[inner]
+            before = before / np.einsum("ni,ij,nj->n", before, move, after, optimize=True)[:, None]
+            moved = move * (before.T @ after)
+            del before, after
+            scaled = gap * scale[:, None]
             grads = [
-                np.stack([np.bincount(slot, scaled[:, y], len(used)) for y in range(k)], 1) + 1e-7 * params[0],
+                np.stack([np.bincount(slot, scaled[:, y][owner], len(used)) for y in range(k)], 1) + 1e-7 * params[0],
                 np.stack([np.bincount(lex, gap[:, y], k + 1) for y in range(k)], 1) + 1e-6 * params[1],
                 (moved - pairs) / len(at) + 1e-4 * params[2],
             ]

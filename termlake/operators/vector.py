@@ -1,7 +1,7 @@
 """Retrieval over embedding banks: multi-window maximum similarity, thresholds, fusion and ranking measures.
 
 Scores come from ``similarities``: queries meet the bank in blocks, each pair of blocks is one matrix product in an Arrow
-batch, and only what the caller keeps (a top-k of each block) leaves it.
+batch, and only what the caller keeps (a top-k or an aggregate of each block) leaves it.
 """
 
 from __future__ import annotations
@@ -26,33 +26,70 @@ def normalised(v: str | Column) -> Column:
     return F.transform(v, lambda x: F.try_divide(x.cast("double"), norm))
 
 
-def top_similar(queries: DataFrame, bank: DataFrame, k: int, query_blocks: int, bank_blocks: int) -> DataFrame:
-    """query_id, term_id, score: exact top-k by inner product, ties to the smaller id; queries (query_id, vec), bank (term_id, vec).
+def similarities(queries: DataFrame, bank: DataFrame, query_blocks: int, bank_blocks: int, fold, schema: str, by: str = "query_id") -> DataFrame:
+    """What ``fold`` makes of each block of scores: queries (query_id, vec, columns), bank (term_id, vec, columns).
 
-    Returns all terms where the bank has fewer than k.  A task holds one block of each side.
+    ``fold(queries, bank, score)`` gets the other columns of both sides as Arrow tables, the bank in order of term_id, and the
+    matrix of their inner products; it returns an Arrow table.  A task holds one block of each side.  Queries of one value of
+    ``by`` are in one block.
     """
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"), spread(bank_blocks).alias("bb"), F.lit(True).alias("q"), F.col("query_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    right = bank.select(spread(query_blocks).alias("qb"), F.pmod(F.xxhash64("term_id"), F.lit(bank_blocks)).cast("int").alias("bb"), F.lit(False).alias("q"), F.col("term_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    rest = lambda df, own: F.struct(*[F.col(c).cast("long").alias(c) if c == own else F.col(c) for c in df.columns if c != "vec"])
+    q, t = rest(queries, "query_id"), rest(bank, "term_id")
+    left = queries.select(F.pmod(F.xxhash64(by), F.lit(query_blocks)).cast("int").alias("qb"), spread(bank_blocks).alias("bb"), q.alias("q"), F.col("vec"))
+    right = bank.select(spread(query_blocks).alias("qb"), F.pmod(F.xxhash64("term_id"), F.lit(bank_blocks)).cast("int").alias("bb"), t.alias("t"), F.col("vec"))
 
     def block(key, data):
-        is_query = data.column("q").to_numpy(zero_copy_only=False) if isinstance(data.column("q"), pa.Array) else data.column("q").combine_chunks().to_numpy(zero_copy_only=False)
-        ids = data.column("id").to_numpy()
+        is_query = np.asarray(data.column("q").is_valid())
+        if not is_query.any() or is_query.all():
+            return empty
+        vec = data.column("vec").combine_chunks()
+        x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(is_query), -1)
+        side = lambda name, rows: pa.Table.from_struct_array(data.column(name).combine_chunks().take(pa.array(rows)))
+        mine, theirs = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        theirs = theirs[np.argsort(side("t", theirs).column("term_id").to_numpy(), kind="stable")]
+        return fold(side("q", mine), side("t", theirs), np.round(np.einsum("qd,nd->qn", x[mine], x[theirs]), 12))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    return left.unionByName(right, allowMissingColumns=True).groupBy("qb", "bb").applyInArrow(block, schema)
+
+
+def others(queries: pa.Table, bank: pa.Table) -> np.ndarray:
+    """True where a query meets a row of the bank that is not itself."""
+    return queries.column("query_id").to_numpy()[:, None] != bank.column("term_id").to_numpy()[None, :]
+
+
+def answers(q: pa.Table, t: pa.Table, score: np.ndarray) -> pa.Table:
+    """How many scored rows of the block each query has, without itself."""
+    return pa.table({"query_id": q.column("query_id"), "n": others(q, t).sum(1)})
+
+
+def top_similar(queries: DataFrame, bank: DataFrame, k: int, query_blocks: int, bank_blocks: int, itself: bool = True) -> DataFrame:
+    """query_id, term_id, score: exact top-k by inner product, ties to the smaller id; queries (query_id, vec), bank (term_id, vec).
+
+    Returns all terms where the bank has fewer than k.  Without ``itself`` the bank's row of a query's own id is no answer.
+    """
+
+    def best(q, t, score):
+        ids, terms = q.column("query_id").to_numpy(), t.column("term_id").to_numpy()
+        if not itself:
+            score = np.where(others(q, t), score, -np.inf)
         out_q, out_t, out_s = [], [], []
-        if is_query.any() and not is_query.all():
-            vec = data.column("vec").combine_chunks()
-            x = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            order = np.argsort(ids[~is_query], kind="stable")
-            terms, y = ids[~is_query][order], x[~is_query][order]
-            score = np.round(np.einsum("qd,nd->qn", x[is_query], y), 12)
-            for q, row in zip(ids[is_query], score, strict=True):
-                best = np.argsort(-row, kind="stable")[:k]
-                out_q += [q] * len(best)
-                out_t += terms[best].tolist()
-                out_s += row[best].tolist()
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "term_id": pa.array(out_t, pa.int64()), "score": pa.array(out_s, pa.float64())})
-
-    near = left.unionByName(right).groupBy("qb", "bb").applyInArrow(block, "query_id long, term_id long, score double")
+        for i, row in zip(ids, score, strict=True):
+            first = np.arange(len(row))
+            if k < len(row):
+                first = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+            first = first[np.argsort(-row[first], kind="stable")][:k]
+            first = first[row[first] > -np.inf]
+            out_q.append(np.full(len(first), i))
+            out_t.append(terms[first])
+            out_s.append(row[first])
+        return pa.table({"query_id": np.concatenate(out_q), "term_id": np.concatenate(out_t), "score": np.concatenate(out_s)})
+
+    near = similarities(queries.select("query_id", "vec"), bank.select("term_id", "vec"), query_blocks, bank_blocks, best, "query_id long, term_id long, score double")
     return top_k(near, ["query_id"], k)
 
 

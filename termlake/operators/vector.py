@@ -93,6 +93,55 @@ def top_similar(queries: DataFrame, bank: DataFrame, k: int, query_blocks: int,
     return top_k(near, ["query_id"], k)
 
 
+def window_scores(queries: DataFrame, bank: DataFrame, query_blocks: int, bank_blocks: int, temperature: float = 0.1) -> DataFrame:
+    """stream, term_id, best, soft, lse of every stream and term over all windows of the stream; queries (query_id, vec, stream).
+
+    Max, softmax-weighted mean and log-sum-exp; a window does not meet its own row.  All windows of a stream are in one block.
+    """
+
+    def modes(q, t, score):
+        streams, at = np.unique(q.column("stream").to_numpy(), return_inverse=True)
+        terms, apart = t.column("term_id").to_numpy(), others(q, t)
+        rows = []
+        for k, stream in enumerate(streams):
+            s = np.where(apart[at == k], score[at == k], -np.inf)
+            met = np.flatnonzero(s.max(0) > -np.inf)
+            s = s[:, met]
+            top = s.max(0)
+            e = np.exp((s - top) / temperature)
+            total = e.sum(0)
+            soft = (e * np.where(e > 0, s, 0)).sum(0) / total
+            rows.append((np.full(len(met), stream), terms[met], top, soft, top + temperature * np.log(total)))
+        return pa.table(dict(zip(("stream", "term_id", "best", "soft", "lse"), map(np.concatenate, zip(*rows, strict=True)), strict=True)))
+
+    return similarities(queries, bank, query_blocks, bank_blocks, modes, "stream long, term_id long, best double, soft double, lse double", "stream")
+
+
+def best_by_label(queries: DataFrame, bank: DataFrame, query_blocks: int, bank_blocks: int) -> DataFrame:
+    """query_id, pos, neg: the best score among all other rows of the query's label and among all of other labels; (.., ql), (.., bl)."""
+
+    def best(q, t, score):
+        same, apart = q.column("ql").to_numpy()[:, None] == t.column("bl").to_numpy()[None, :], others(q, t)
+        high = lambda m: (x := np.where(m, score, -np.inf).max(1), pa.array(x, mask=x == -np.inf))[1]
+        return pa.table({"query_id": q.column("query_id"), "pos": high(same & apart), "neg": high(~same & apart)})
+
+    near = similarities(queries, bank, query_blocks, bank_blocks, best, "query_id long, pos double, neg double")
+    return near.groupBy("query_id").agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"))
+
+
+def ranks_of(targets: DataFrame, queries: DataFrame, bank: DataFrame, query_blocks: int, bank_blocks: int) -> DataFrame:
+    """query_id, term_id, rank of each target (query_id, term_id, score) in the whole bank; ties share the earlier rank."""
+    aims = targets.groupBy("query_id").agg(F.collect_list(F.struct("term_id", "score")).alias("aims"))
+
+    def count(q, t, score):
+        row = np.where(others(q, t), score, -np.inf)
+        out = [(i, a["term_id"], int((r > a["score"]).sum())) for i, aims, r in zip(q.column("query_id").to_pylist(), q.column("aims").to_pylist(), row, strict=True) for a in aims]
+        return pa.table(dict(zip(("query_id", "term_id", "n"), map(pa.array, zip(*out, strict=True)), strict=True)))
+
+    above = similarities(queries.select("query_id", "vec").join(aims, "query_id"), bank.select("term_id", "vec"), query_blocks, bank_blocks, count, "query_id long, term_id long, n long")
+    return above.groupBy("query_id", "term_id").agg((F.sum("n") + 1).alias("rank"))
+
+
 def top_k(scored: DataFrame, by: list[str], k: int, score: str = "score", tie: str = "term_id") -> DataFrame:
     """The k best of each group with their rank; the limit works before the shuffle too."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), tie)

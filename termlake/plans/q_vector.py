@@ -67,6 +67,13 @@ def _win(s, d):
     return _top(s, d, 40).select(F.floor(q / 100).alias("stream"), (q % 100).alias("step"), "term_id", F.col("score").alias("sim"), "score", (q * F.lit(0.08)).alias("win_start"), (q * F.lit(0.08) + F.lit(1.92)).alias("win_end"))
 
 
+def _modes(s, d):
+    """All windows of each stream against the whole bank, without a cut."""
+    q, b = _sets(s, d)
+    q = q.select("query_id", "vec", F.floor(F.col("query_id") / 100).alias("stream"))
+    return V.window_scores(q, b.select("term_id", "vec"), _blocks(q, V.QUERY_BLOCK), _blocks(b, V.BANK_BLOCK))
+
+
 @query("t03_timeline_max_similarity", f"WITH {_WIN}, m AS (SELECT stream, term_id, max(sim) AS score, arg_min(win_start, (-sim, win_start)) AS time_start FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, term_id) AS rank FROM m) SELECT stream, term_id, round(score, 6) AS score, round(time_start, 4) AS time_start, rank FROM r WHERE rank <= 10 AND score >= 0.1")
 def _(s, d):
     best = V.max_similarity(_win(s, d), ["stream", "term_id"])
@@ -87,15 +94,13 @@ def _(s, d):
 
 @query("t07_similarity_modes", f"WITH {_WIN} SELECT stream, term_id, round(sum(exp(sim / 0.1) * sim) / sum(exp(sim / 0.1)), 6) AS soft, round(ln(sum(exp(sim / 0.1))) * 0.1, 6) AS lse FROM w GROUP BY ALL")
 def _(s, d):
-    w = _win(s, d)
-    soft, lse = V.max_similarity(w, ["stream", "term_id"], "softmax"), V.max_similarity(w, ["stream", "term_id"], "lse").withColumnRenamed("score", "lse")
-    return soft.join(lse, ["stream", "term_id"]).select("stream", "term_id", F.round("score", 6).alias("soft"), F.round("lse", 6).alias("lse"))
+    return _modes(s, d).select("stream", "term_id", F.round("soft", 6).alias("soft"), F.round("lse", 6).alias("lse"))
 
 
 @query("t07_late_interaction", f"WITH {_WIN}, m AS (SELECT stream, term_id % 7 AS term, term_id, max(sim) AS s FROM w GROUP BY ALL) SELECT stream, term, round(avg(s), 6) AS score FROM m GROUP BY ALL")
 def _(s, d):
-    m = V.max_similarity(_win(s, d), ["stream", "term_id"]).withColumn("term", F.col("term_id") % 7)
-    return m.groupBy("stream", "term").agg(F.round(F.avg("score"), 6).alias("score"))
+    m = _modes(s, d).withColumn("term", F.col("term_id") % 7)
+    return m.groupBy("stream", "term").agg(F.round(F.avg("best"), 6).alias("score"))
 
 
 @query("t10_vote_aggregation", f"""WITH {_WIN}, st AS (SELECT DISTINCT stream, step AS "at" FROM w) SELECT stream, "at", term_id, count(*) AS votes, round(sum(sim), 6) AS score FROM w JOIN st USING (stream) WHERE step <= "at" AND step > "at" - 3 GROUP BY ALL HAVING count(*) >= 2""")
@@ -155,8 +160,8 @@ def _(s, d):
 
 @query("a38_similarity_distribution", f"WITH {_TOP}, g AS (SELECT query_id, max(score) FILTER (ql = bl) AS pos, max(score) FILTER (ql <> bl) AS neg FROM top WHERE rank <= 50 GROUP BY 1) SELECT count(*) AS n, round(avg(pos), 6) AS pos_mean, round(median(neg), 6) AS neg_median, round(avg(pos - neg), 6) AS gap_mean, round(quantile_cont(pos - neg, 0.1), 6) AS gap_p10 FROM g")
 def _(s, d):
-    same = F.col("ql") == F.col("bl")
-    g = _top(s, d, 50).groupBy("query_id").agg(F.max(F.when(same, F.col("score"))).alias("pos"), F.max(F.when(~same, F.col("score"))).alias("neg"))
+    q, b = _sets(s, d)
+    g = V.best_by_label(q, b, _blocks(q, V.QUERY_BLOCK), _blocks(b, V.BANK_BLOCK))
     gap = F.col("pos") - F.col("neg")
     return g.agg(F.count("*").alias("n"), F.round(F.avg("pos"), 6).alias("pos_mean"), F.round(F.median("neg"), 6).alias("neg_median"), F.round(F.avg(gap), 6).alias("gap_mean"), F.round(F.percentile(gap, 0.1), 6).alias("gap_p10"))
 
@@ -187,9 +192,13 @@ def _(s, d):
 
 @query("l12_rank_shift", f"WITH {_TOP}, e AS (SELECT query_id, term_id, rank AS wide, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term_id) AS narrow FROM top WHERE rank <= 100 AND term_id % 2 = 0) SELECT query_id, term_id, wide - narrow AS shift FROM e WHERE narrow <= 10")
 def _(s, d):
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "term_id")
-    e = _top(s, d, 100).where("term_id % 2 = 0").withColumn("narrow", F.row_number().over(w))
-    return e.where("narrow <= 10").select("query_id", "term_id", (F.col("rank") - F.col("narrow")).alias("shift"))
+    q, b = _sets(s, d)
+    even = b.where("term_id % 2 = 0")  # the base bank; the expanded one is the whole
+    blocks = _blocks(q, V.QUERY_BLOCK), _blocks(b, V.BANK_BLOCK)
+    base = V.top_similar(q, even, 10, blocks[0], _blocks(even, V.BANK_BLOCK), itself=False)
+    narrow = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    wide = V.ranks_of(base, q, b, *blocks).withColumnRenamed("rank", "wide")
+    return base.select("query_id", "term_id", narrow.alias("narrow")).join(wide, ["query_id", "term_id"]).select("query_id", "term_id", (F.col("wide") - F.col("narrow")).alias("shift"))
 
 
 @query("l17_intersection_metrics", f"WITH {_TOP}, a AS (SELECT query_id, term_id, ql = bl AS y FROM top WHERE rank <= 10), sb AS (SELECT query_id, term_id FROM top WHERE rank <= 30 AND term_id % 2 = 0) SELECT count(*) AS n_both, count(*) FILTER (y) AS hits, round(count(*) FILTER (y) / count(*), 6) AS prec FROM a JOIN sb USING (query_id, term_id)")

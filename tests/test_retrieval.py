@@ -46,3 +46,45 @@ def test_recall_of_all_rows(spark, bank):
     got = catalog.QUERIES["a25_recall_at_k"](spark, SMALL).first()
     assert got.queries == len(ids) and abs(got.recall_1 - np.mean([r == 1 for r in first])) < 2e-6
     assert abs(got.recall_10 - np.mean([r is not None and r <= 10 for r in first])) < 2e-6 and abs(got.mrr - np.mean([1 / r if r else 0 for r in first])) < 2e-6
+
+
+def test_modes_over_all_windows(spark, bank):
+    ids, _, score = bank
+    got = {(r.stream, r.term_id): (r.soft, r.lse) for r in catalog.QUERIES["t07_similarity_modes"](spark, SMALL).collect()}
+    assert len(got) == len({q // 100 for q in ids}) * len(ids)
+    late = {}
+    for stream in sorted({int(q) // 100 for q in ids}):
+        for n, term in enumerate(ids.tolist()):
+            s = score[ids // 100 == stream, n]
+            s = s[s > -np.inf]
+            e = np.exp(s / 0.1)
+            assert abs(got[stream, term][0] - (e * s).sum() / e.sum()) < 2e-6 and abs(got[stream, term][1] - 0.1 * np.log(e.sum())) < 2e-6
+            late.setdefault((stream, term % 7), []).append(s.max())
+    rows = catalog.QUERIES["t07_late_interaction"](spark, SMALL).collect()
+    assert len(rows) == len(late) and all(abs(r.score - np.mean(late[r.stream, r.term])) < 2e-6 for r in rows)
+
+
+def test_distribution_over_the_whole_bank(spark, bank):
+    _, label, score = bank
+    same = label[:, None] == label[None, :]
+    pos, neg = np.where(same, score, -np.inf).max(1), np.where(~same, score, -np.inf).max(1)
+    got = catalog.QUERIES["a38_similarity_distribution"](spark, SMALL).first()
+    want = {"n": len(label), "pos_mean": pos.mean(), "neg_median": np.median(neg), "gap_mean": (pos - neg).mean(), "gap_p10": np.quantile(pos - neg, 0.1)}
+    assert all(abs(got[k] - v) < 2e-6 for k, v in want.items())
+
+
+def test_ranks_in_the_whole_bank(spark, bank):
+    from termlake.operators import vector as V
+
+    ids, _, score = bank
+    got = {(r.query_id, r.term_id): r["shift"] for r in catalog.QUERIES["l12_rank_shift"](spark, SMALL).collect()}
+    want = {}
+    for q, row in zip(ids.tolist(), score, strict=True):
+        even = np.where(ids % 2 == 0, row, -np.inf)
+        for n in np.argsort(-even, kind="stable")[:10]:
+            want[q, int(ids[n])] = int((row > row[n]).sum() - (even > row[n]).sum())
+    assert got == want
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet").selectExpr("vec_id", "embedding AS vec")
+    last = [(int(q), int(ids[n]), float(row[n])) for q, row in zip(ids[:5], score[:5], strict=True) for n in [np.argsort(-row, kind="stable")[400]]]
+    ranks = V.ranks_of(spark.createDataFrame(last, "query_id long, term_id long, score double"), e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "term_id"), 2, 3)
+    assert {r["rank"] for r in ranks.collect()} == {401}

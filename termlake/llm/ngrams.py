@@ -9,7 +9,7 @@ hash of their first two words, so no single frequent word makes a large shard.
 * ``three``: successors ``context * V + id3``, relative to their context's place, as an Elias-Fano sequence, with quantised
   smoothed probabilities.
 
-Trigrams seen once are left out; their mass goes to the back-off weight.  Smoothing interpolates in the manner of Witten
+All trigrams are stored (a KEEP above 1 leaves rarer ones out; their mass goes to the back-off weight).  Smoothing interpolates in the manner of Witten
 and Bell: a context seen c times with T distinct successors gives K*T / (c + K*T) to the shorter context.
 """
 
@@ -31,8 +31,8 @@ from .common import crc_mod, map_arrow, mapped, mix64, shared_dir, table, write_
 
 #: Weight of distinct successors in the back-off, K above.
 BACKOFF = 4.0
-#: Trigrams need this count to be kept.
-KEEP = 2
+#: Trigrams need this count to be kept; at 1 all are.
+KEEP = 1
 #: Steps of the quantised logarithm of a probability to each factor of two.
 STEPS = 8
 #: Tokens to a shard of n-grams, and to one of the vocabulary.

@@ -78,3 +78,10 @@ def test_edges(edges, nothing, tmp_path):
     empty = ngrams.train(nothing, f"file://{tmp_path}/b")
     assert empty.tokens == 0 and all(r.base_score == r.score == 0 and r.n_known == 0 for r in ngrams.score(edges, empty).collect())
     assert ngrams.score(nothing, trie).count() == 0
+
+
+def test_all_trigrams_are_stored(spark, tmp_path):
+    texts = ["the red fox ran over the green hill", "a red cat sat under the old tree"]
+    trie = ngrams.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"file://{tmp_path}/t")
+    seen = {tuple(w[k : k + 3]) for w in map(tokens_of, texts) for k in range(len(w) - 2)}
+    assert sum(len(ngrams.Shard(ngrams.mapped(f"{trie.folder}/grams-{s:04d}")).p3) for s in range(trie.shards)) == len(seen)

@@ -31,8 +31,8 @@ _QUOTES = re.compile('["“”„«»]')
 
 
 def edits(length: int) -> int:
-    """Misspellings allowed in a term of this length."""
-    return 0 if length < 5 else 1
+    """Misspellings allowed in a term of this length: letters changed, left out or too many, and neighbours swapped."""
+    return 0 if length < 5 else 1 if length < 8 else 2
 
 
 # ---------------------------------------------------------------- the automaton
@@ -42,7 +42,7 @@ def edits(length: int) -> int:
 class Automaton:
     """The deterministic intersection of all terms' Levenshtein automata with their trie.
 
-    States are sets of (trie node, edits so far); ``moves`` has a row for each state and a column for each letter of the
+    States are sets of (trie node, edits so far), ~node where a swap that ends there lacks its second letter; ``moves`` has a row for each state and a column for each letter of the
     lexicon, column 0 being all other letters.  A state accepts the term of least distance (ties: the first term).
     """
 
@@ -78,18 +78,21 @@ class Automaton:
         return term, distance
 
 
-def build_automaton(terms: list[str], allowed: Callable[[int], int] = edits) -> Automaton:
+def build_automaton(terms: list[str], allowed: Callable[[int], int] = edits, swaps: bool = False) -> Automaton:
+    """The automaton of the terms; with ``swaps`` two neighbouring letters in each other's place are one edit."""
     children: list[dict[str, int]] = [{}]
     ends: list[int] = [-1]
+    before = [""]  # the last letter but one on the way to a node
     most = [0]  # edits allowed to any term below
     for k, term in enumerate(terms):
         node, may = 0, allowed(len(term))
         most[0] = max(most[0], may)
-        for c in term:
+        for i, c in enumerate(term):
             if c not in children[node]:
                 children[node][c] = len(children)
                 children.append({})
                 ends.append(-1)
+                before.append(term[i - 1] if i else "")
                 most.append(0)
             node = children[node][c]
             most[node] = max(most[node], may)
@@ -101,7 +104,7 @@ def build_automaton(terms: list[str], allowed: Callable[[int], int] = edits) ->
         todo = deque(best.items())
         while todo:
             node, e = todo.popleft()
-            if best[node] < e:
+            if node < 0 or best[node] < e:
                 continue
             for child in children[node].values():  # a letter of the term left out
                 if e + 1 <= most[child] and e + 1 < best.get(child, 99):
@@ -112,19 +115,28 @@ def build_automaton(terms: list[str], allowed: Callable[[int], int] = edits) ->
     def after(state: tuple[tuple[int, int], ...], c: str | None) -> tuple[tuple[int, int], ...]:
         best: dict[int, int] = {}
         for node, e in state:
+            if node < 0:  # the second letter of a swap
+                if c == before[~node] and e < best.get(~node, 99):
+                    best[~node] = e
+                continue
             if e + 1 <= most[node] and e + 1 < best.get(node, 99):  # a letter too many
                 best[node] = e + 1
             for letter, child in children[node].items():
                 cost = e + (letter != c)
                 if cost <= most[child] and cost < best.get(child, 99):
                     best[child] = cost
+                over = children[child].get(c) if swaps and letter != c else None
+                if over is not None and e + 1 <= most[over] and e + 1 < best.get(~over, 99):
+                    best[~over] = e + 1
         return closed(best)
 
     start = closed({0: 0})
     states, rows, queue = {(): 0, start: 1}, {0: [0] * (len(letters) + 1)}, deque([start])
     while queue:
         state = queue.popleft()
-        near = {c for node, _ in state for c in children[node]}
+        near = {c for node, _ in state for c in (children[node] if node >= 0 else before[~node])}
+        if swaps:
+            near |= {c for node, e in state if node >= 0 for child in children[node].values() if e < most[child] for c in children[child]}
         other = after(state, None)
         row = []
         for c in (None, *letters):
@@ -136,7 +148,7 @@ def build_automaton(terms: list[str], allowed: Callable[[int], int] = edits) ->
         rows[states[state]] = row
     term, distance = np.full(len(states), -1), np.zeros(len(states), np.int64)
     for state, k in states.items():
-        hits = [(e, ends[n]) for n, e in state if ends[n] >= 0 and e <= allowed(len(terms[ends[n]]))]
+        hits = [(e, ends[n]) for n, e in state if n >= 0 and ends[n] >= 0 and e <= allowed(len(terms[ends[n]]))]
         if hits:
             distance[k], term[k] = min(hits)
     return Automaton(terms, letters, np.array([rows[k] for k in range(len(states))], np.int64).reshape(len(states), -1), term, distance)
@@ -249,7 +261,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         if words[w] and len(words[w]) > 2 and t >= max(TERM_DOCS, 0.005 * n_toxic) and odds >= TERM_ODDS:
             ranked.append((-odds, words[w]))
     terms = [w for _, w in sorted(ranked)[:TERMS]]
-    automaton = build_automaton(terms)
+    automaton = build_automaton(terms, swaps=True)
     found = list(hits_of(automaton, column)) if len(texts) else []
     docs = np.zeros((len(terms), 2, 2))
     for i, _, hits in found:

@@ -56,3 +56,30 @@ def test_held_out_and_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(1, 1), (2, 0), (9, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.predict(edges, toxicity.train_on(edges, labels)).count() == edges.count()
     assert toxicity.predict(nothing, toxicity.train_on(nothing, labels.limit(0))).count() == 0
+
+
+def swapped_distance(a, b):
+    """Edits, a swap of neighbours being one; no letter is edited twice."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=5, unique=True), st.lists(st.text("abcd", max_size=11), max_size=20))
+def test_swaps_equal_brute_force(terms, words):
+    term, dist = toxicity.build_automaton(terms, swaps=True).match(words)
+    for w, t, d in zip(words, term, dist, strict=True):
+        near = [(swapped_distance(w, x), k) for k, x in enumerate(terms) if swapped_distance(w, x) <= toxicity.edits(len(x))] if w else []
+        assert (t >= 0) == bool(near) and (not near or d == min(near)[0])
+
+
+def test_production_finds_swaps_and_two_edits():
+    automaton = toxicity.train(*planted()).automaton
+    assert (automaton.match(["idoit", "diiot", "mroon"])[0] >= 0).all()
+    long = toxicity.build_automaton(["worthless", "stupid"], swaps=True)
+    assert long.match(["worhtless", "wortlhess", "wurthlass", "stpuid", "wurthlasz"])[0].tolist() == [0, 0, 0, 1, -1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import uuid
@@ -13,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; documents of 100 KB then make batches of at most some tens of MB.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch at most; a single row above the bytes is a batch of its own.
+BATCH_ROWS = 4096
+BATCH_BYTES = 4 << 20
+#: Bytes of the batches that Spark sends, about.
+JVM_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,19 +53,46 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow over batches of at most ``rows`` rows, however large the session's batches are."""
-
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, rows):
-                    yield b.slice(at, rows)
-
-        yield from fn(parts())
-
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return df.mapInArrow(sliced, schema)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``rows`` rows and, but for single rows above it, ``size`` bytes."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and (have := b.slice(at, n).nbytes) > size:
+                n = max(1, min(n - 1, n * size // have))
+            yield b.slice(at, n)
+            at += n
+
+
+def release() -> None:
+    """Give freed memory back to the machine: an idle worker, and one whose next task is another operator's, holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow over batches of at most ``rows`` rows and ``size`` bytes, however large the session's batches are.
+
+    The plan is run later, so a session whose batches may be larger than ``JVM_BYTES`` is left with that bound; it changes
+    no result, only the memory that a batch takes outside the heap.
+    """
+    conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(bound).rstrip("bB")) <= JVM_BYTES:
+        conf.set(bound, str(JVM_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # large blocks go back to the machine when they are freed
+        try:
+            yield from fn(sliced(batches, rows, size))
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -62,6 +62,27 @@ def test_file_edges(edges, nothing, tmp_path):
     assert sorted(r.start for r in got)[0] == 0 and token_files.read(token_files.write(nothing, f"file://{tmp_path}/n")).count() == 0
 
 
+def test_one_id_on_many_rows_is_dealt_over_tasks(spark, tmp_path):
+    rows = [(7 if i % 3 else i, f"text {i} of one id") for i in range(300)]
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/h")
+    assert manifest.where("n_docs > 0").count() > 1
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read(manifest).collect())
+    assert [r[1] for r in got] == sorted(r[0] for r in rows) and [r[0] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1]]
+    want = [(doc, len(ids), crc(ids)) for doc, ids in ((d, [*ENCODER.tokenizer.encode(t, add_special_tokens=False).ids, 2]) for d, t in rows)]
+    assert sorted(r[1:] for r in got) == sorted(want)
+
+
+def test_cache_forgets_without_changing_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    own = tokens.ChunkEncoder(tokens.default_path())
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        texts = [" ".join(f"w{x}ord" for x in rng.zipf(1.3, 30) % 500) for _ in range(3)]
+        flat, at = own.encode(pa.array(texts))
+        for i, x in enumerate(texts):
+            assert flat[at[i] : at[i + 1]].tolist() == ENCODER.tokenizer.encode(x, add_special_tokens=False).ids
+
+
 def check_packed(rows, docs, size):
     seq, by = {}, {}
     for r in rows:
@@ -88,6 +109,15 @@ def test_packing_equals_brute_force(spark):
     assert n <= 1.02 * (sum(len(i) for _, i in all_ids) / 2048) + 1
 
 
+def test_fitted_patterns_place_most(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    lengths = [n for _, ids in brute(docs.collect(), 0) for n in [2048] * (len(ids) // 2048) + [len(ids) % 2048] if n]
+    left = np.bincount(lengths, minlength=2049)
+    left[2048] = 0
+    fitted = sum(copies for _, copies in packing.place_fitted(left, 2048))
+    assert fitted > 4 * sum(copies for _, copies in packing.best_fit(left, 2048))
+
+
 def test_packing_edges(edges, nothing, monkeypatch):
     monkeypatch.setattr(packing, "RUN", 2)  # lengths dealt over salts
     check_packed(packing.pack(edges, size=64).collect(), brute(edges.collect(), 0), 64)

@@ -18,9 +18,10 @@ SIZE = 2048
 SEPARATOR = 0
 #: Steps of the least-squares fit.
 STEPS = 300
+#: Share of the pieces that one fit places at least, if its patterns reach; the rest is fitted again.
+ROUND = 0.5
 #: Pieces of one length that are ranked together; longer runs are dealt over salts.
 RUN = 50_000
-ROWS = 1024
 
 
 # ---------------------------------------------------------------- the plan, from the histogram of lengths alone
@@ -56,9 +57,7 @@ def fit(found: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndar
     goal = histogram.astype(float)
     degree = np.bincount(found.ravel(), minlength=n).astype(float)
     degree[0] = 0
-    # the step of each pattern: 1 / a bound on its row sum in the normal matrix
-    step = 1.0 / (3 * np.maximum((weight * degree)[found].sum(1), 1e-9))
-    step *= 3.0
+    step = 1.0 / np.maximum((weight * degree)[found].sum(1), 1e-9)  # 1 / the pattern's row sum in the normal matrix
     x = np.zeros(len(found))
     y, t = x, 1.0
     for _ in range(steps):
@@ -72,6 +71,47 @@ def fit(found: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndar
     return x
 
 
+def place_fitted(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences of fitted patterns, as (lengths, copies); their pieces are taken from the histogram ``left``.
+
+    Counts are rounded by largest remainder: every pattern has its whole part first; if these are few, patterns have one
+    more in the order of the remainders, where their lengths are still there.  What is left is fitted again, until no
+    pattern fills a sequence.
+    """
+    kinds: list[tuple[tuple[int, ...], int]] = []
+
+    def put(pattern: np.ndarray, copies: int) -> None:
+        key = tuple(int(v) for v in pattern if v)
+        copies = min(copies, *(int(left[v]) // key.count(v) for v in key))
+        if copies > 0:
+            kinds.append((key, copies))
+            for v in key:
+                left[v] -= copies
+
+    while True:
+        found = patterns(left, size)
+        if not len(found):
+            return kinds
+        before = int(left.sum())
+        x = fit(found, left)
+        whole = np.floor(x + 1e-9).astype(np.int64)
+        order = np.argsort(-x, kind="stable")
+        for k in order[whole[order] > 0].tolist():
+            put(found[k], int(whole[k]))
+        rest = x - whole
+        order = np.argsort(-rest, kind="stable")
+        order = order[rest[order] > 0]
+        at = 0
+        while at < len(order) and left.sum() > (1 - ROUND) * before:  # a stretch at a time, without patterns whose lengths are gone
+            part = order[at : at + 512]
+            there = (left[found[part]] > 0) | (found[part] == 0)
+            for k in part[there.all(1)].tolist():
+                put(found[k], 1)
+            at += 512
+        if int(left.sum()) == before:
+            return kinds
+
+
 def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing over a histogram: bins of the same contents are handled together."""
     room: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)
@@ -112,8 +152,8 @@ def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
 def plan(histogram: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """Kinds of sequences, as (lengths in descending order, copies), that hold exactly the histogram's pieces.
 
-    Patterns come first, in order of their fitted counts, each rounded and at most as often as its lengths are left; the
-    residual is packed by best-fit decreasing over the same histogram.  Everything here is bounded by ``size``, not by the corpus.
+    Fitted patterns come first; the residual is packed by best-fit decreasing over the same histogram.  Everything here is
+    bounded by ``size``, not by the corpus.
     """
     left = histogram.astype(np.int64).copy()
     left[0] = 0
@@ -121,35 +161,8 @@ def plan(histogram: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...],
     if left[size]:
         kinds.append(((size,), int(left[size])))
         left[size] = 0
-    found = patterns(left, size)
-    x = fit(found, left)
-    times = np.rint(x).astype(np.int64)
-    for k in np.argsort(-x, kind="stable"):
-        if times[k] <= 0:
-            continue
-        key = tuple(int(v) for v in found[k] if v)
-        most = min(int(left[v]) // key.count(v) for v in set(key))
-        copies = min(int(times[k]), most)
-        if copies:
-            kinds.append((key, copies))
-            for v in key:
-                left[v] -= copies
-    # what rounding left: exact patterns that are still possible, longest first, then best fit
-    order = np.lexsort((-found[:, 1], -found[:, 0])) if len(found) else []
-    if len(found):
-        ok = (left[found[:, 0]] > 0) & (left[found[:, 1]] > 0) & ((found[:, 2] == 0) | (left[found[:, 2]] > 0))
-        for k in order:
-            if not ok[k]:
-                continue
-            key = tuple(int(v) for v in found[k] if v)
-            copies = min(int(left[v]) // key.count(v) for v in set(key))
-            if copies:
-                kinds.append((key, copies))
-                for v in key:
-                    left[v] -= copies
-    kinds += best_fit(left, size)
-    kinds = [k for k in kinds]
-    return kinds
+    kinds += place_fitted(left, size)
+    return kinds + best_fit(left, size)
 
 
 class Places:
@@ -199,7 +212,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, sep
             start = piece * size
             length = np.minimum(n[row] - start, size)
             raw = flat.astype("<u4")
-            crc = [zlib.crc32(raw[a : a + m].tobytes()) for a, m in zip((offsets[row] + start).tolist(), length.tolist(), strict=True)]
+            crc = [zlib.crc32(raw[a : a + m]) for a, m in zip((offsets[row] + start).tolist(), length.tolist(), strict=True)]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(take), b.column("row_key").take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
@@ -207,7 +220,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, sep
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text).alias("text"))
-    return map_arrow(rows, run, "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long", ROWS)
+    return map_arrow(rows, run, "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long", size=tokens.BATCH_BYTES)
 
 
 def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, separator: int | None = SEPARATOR, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,7 +262,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, separ
                     sequence[rows] = -1
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(sequence), pa.array(offset)], names=[*cols, "sequence_id", "offset"])
 
-    return map_arrow(ranked.select(*cols, "salt", "rank"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", 1 << 16)
+    return map_arrow(ranked.select(*cols, "salt", "rank"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

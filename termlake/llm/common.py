@@ -45,14 +45,31 @@ def _own_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The same rows, read from a table in the shared folder: later jobs neither recompute them nor lose them with an executor."""
     spark = df.sparkSession
     path = shared_dir(spark, "cut")
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that ``cut`` wrote and that go once all that reads them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def clear(self, keep: int = 0) -> None:
+        """Delete all tables but the last ``keep``."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
+        for p in gone:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most ``rows`` rows and, but for single rows above it, ``size`` bytes."""
     for b in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch, cut
 
 MOST_ROUNDS = 60
 
@@ -27,16 +27,19 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """node, component (the smallest node) of every node that has an edge to another.
 
-    Each round writes its edges to the shared folder; the number of rounds grows with the logarithm of the longest path.
+    Each round writes its edges to the shared folder, where those of the round before then go; the number of rounds grows
+    with the logarithm of the longest path.
     """
-    now = cut(edges.select(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).where("u <> v").distinct())
+    rounds = Scratch(edges.sparkSession)
+    now = cut(edges.select(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).where("u <> v").distinct(), rounds)
     state = None
     for _ in range(MOST_ROUNDS):
         size, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (size, mark) == state or not size:
             break
         state = (size, mark)
-        now = cut(_small(_large(now)))
+        now = cut(_small(_large(now)), rounds)
+        rounds.clear(keep=1)
     else:
         raise RuntimeError("components did not converge")
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u"), F.col("u")).distinct())

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, mix64, table
+from .common import Scratch, cut, map_arrow, mix64, table
 from .components import components
 from .ngrams import bundle, unbundle
 
@@ -38,7 +38,6 @@ FLUSH = 4_000_000
 BUCKET = 2_000_000
 #: Posting lists of up to so many groups are searched for postings that pass the filters with no other.
 SHORT_RUN = 16
-ROWS = 1024
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -139,7 +138,7 @@ def frequency_levels(texts: DataFrame, width: int = WORDS) -> np.ndarray:
         np.maximum.at(out, _slot(k[first]) - key[0].as_py() * (SKETCH // SKETCH_PARTS), np.log2(total).astype(np.uint8))
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([out.tobytes()], pa.binary())})
 
-    found = map_arrow(texts, count, "part int, block binary", ROWS).repartition(SKETCH_PARTS, "part").groupBy("part").applyInArrow(level, "part int, levels binary").collect()
+    found = map_arrow(texts, count, "part int, block binary").repartition(SKETCH_PARTS, "part").groupBy("part").applyInArrow(level, "part int, levels binary").collect()
     out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint8)
     for r in found:
         out[r.part] = np.frombuffer(r.levels, np.uint8)
@@ -154,18 +153,38 @@ def _group(x: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(x[: prefix_length(len(x))].tobytes(), seed=len(x))
 
 
+def signature(x: np.ndarray) -> bytes:
+    """A bit for each shingle, at its hash modulo the power of two from 1.5 times the set's size on."""
+    flags = np.zeros(max(8, 1 << (3 * len(x) // 2).bit_length()), bool)
+    flags[(x & np.uint64(len(flags) - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def may_link(n: int, one: bytes, m: int, two: bytes, percent: int = PERCENT) -> bool:
+    """Whether sets of these sizes and signatures can reach the threshold; never False for sets that do.
+
+    A bit that one signature has alone stands for a shingle that the other set lacks.  The longer signature is folded
+    to the length of the shorter, which is the signature that its set has at that length.
+    """
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(x.reshape(-1, size)) for x in (a, b))
+    common = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * common >= percent * (n + m - common)
+
+
 def _members(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, cls (16 bytes that name the set), grp (16 that name size and prefix) of every row."""
+    """doc_id, n, cls (16 bytes that name the set), grp (16 that name size and prefix), sig (its signature) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = ordered_sets(b.column("text"), levels)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_group(s) for s in sets], pa.binary())],
-                names=["doc_id", "n", "cls", "grp"],
+                [b.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(list(map(f, sets)), pa.binary()) for f in (_digest, _group, signature))],
+                names=["doc_id", "n", "cls", "grp", "sig"],
             )
 
-    return map_arrow(texts, run, "doc_id long, n long, cls binary, grp binary", ROWS)
+    return map_arrow(texts, run, "doc_id long, n long, cls binary, grp binary, sig binary")
 
 
 def _postings(texts: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
@@ -234,7 +253,7 @@ def _postings(texts: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
         raw = names.tobytes()
         return pa.table({"shingle": pa.array(k[many].view(np.int64)), "grp": pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), "n": pa.array(n[many], pa.int64()), "pos": pa.array(p[many], pa.int64())})
 
-    blocks = map_arrow(texts, split, "bucket int, block binary", ROWS).repartition(buckets, "bucket")
+    blocks = map_arrow(texts, split, "bucket int, block binary").repartition(buckets, "bucket")
     return blocks.groupBy("bucket").applyInArrow(meet, "shingle long, grp binary, n long, pos long")
 
 
@@ -262,7 +281,7 @@ def _sets(texts: DataFrame, levels: np.ndarray, pairs: DataFrame) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "set"])
 
-    return map_arrow(texts.select("text"), run, "cls binary, set binary", ROWS).groupBy("cls").agg(F.first("set").alias("set"))
+    return map_arrow(texts.select("text"), run, "cls binary, set binary").groupBy("cls").agg(F.first("set").alias("set"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -276,8 +295,25 @@ def _fits(a: str, b: str) -> str:
     return f"100 * {small} >= {PERCENT} * {large} AND {100 + PERCENT} * {rest} >= {PERCENT} * ({a}.n + {b}.n)"
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """The pairs (a, b) of classes whose similarity reaches the threshold."""
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that their signatures do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "x", "m", "y")), strict=True)
+            chosen = pa.array([may_link(*r) for r in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(chosen), batch.column("b").filter(chosen)], names=["a", "b"])
+
+    known = classes.select("cls", "n", "sig")
+    both = pairs.join(known.toDF("b", "m", "y"), "b").join(known.toDF("a", "n", "x"), "a")
+    return map_arrow(both.select("a", "b", "n", "x", "m", "y"), run, "a binary, b binary")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, levels: np.ndarray, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of classes whose similarity reaches the threshold; whole sets are sent only of pairs that may."""
+    if pairs.isEmpty():
+        return pairs
+    pairs = cut(_possible(pairs, classes), scratch)
     if pairs.isEmpty():
         return pairs
     sets = _sets(texts, levels, pairs)
@@ -306,12 +342,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     never are a component's id unless it has no other.  Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    scratch = Scratch(docs.sparkSession)
     levels = frequency_levels(texts.select("text"))
     members = cut(_members(texts, levels))
     size = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-int(size) // (4 * BUCKET)))
-    runs = cut(_postings(texts.select("text"), levels, buckets))
-    classes = cut(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("grp").alias("grp"), F.first("n").alias("n")))
+    runs = cut(_postings(texts.select("text"), levels, buckets), scratch)
+    classes = cut(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sig").alias("sig")), scratch)
     several = classes.groupBy("grp").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).where("c > 1")
 
     # first links: each posting list with its leader, each group of several classes with its first
@@ -319,17 +356,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     near = runs.alias("a").join(lead.alias("b"), "shingle").where(f"a.grp <> b.grp AND {_fits('a', 'b')}").select(F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")).distinct()
     firsts = classes.groupBy("grp").agg(F.min("cls").alias("first"))
     one = near.join(firsts.select(F.col("grp").alias("gb"), F.col("first").alias("b")), "gb").join(classes.select(F.col("grp").alias("ga"), F.col("cls").alias("a")), "ga").select("a", "b")
-    own = classes.join(several, "grp").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
-    tested = cut(_ordered(one.union(own)).distinct())
-    links = cut(_verify(tested, texts, levels))
-    parts = cut(components(links, "a", "b"))
+    own = classes.select("cls", "grp").join(several, "grp").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
+    tested = cut(_ordered(one.union(own)).distinct(), scratch)
+    links = cut(_verify(tested, texts, levels, classes, scratch), scratch)
+    parts = cut(components(links, "a", "b"), scratch)
 
     # the rest: pairs of groups, and of classes inside a group, that are not connected yet
-    named = cut(classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", F.coalesce("component", "cls").alias("label")))
+    named = cut(classes.select("cls", "grp").join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", F.coalesce("component", "cls").alias("label")), scratch)
     spans = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     marked = runs.join(spans, "grp")
     mixed = marked.groupBy("shingle").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("shingle")
-    marked = cut(marked.join(mixed, "shingle", "left_semi"))
+    marked = cut(marked.join(mixed, "shingle", "left_semi"), scratch)
     apart = "NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo)"
     rest = marked.alias("a").join(marked.alias("b"), "shingle").where(f"a.grp < b.grp AND {apart} AND {_fits('a', 'b')}").select(F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")).distinct()
     left, right = named.select(F.col("grp").alias("ga"), F.col("cls").alias("a"), F.col("label").alias("la")), named.select(F.col("grp").alias("gb"), F.col("cls").alias("b"), F.col("label").alias("lb"))
@@ -337,12 +374,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     inside = named.join(spans.where("lo <> hi").select("grp"), "grp", "left_semi")
     inside = inside.alias("x").join(inside.alias("y"), "grp").where("x.cls < y.cls AND x.label <> y.label").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     later = _ordered(cross.union(inside)).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.union(_verify(cut(later), texts, levels))
+    links = links.union(_verify(cut(later, scratch), texts, levels, classes, scratch))
     parts = components(links, "a", "b").withColumnRenamed("node", "cls")
 
     grouped = classes.select("cls", "low").join(parts, "cls", "left").select("cls", "low", F.coalesce("component", "cls").alias("component"))
     lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     found = cut(grouped.join(lowest, "component").select("cls", "component_id"))
+    scratch.clear()
     some = members.where("n > 0").join(found, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.union(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from termlake.llm import shingles
 from termlake.llm.components import components
@@ -54,6 +56,17 @@ def test_families_of_near_copies(spark):
     assert joined(spark.createDataFrame(data, "doc_id long, text string").repartition(5)) == brute(data)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 300), st.integers(0, 300), st.integers(0, 300))
+def test_signatures_rule_out_no_link(seed, both, left, right):
+    x = np.random.default_rng(seed).integers(0, 2**63, both + left + right, dtype=np.uint64)
+    a, b = x[: both + left], np.concatenate((x[:both], x[both + left :]))
+    if 100 * both >= 75 * (both + left + right):
+        assert shingles.may_link(len(a), shingles.signature(a), len(b), shingles.signature(b))
+    if both == 1 and min(left, right) > 60:
+        assert not shingles.may_link(len(a), shingles.signature(a), len(b), shingles.signature(b))
+
+
 def test_edges(edges, nothing):
     assert joined(edges) == brute([(r.doc_id, r.text) for r in edges.collect()])
     assert shingles.join(nothing).count() == 0

@@ -16,9 +16,10 @@ from .common import crc_mod, map_arrow, mix64, table
 
 #: Labelled documents of each language that the model is fitted on: those whose ids hash smallest.
 TRAIN_DOCS = 150
-#: Words of each language's lexicon at most, the counts and the share of one language that they need.
+#: Words of each language's lexicon at most (the most frequent), the counts and the share of one language that they need.
 LEXICON, LEXICON_COUNT, LEXICON_SHARE = 2000, 5, 0.9
-BUCKETS = 1 << 18
+#: Feature buckets, and cells of the weights (buckets times labels, 4 bytes each) at most: many labels get fewer buckets.
+BUCKETS, CELLS = 1 << 18, 1 << 24
 GRAM = 4
 AFFIX = 4
 STEPS = (25, 15)
@@ -26,7 +27,8 @@ BLOCK = 256
 UNKNOWN = "und"
 #: Documents whose language gets less than this share of their words' probability are rejected by ``keep``.
 MIN_SCORE = 0.4
-ROWS = 1024
+#: Bytes of text labelled at once with four labels or fewer; with more labels as much less.
+BATCH_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- words
@@ -45,7 +47,11 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return at, bare.dictionary.to_pylist(), offsets - offsets[0]
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(labels: int) -> int:
+    return min(BUCKETS, 1 << (CELLS // max(labels, 1)).bit_length() - 1)
+
+
+def features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams and affixes of the words, word after word, and each word's first place (plus the end)."""
     codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     length = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
@@ -69,7 +75,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(word[edge])
     owner, mark = np.concatenate(owners), np.concatenate(marks)
     order = np.argsort(owner, kind="stable")
-    bucket = (mix64(mark[order]) % np.uint64(BUCKETS)).astype(np.int32)
+    bucket = (mix64(mark[order]) % np.uint64(buckets)).astype(np.int32)
     return bucket, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words)))))
 
 
@@ -146,7 +152,7 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of each label for distinct words; words without letters say nothing."""
-        bucket, starts = features(words)
+        bucket, starts = features(words, len(self.weights))
         score = word_sums(self.weights, bucket, starts) / np.sqrt(np.maximum(np.diff(starts), 1))[:, None]
         none = len(self.labels)
         score = score + self.lexical[[self.lexicon.get(w, none) for w in words]]
@@ -184,10 +190,10 @@ def train(texts: list[str], tags: list[str]) -> Model:
     for y in range(k):
         own = [w for w in np.argsort(-count[:, y], kind="stable")[: LEXICON * 2] if words[w] and count[w, y] >= LEXICON_COUNT and count[w, y] >= LEXICON_SHARE * total[w]]
         lexicon |= {words[w]: y for w in own[:LEXICON]}
-    model = Model(labels, np.zeros((BUCKETS, k)), lexicon, np.zeros((k + 1, k)), np.eye(k))
+    model = Model(labels, np.zeros((buckets_for(k), k)), lexicon, np.zeros((k + 1, k)), np.eye(k))
     if k < 2 or not len(at):
         return model
-    bucket, starts = features(words)
+    bucket, starts = features(words, len(model.weights))
     scale = 1 / np.sqrt(np.maximum(np.diff(starts), 1))
     lex = np.array([lexicon.get(w, k) for w in words])
     mute = np.array([not w for w in words])
@@ -245,15 +251,20 @@ def train(texts: list[str], tags: list[str]) -> Model:
 
 
 def train_on(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = TRAIN_DOCS) -> Model:
-    """Fit on at most ``per_label`` whole documents of each label, those whose ids hash smallest."""
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label)
-    first = Window.partitionBy(label).orderBy(F.xxhash64(id_col), id_col)
-    ids = [r[0] for r in rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_label).select(id_col).distinct().collect()]
+    """Fit on at most ``per_label`` whole documents of each label, those whose ids hash smallest.
+
+    Rows without id, text or label are left out; of several rows of an id the one of the least label and text counts.
+    Without any the model knows no language.  Other columns are not read.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("label")).dropna()
+    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    ranked = rows.select("id", "label").withColumn("n", F.row_number().over(first))
+    ids = [r[0] for r in ranked.where(F.col("n") <= per_label).select("id").distinct().collect()]  # per_label to a label at most
     if not ids:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), {}, np.zeros((1, 0)), np.zeros((0, 0)))
-    found = docs.where(F.col(id_col).isin(ids) & F.col(label).isNotNull() & F.col(text).isNotNull()).select(id_col, text, label).limit(2 * len(ids)).collect()
-    found.sort(key=lambda r: (str(r[0]), r[2], r[1]))
-    return train([r[1] for r in found], [r[2] for r in found])
+        return Model([], np.zeros((1, 0), np.float32), {}, np.zeros((1, 0)), np.zeros((0, 0)))
+    found = rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct("label", "text")).alias("r")).collect()
+    found.sort(key=lambda r: str(r[0]))
+    return train([r["r"]["text"] for r in found], [r["r"]["label"] for r in found])
 
 
 def label_batch(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
@@ -277,10 +288,15 @@ def word_languages(model: Model, text: str) -> list[tuple[str, str, float]]:
     return [(raw, model.labels[p.argmax()] if words[a] else UNKNOWN, float(p.max())) for raw, a, p in zip(text.encode().split(), at, prob, strict=True)]
 
 
+def batch_bytes(model: Model) -> int:
+    return BATCH_BYTES * 4 // max(4, len(model.labels))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out (crc32 of the id mod 4 is 2), lang_pred, score of every row.
 
-    Null texts and texts without a letter are ``und`` with score 0; null ids stay null; repeated rows are each predicted.
+    Null texts and texts without a letter are ``und`` with score 0; null ids stay null; repeated rows are each predicted;
+    of labels with equal shares the first by name wins; other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,18 +305,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod(id_col, 4) == 2).alias("held_out"), F.col(text).alias("text"))
-    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double", ROWS)
+    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double", size=batch_bytes(model))
 
 
 def keep(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a known language of at least ``min_score``; all columns pass through."""
+    """The rows of ``docs`` with a known language of at least ``min_score``; all columns pass through.
+
+    Null texts and texts without a letter have no language and go; null ids and repeated rows pass as any; empty stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = label_batch(model, b.column(text))
             yield b.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema, ROWS)
+    return map_arrow(docs, run, docs.schema, size=batch_bytes(model))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

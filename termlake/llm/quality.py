@@ -18,7 +18,7 @@ from .common import Interner, map_arrow, table, texts_of
 SAMPLE = 400
 _SPACE, _SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#*$%&|<>"
 
-# Frequent function words of the languages that the rules know.
+#: Frequent function words of the languages that the rules know.
 STOP_WORDS = {
     "en": "the of and to in a is that it for was on are as with be at by this from or an",
     "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch",
@@ -34,6 +34,12 @@ class Text:
     def __init__(self, raw: bytes):
         self.raw = raw
 
+    def copy(self) -> Text:
+        """The same text with the measures computed so far."""
+        out = Text(self.raw)
+        out.__dict__.update(self.__dict__)
+        return out
+
     @cached_property
     def words(self) -> list[bytes]:
         return self.raw.split()
@@ -106,14 +112,13 @@ class Rule:
     rejects: Callable[[Text], bool]
 
 
-MAX_WORDS, MEAN_LENGTH, MAX_SYMBOLS, MAX_DUP_LINES, MIN_LETTER_WORDS, MIN_STOP_WORDS = 100_000, (2, 12), 0.1, 0.5, 0.6, 2
+MEAN_LENGTH, MAX_SYMBOLS, MAX_DUP_LINES, MIN_LETTER_WORDS, MIN_STOP_WORDS = (2, 12), 0.1, 0.5, 0.6, 2
 
 BASE = (
     Rule("few_words", lambda t: t.n_words < 50),
     Rule("repeated_words", lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
 )
 RULES = (
-    Rule("many_words", lambda t: t.n_words > MAX_WORDS),
     Rule("word_length", lambda t: not MEAN_LENGTH[0] * t.n_words <= t.word_chars <= MEAN_LENGTH[1] * t.n_words),
     Rule("symbols", lambda t: t.n_symbols > MAX_SYMBOLS * t.n_words),
     Rule("repeated_lines", lambda t: t.n_dup_lines > MAX_DUP_LINES * t.n_lines),
@@ -123,14 +128,17 @@ RULES = (
 
 
 def order_rules(texts: list[bytes], rules: tuple[Rule, ...], clock: Callable[[], float] = time.perf_counter) -> list[Rule]:
-    """Greedy order: next comes the rule that rejects most of those still left, per second of its cost on them."""
-    left, todo, out = texts, list(rules), []
+    """Greedy order: next comes the rule that rejects most of those still left, per second of its cost on them.
+
+    A rule's cost counts only what the rules before it have not computed: a text keeps the measures of those in front.
+    """
+    left, todo, out = [Text(x) for x in texts], list(rules), []
     while todo:
         best = None
         for rule in todo:
-            fresh = [Text(x) for x in left]
+            fresh = [t.copy() for t in left]
             began = clock()
-            kept = [t.raw for t in fresh if not rule.rejects(t)]
+            kept = [t for t in fresh if not rule.rejects(t)]
             cost = max(clock() - began, 1e-9)
             score = ((len(left) - len(kept)) / cost, -cost)
             if best is None or score > best[0]:
@@ -142,10 +150,11 @@ def order_rules(texts: list[bytes], rules: tuple[Rule, ...], clock: Callable[[],
 
 
 def sample_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SAMPLE) -> list[bytes]:
-    """Whole texts of ``size`` documents at most, those whose ids hash smallest (ids first, so that no texts are sorted)."""
-    ids = [r[0] for r in docs.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(size).collect()]
-    rows = docs.where(F.col(id_col).isin(ids)).select(text).limit(size).collect() if ids else []
-    return [(r[0] or "").encode() for r in rows]
+    """Whole texts of ``size`` documents at most, those whose ids hash smallest; of several rows of an id the least text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ids = [r[0] for r in rows.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(size).collect()]
+    found = rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("text").alias("text")).collect() if ids else []
+    return [r["text"].encode() for r in sorted(found, key=lambda r: r["id"])]
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,7 +179,8 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, id_col: str
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the base measures, whether a base rule fails, and the verdict of base rules and cascade.
 
-    Null texts count as empty; a repeated row is measured each time; null ids stay null.
+    Null texts count as empty; a repeated row is measured each time; null ids stay null; other columns are not read; an
+    empty table gives no rows.  A text that a base rule fails runs no other rule.
     """
     ordered = order_rules(sample_texts(docs, id_col, text), rules)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -213,7 +223,7 @@ m AS (
   FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN lin ON d.doc_id = lin.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= {MAX_WORDS} AND word_chars BETWEEN {MEAN_LENGTH[0]} * n_words AND {MEAN_LENGTH[1]} * n_words
+  NOT base_failed AND word_chars BETWEEN {MEAN_LENGTH[0]} * n_words AND {MEAN_LENGTH[1]} * n_words
   AND n_symbols <= {MAX_SYMBOLS} * n_words AND n_dup_lines <= {MAX_DUP_LINES} * n_lines
   AND n_letter >= {MIN_LETTER_WORDS} * n_words AND n_stop >= {MIN_STOP_WORDS} AS kept
 FROM f

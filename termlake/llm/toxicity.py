@@ -11,22 +11,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, map_arrow, table
 
 #: Labelled documents of each class that lexicon and weights are fitted on: those whose ids hash smallest.
 TRAIN_DOCS = 2000
-#: Lexicon terms at most, and what a word needs to be one: toxic documents with it, and smoothed log-odds.
+#: Lexicon terms at most (those of the highest odds; it bounds the automaton), and what a word needs to be one: toxic
+#: documents with it, and smoothed log-odds.
 TERMS, TERM_DOCS, TERM_ODDS = 400, 4, 2.0
 #: Words on each side of a hit that belong to its context.
 WINDOW = 8
-ROWS = 1024
 
-# Words beside which a term is mentioned, not used.
+#: Words beside which a term is mentioned, not used.
 MENTIONS = frozenset("word words term terms said says quote quoted called slur definition wort begriff sagte zitat mot terme dit citation palabra dijo cita".split())
-# Marks that open or close a quotation.
+#: Marks that open or close a quotation.
 _QUOTES = re.compile('["“”„«»]')
 
 
@@ -277,21 +277,27 @@ def train(texts: list[str], toxic: list[int]) -> Model:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = TRAIN_DOCS) -> Model:
-    """Fit on at most ``per_label`` whole documents of each class; ids with both labels count as toxic."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("__y"))
-    first = Window.partitionBy("__y").orderBy(F.xxhash64(id_col), id_col)
-    chosen = {r[0]: r[1] for r in known.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_label).select(id_col, "__y").collect()}
+    """Fit on at most ``per_label`` whole documents of each class, those whose ids hash smallest.
+
+    Ids with both labels count as toxic; of several rows of an id the least text counts; labels without a document, and
+    documents without a label, are left out.  Other columns are not read.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("y"))
+    chosen: dict = {}
+    for y in (0, 1):  # an ordered limit of each class, which tasks apply before they send
+        chosen |= {r[0]: y for r in known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label).collect()}
     if not chosen:
         return train([], [])
-    rows = docs.where(F.col(id_col).isin(list(chosen))).select(id_col, F.coalesce(F.col(text), F.lit(""))).limit(2 * len(chosen)).collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
+    rows = docs.where(F.col(id_col).isin(list(chosen))).groupBy(F.col(id_col).alias("id")).agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("text")).collect()
+    rows.sort(key=lambda r: r[0])
     return train([r[1] for r in rows], [chosen[r[0]] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out (crc32 of the id mod 5 is 0), score, predicted of every row.
 
-    Null texts score as empty ones; null ids stay null; repeated rows are each scored; an empty table gives no rows.
+    Null texts score as empty ones; null ids stay null; repeated rows are each scored; of terms equally near to a word the
+    first counts; other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +306,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod(id_col, 5) == 0).alias("held_out"), F.col(text).alias("text"))
-    return map_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int", ROWS)
+    return map_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,18 +168,16 @@ def read_range(uri: str, start: int, length: int) -> bytes:
 
 
 def mapped(uri: str) -> np.ndarray:
-    """A file's bytes, memory-mapped; one of another store is copied once to this machine's temporary folder as a cache."""
+    """A file's bytes, memory-mapped; one of another store is copied to a nameless file of this machine, which ends with the process."""
     path = _path(uri)
     if path is None:
-        import hashlib
         import tempfile
 
-        path = os.path.join(tempfile.gettempdir(), "termlake-" + hashlib.sha1(uri.encode()).hexdigest())
-        if not os.path.exists(path):
-            store, at = _fs(uri)
-            with store.open_input_stream(at) as src, open(tmp := f"{path}.{uuid.uuid4().hex}", "wb") as dst:
-                shutil.copyfileobj(src, dst, 1 << 22)
-            os.replace(tmp, path)
+        store, at = _fs(uri)
+        with store.open_input_stream(at) as src, tempfile.TemporaryFile() as own:
+            shutil.copyfileobj(src, own, 1 << 22)
+            own.flush()
+            return np.memmap(own, dtype=np.uint8, mode="r") if own.tell() else np.zeros(0, np.uint8)
     return np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
 
 

@@ -3,11 +3,15 @@
 The vocabulary is sorted by 64-bit word hash; a word's id is its place.  Bigrams and trigrams are dealt to shards by the
 hash of their first two words, so no single frequent word makes a large shard.  A shard file has these levels:
 
-* ``two``: keys ``id1 * V + id2`` of its bigrams as an Elias-Fano sequence, with quantised maximum-likelihood probabilities;
-* ``ctx``: the places in ``two`` that have successors, as an Elias-Fano sequence, with quantised back-off weights;
-* ``ptr``: for each such context the place of its first successor, as an Elias-Fano sequence (monotone pointers);
-* ``three``: successors ``context * V + id3``, relative to their context's place, as an Elias-Fano sequence, with quantised
-  smoothed probabilities.
+* ``two``: keys ``id1 * V + id2`` of its bigrams as an Elias-Fano sequence, with quantised maximum-likelihood probabilities
+  and, as each bigram is the context of its successors, quantised back-off weights;
+* ``ptr``: for each bigram the place of its first successor, as an Elias-Fano sequence (monotone pointers);
+* ``three``: ids of successors relative to their context: each context counts on from where the one before it ended, which
+  makes one Elias-Fano sequence; a successor is searched between its context's pointers only; with quantised smoothed
+  probabilities.
+
+Probabilities are quantised downwards, and the weights of shorter contexts are what the quantised ones leave of 1, so that
+the probabilities of all words after a context sum to 1, but for the rounding of the weight itself.
 
 All trigrams are stored (a KEEP above 1 leaves rarer ones out; their mass goes to the back-off weight).  Smoothing interpolates in the manner of Witten
 and Bell: a context seen c times with T distinct successors gives K*T / (c + K*T) to the shorter context.
@@ -17,7 +21,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,10 @@ from .common import crc_mod, map_arrow, mapped, mix64, shared_dir, table, write_
 BACKOFF = 4.0
 #: Trigrams need this count to be kept; at 1 all are.
 KEEP = 1
-#: Steps of the quantised logarithm of a probability to each factor of two.
-STEPS = 8
+#: Steps of the quantised logarithm of a probability (8 bits) and of a back-off weight (16 bits) to each factor of two.
+STEPS, WEIGHT_STEPS = 8, 2048
 #: Tokens to a shard of n-grams, and to one of the vocabulary.
 SHARD_TOKENS, VOCABULARY_TOKENS = 2_500_000, 20_000_000
-MOST_SHARDS = 1024
-ROWS = 1024
 #: The end of a text has the hash of no word's bytes.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 
@@ -74,10 +76,16 @@ def unbundle(data: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log2(np.maximum(p, 1e-30)) * STEPS), 0, 255).astype(np.uint8)
+    """The largest level that is no larger than p, where there is one."""
+    return np.clip(np.ceil(-np.log2(np.maximum(p, 1e-30)) * STEPS - 1e-9), 0, 255).astype(np.uint8)
+
+
+def quantise_weight(w: np.ndarray) -> np.ndarray:
+    return np.clip(np.ceil(-np.log2(np.maximum(w, 1e-30)) * WEIGHT_STEPS - 1e-9), 0, 65535).astype(np.uint16)
 
 
 LEVELS = 2.0 ** (-np.arange(256) / STEPS)
+WEIGHTS = 2.0 ** (-np.arange(65536) / WEIGHT_STEPS)
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -98,10 +106,11 @@ def _pack(low: np.ndarray, bits: int) -> np.ndarray:
 
 
 class EliasFano:
-    """A sorted sequence of distinct integers: low bits packed, high bits in unary, zeros counted by 64-bit word."""
+    """A sorted sequence of integers, distinct ones for ``find``: low bits packed, high bits in unary, zeros counted by 64-bit word."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.bits, self.low, self.high, self.zeros = n, bits, low, high, zeros
+        self.ones: np.ndarray | None = None  # set bits before each word, once asked for
 
     @classmethod
     def build(cls, x: np.ndarray) -> EliasFano:
@@ -147,8 +156,8 @@ class EliasFano:
         out[some] = np.where(beyond, 64 * len(self.high), word * 64 + place.astype(np.int64) + 1)
         return out
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x in the sequence, or -1; sorted x are found fastest."""
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """The place of each x in the sequence, or -1; with bounds, its place among those from ``first`` to before ``end``."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
@@ -156,6 +165,8 @@ class EliasFano:
         high, low = x >> np.uint64(self.bits), x & np.uint64((1 << self.bits) - 1)
         lo = np.minimum(self._starts(high) - high.astype(np.int64), self.n)
         hi = np.minimum(self._starts(high + np.uint64(1)) - high.astype(np.int64) - 1, self.n)
+        if first is not None:
+            lo, hi = np.maximum(lo, first), np.minimum(hi, end)
         live = np.flatnonzero(lo < hi)
         while len(live):  # binary search among the low bits of one high part
             middle = (lo[live] + hi[live]) >> 1
@@ -171,7 +182,9 @@ class EliasFano:
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at places."""
-        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high).astype(np.int64))))
+        if self.ones is None:
+            self.ones = 64 * np.arange(len(self.zeros), dtype=np.int64) - self.zeros.astype(np.int64)
+        ones = self.ones
         word = np.searchsorted(ones, at, side="right") - 1
         left, bits, place = (at - ones[word]).astype(np.uint64), self.high[word], np.zeros(len(at), np.uint64)
         for half in (32, 16, 8, 4, 2, 1):
@@ -236,7 +249,8 @@ class Trie:
     tokens: int  # N
     words: int  # V
     firsts: list[int]  # of each vocabulary shard its first id
-    shards: int
+    shards: int  # of n-grams
+    written: frozenset[int]  # those of them that have n-grams, and so a file
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +304,7 @@ def _vocabulary(texts: DataFrame, folder: str, shards: int) -> list[tuple[int, i
         write_file(f"{folder}/words-{s:04d}", iter(dump([k, c.astype(np.uint64)])))
         return pa.table({"shard": pa.array([s], pa.int32()), "words": pa.array([len(k)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64())})
 
-    blocks = map_arrow(texts, count, "shard int, block binary", ROWS)
+    blocks = map_arrow(texts, count, "shard int, block binary")
     done = blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(write, "shard int, words long, tokens long").collect()  # a row for each shard
     return sorted((r.shard, r.words, r.tokens) for r in done)
 
@@ -302,7 +316,8 @@ class Words:
         self.firsts = trie.firsts
         parts = [load(mapped(f"{trie.folder}/words-{s:04d}")) if trie.firsts[s + 1] > trie.firsts[s] else [np.zeros(0, np.uint64)] * 2 for s in range(len(trie.firsts) - 1)]
         self.hashes, self.counts = [p[0] for p in parts], [p[1] for p in parts]
-        self.next = [load(mapped(f"{trie.folder}/next-{s:04d}"))[0] if trie.firsts[s + 1] > trie.firsts[s] else np.zeros(0, np.uint32) for s in range(len(parts))] if successors else []
+        after = [load(mapped(f"{trie.folder}/next-{s:04d}")) if trie.firsts[s + 1] > trie.firsts[s] else [np.zeros(0)] * 2 for s in range(len(parts))] if successors else []
+        self.next, self.weight = [a[0] for a in after], [a[1] for a in after]
 
     def ids(self, distinct: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes, -1 where not in the vocabulary."""
@@ -353,35 +368,37 @@ def build_shard(key: np.ndarray, third: np.ndarray, count: np.ndarray, words: in
     kinds = np.diff(np.append(start, len(key)))
     owner = np.repeat(np.arange(len(two)), kinds)
     stay = np.flatnonzero((count >= keep) & (third < words))
-    spread = total + backoff * kinds
-    share = count[stay] / spread[owner[stay]]
-    held = np.bincount(owner[stay], share, len(two))
-    with_next = np.flatnonzero(np.bincount(owner[stay], minlength=len(two)))
-    number = np.zeros(len(two), np.int64)
-    number[with_next] = np.arange(len(with_next))
-    context = number[owner[stay]]
-    pointers = np.searchsorted(context, np.arange(len(with_next) + 1))
+    share = quantise(count[stay] / (total + backoff * kinds)[owner[stay]])
+    held = np.bincount(owner[stay], LEVELS[share], len(two))
+    context, third = owner[stay], third[stay].astype(np.uint64)
+    pointers = np.searchsorted(context, np.arange(len(two) + 1))
+    last = np.zeros(len(two), np.uint64)
+    some = np.diff(pointers) > 0
+    last[some] = third[pointers[1:][some] - 1] + np.uint64(1)
+    base = np.cumsum(last) - last  # where the contexts before have ended
     out = []
-    for ef in (two, with_next, pointers, context.astype(np.uint64) * np.uint64(words) + third[stay].astype(np.uint64)):
+    for ef in (two, pointers, base[context] + third):
         out += EliasFano.build(ef).arrays()
-    return [*out, quantise(total / np.maximum(firsts, 1)), quantise(1 - held[with_next]), quantise(share)]
+    return [*out, quantise(total / np.maximum(firsts, 1)), quantise_weight(1 - held), share]
 
 
 def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", tokens_hint: int | None = None) -> Trie:
-    """Count the n-grams of all texts and write the trie under ``folder``; null texts are empty.
+    """Count the n-grams of all texts and write the trie under ``folder``.
 
-    Tasks sum up what they have read before they send it, as compressed blocks of sorted arrays.  Every file is written
-    whole under a fixed name, so a retried task writes the same.
+    Null texts are empty (their end is their one token); repeated rows count each time; other columns are not read; an empty
+    table gives a trie without words, by which every token has probability 1.  Tasks sum up what they have read before they
+    send it, as compressed blocks of sorted arrays.  Shards grow in number with the tokens, not in size.  Every file is
+    written whole under a fixed name, so a retried task writes the same.
     """
     texts = docs.select(F.col(text).alias("text"))
     if tokens_hint is None:
         tokens_hint = texts.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
         tokens_hint //= 6
-    v_shards = max(1, min(MOST_SHARDS, -(-tokens_hint // VOCABULARY_TOKENS)))
-    shards = max(1, min(MOST_SHARDS, -(-tokens_hint // SHARD_TOKENS)))
+    v_shards = max(1, -(-tokens_hint // VOCABULARY_TOKENS))
+    shards = max(1, -(-tokens_hint // SHARD_TOKENS))
     found = {s: (w, n) for s, w, n in _vocabulary(texts, folder, v_shards)}
     firsts = np.concatenate(([0], np.cumsum([found.get(s, (0, 0))[0] for s in range(v_shards)]))).tolist()
-    trie = Trie(folder, sum(n for _, n in found.values()), int(firsts[-1]), [int(x) for x in firsts], shards)
+    trie = Trie(folder, sum(n for _, n in found.values()), int(firsts[-1]), [int(x) for x in firsts], shards, frozenset())
     if not trie.words:
         return trie
 
@@ -427,28 +444,40 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
         two = key2[np.flatnonzero(np.concatenate(([True], key2[1:] != key2[:-1])))]
         first = (two // np.uint64(trie.words)).astype(np.int64)
         words = Words(trie, False)
-        write_file(f"{folder}/grams-{s:04d}", iter(dump(build_shard(key2, third, n, trie.words, words.of(words.counts, first)))))
-        ids, kinds = np.unique(first, return_counts=True)
+        arrays = build_shard(key2, third, n, trie.words, words.of(words.counts, first))
+        write_file(f"{folder}/grams-{s:04d}", iter(dump(arrays)))
+        new = np.flatnonzero(np.diff(first, prepend=-1))
+        ids, kinds, mass = first[new], np.diff(np.append(new, len(first))), np.add.reduceat(LEVELS[arrays[12]], new)
         cuts = np.searchsorted(ids, trie.firsts)
-        out = [(v, bundle([ids[cuts[v] : cuts[v + 1]].astype(np.uint64), kinds[cuts[v] : cuts[v + 1]].astype(np.uint32)])) for v in range(v_shards) if cuts[v + 1] > cuts[v]]
-        return pa.Table.from_batches([_binary_rows(out)])
+        out = [(v, bundle([x[cuts[v] : cuts[v + 1]].astype(kind) for x, kind in ((ids, np.uint64), (kinds, np.uint32), (mass, np.float32))])) for v in range(v_shards) if cuts[v + 1] > cuts[v]]
+        return pa.Table.from_batches([_binary_rows(out)]).append_column("grams", pa.array([s] * len(out), pa.int32()))
 
     def successors(key, data):
         v = key[0].as_py()
-        total = np.zeros(trie.firsts[v + 1] - trie.firsts[v], np.uint32)
+        total, mass = np.zeros(trie.firsts[v + 1] - trie.firsts[v], np.uint32), np.zeros(trie.firsts[v + 1] - trie.firsts[v])
         for block in data.column("block"):
-            ids, n = unbundle(block.as_py(), ["<u8", "<u4"])
-            total[ids.astype(np.int64) - trie.firsts[v]] += n
-        write_file(f"{folder}/next-{v:04d}", iter(dump([total])))
-        return pa.table({"shard": pa.array([v], pa.int32())})
-
-    blocks = map_arrow(texts, count, "shard int, block binary", ROWS).repartition(shards, "shard")
-    kinds = blocks.groupBy("shard").applyInArrow(write, "shard int, block binary").repartition(v_shards, "shard")
-    done = {r.shard for r in kinds.groupBy("shard").applyInArrow(successors, "shard int").collect()}
+            ids, n, m = unbundle(block.as_py(), ["<u8", "<u4", "<f4"])
+            at = ids.astype(np.int64) - trie.firsts[v]
+            total[at] += n
+            mass[at] += m
+        save(v, total, mass)
+        return pa.table({"shard": pa.array([v], pa.int32()), "grams": pa.array([data.column("grams").unique().to_pylist()], pa.list_(pa.int32()))})
+
+    def save(v: int, total: np.ndarray, mass: np.ndarray) -> None:
+        """Write of each word its distinct successors and the weight that its quantised bigrams leave."""
+        lower = BACKOFF * total
+        count = load(mapped(f"{folder}/words-{v:04d}"))[1].astype(np.float64)
+        left = np.where(total > 0, 1 - count / np.maximum(count + lower, 1) * mass, 1)
+        write_file(f"{folder}/next-{v:04d}", iter(dump([total, np.nextafter(left.astype(np.float32), np.float32(0))])))
+
+    blocks = map_arrow(texts, count, "shard int, block binary").repartition(shards, "shard")
+    kinds = blocks.groupBy("shard").applyInArrow(write, "shard int, block binary, grams int").repartition(v_shards, "shard")
+    done = {r.shard: r.grams for r in kinds.groupBy("shard").applyInArrow(successors, "shard int, grams array<int>").collect()}  # numbers of shards only
     for v in range(v_shards):  # shards whose words all stand before the end of a text only
-        if v not in done and trie.firsts[v + 1] > trie.firsts[v]:
-            write_file(f"{folder}/next-{v:04d}", iter(dump([np.zeros(trie.firsts[v + 1] - trie.firsts[v], np.uint32)])))
-    return trie
+        size = trie.firsts[v + 1] - trie.firsts[v]
+        if v not in done and size:
+            save(v, np.zeros(size, np.uint32), np.zeros(size))
+    return replace(trie, written=frozenset(g for grams in done.values() for g in grams))
 
 
 # ---------------------------------------------------------------- scoring
@@ -457,27 +486,34 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
 class Shard:
     def __init__(self, raw: np.ndarray):
         a = load(raw)
-        self.two, self.ctx, self.ptr, self.three = (EliasFano(int(a[k][0]), int(a[k][1]), *a[k + 1 : k + 4]) for k in (0, 4, 8, 12))
-        self.p2, self.back, self.p3 = a[16:19]
+        self.two, self.ptr, self.three = (EliasFano(int(a[k][0]), int(a[k][1]), *a[k + 1 : k + 4]) for k in (0, 4, 8))
+        self.p2, self.back, self.p3 = a[12:15]
+
+    def successor(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place in ``three`` of each word after each context (places in ``two``, ascending), or -1."""
+        new = np.diff(context, prepend=-1) > 0
+        distinct, which = context[new], np.cumsum(new) - 1
+        first, end = (self.ptr.get(distinct + k).astype(np.int64) for k in (0, 1))
+        base = np.zeros(len(distinct), np.uint64)
+        later = first > 0
+        base[later] = self.three.get(first[later] - 1) + np.uint64(1)  # the context counts on from there
+        return self.three.find(base[which] + word.astype(np.uint64), first[which], end[which])
 
 
 class Scorer:
     """A trie's files, memory-mapped, and the scores of texts by them."""
 
     def __init__(self, trie: Trie):
-        import os
-
         self.trie = trie
         self.words = Words(trie, True) if trie.words else None
-        self.shards: dict[int, Shard | None] = {}
-        self.exists = os.path.exists
+        self.shards: dict[int, Shard] = {}
 
     def shard(self, s: int) -> Shard | None:
+        """A shard that has n-grams, or None; that the file of one is lost is an error."""
+        if s not in self.trie.written:
+            return None
         if s not in self.shards:
-            try:
-                self.shards[s] = Shard(mapped(f"{self.trie.folder}/grams-{s:04d}"))
-            except FileNotFoundError:  # no bigram has this hash
-                self.shards[s] = None
+            self.shards[s] = Shard(mapped(f"{self.trie.folder}/grams-{s:04d}"))
         return self.shards[s]
 
     def _grams(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -501,11 +537,9 @@ class Scorer:
                 continue
             at = one.two.find(distinct[rows])
             hit = np.flatnonzero(at >= 0)
-            value[rows[hit]] = LEVELS[one.p2[at[hit]]]
-            place = one.ctx.find(at[hit])
-            more = np.flatnonzero(place >= 0)
-            context[rows[hit[more]]] = place[more]
-            gamma[rows[hit[more]]] = LEVELS[one.back[place[more]]]
+            context[rows[hit]] = at = at[hit]
+            value[rows[hit]] = LEVELS[one.p2[at]]
+            gamma[rows[hit]] = WEIGHTS[one.back[at]]
         p2[i] = value[which]
         # a token's context is the bigram that ends before it
         ends = np.full(n, -1, np.int64)
@@ -516,20 +550,19 @@ class Scorer:
         back[j] = gamma[c]
         known = j[ids[j] >= 0]
         c = ends[known - 1]
-        key = context[c].astype(np.uint64) * v + ids[known].astype(np.uint64)
-        order = np.lexsort((key, owner[c]))
+        order = np.lexsort((ids[known], context[c], owner[c]))
         cuts = np.searchsorted(owner[c][order], np.arange(self.trie.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             one, rows = self.shard(s), order[cuts[s] : cuts[s + 1]]
-            at = one.three.find(key[rows])
+            at = one.successor(context[c[rows]], ids[known[rows]])
             hit = np.flatnonzero(at >= 0)
             p3[known[rows[hit]]] = LEVELS[one.p3[at[hit]]]
         return p2, p3, back
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, known tokens, base score and score of each text."""
+    def probabilities(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets of the texts, and of each token whether it is known, its base probability and its probability."""
         distinct, at, offsets = hashes(texts)
-        size, n, v = np.diff(offsets), self.trie.tokens, self.trie.words
+        n, v = self.trie.tokens, self.trie.words
         ids = self.words.ids(distinct) if self.words else np.full(len(distinct), -1, np.int64)
         count = np.zeros(len(distinct))
         known = np.flatnonzero(ids >= 0)
@@ -538,19 +571,22 @@ class Scorer:
         one = ((count + 1) / (n + v + 1))[at]
         p = one
         if len(known):
-            successors = np.zeros(len(distinct))
+            successors, left = np.zeros(len(distinct)), np.ones(len(distinct))
             successors[known] = self.words.of(self.words.next, ids[known])
-            lower = BACKOFF * successors
-            weight = np.where(count > 0, lower / np.maximum(count + lower, 1e-9), 1.0)
-            weight[successors == 0] = 1.0
+            left[known] = self.words.of(self.words.weight, ids[known])
+            kept = np.where(successors > 0, count / np.maximum(count + BACKOFF * successors, 1e-9), 0)
             before = np.concatenate(([0], at[:-1]))
             first = np.zeros(len(at), bool)
             first[offsets[:-1]] = True
-            gamma = np.where(first, 1.0, weight[before])
             p2, p3, back = self._grams(ids[at], offsets)
-            p = p3 + back * ((1 - gamma) * p2 + gamma * one)
-        total = lambda x: np.add.reduceat(x, offsets[:-1]) if len(size) else np.zeros(0)
-        return size, total((count > 0)[at].astype(np.int64)), total(np.log10(one)), total(np.log10(p))
+            p = p3 + back * (np.where(first, 0, kept[before]) * p2 + np.where(first, 1, left[before]) * one)
+        return offsets, (count > 0)[at], one, p
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, known tokens, base score and score of each text."""
+        offsets, known, one, p = self.probabilities(texts)
+        total = lambda x: np.add.reduceat(x, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
+        return np.diff(offsets), total(known.astype(np.int64)), total(np.log10(one)), total(np.log10(p))
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -565,7 +601,11 @@ def scorer(trie: Trie) -> Scorer:
 
 
 def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; null texts are empty, null ids stay null."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    Null texts are empty and have their end alone; null ids stay null; repeated rows are each scored; other columns are not
+    read; an empty table gives no rows.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -574,7 +614,7 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text: str = "text
             n = pa.array(np.full(len(size), trie.tokens), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), n, pa.array(base), pa.array(full)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", ROWS)
+    return map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

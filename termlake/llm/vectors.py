@@ -122,12 +122,20 @@ def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> Co
 
 
 def valid(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and vec of rows with an id whose vector is not null, not zero, all finite and of the most common length."""
+    """vec_id and vec of rows with an id whose vector is not null, not zero, all finite and of the most common length.
+
+    Of several such rows of an id the least vector counts, number by number.
+    """
     v = F.col(vector)
     fine = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     out = rows.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("vec"))
     sizes = out.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return out.where(F.size("vec") == (sizes["n"] if sizes else 0))
+    out = out.where(F.size("vec") == (sizes["n"] if sizes else 0))
+    again = cut(out.groupBy("vec_id").count().where("count > 1").select("vec_id"))
+    if again.isEmpty():
+        return out
+    least = out.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return out.join(again, "vec_id", "left_anti").unionByName(least)
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -164,7 +172,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
 
     Rows without a usable vector take no part.  Equal vectors are searched as one, with their k + 1 smallest ids, so a
     vector that a third of all rows share costs no more than another.  Chunks of vectors meet blocks of queries; a group
-    holds one of each.  Repeated ids count once each.
+    holds one of each.  Rows of one id count once, among queries and candidates, with their least vector.  Other columns are
+    not read; an empty table, or no query, gives no rows.
     """
     spark = rows.sparkSession
     good, asked = valid(rows, id_col, vector), valid(queries, id_col, vector)

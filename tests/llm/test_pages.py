@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 from html import unescape
 
 from termlake.llm import pages
@@ -39,5 +40,50 @@ def test_hosts_outvote_odd_pages(spark):
 def test_many_hosts_join_by_salts(spark, monkeypatch):
     df = spark.read.parquet(f"{SMALL}/pages.parquet")
     a = sorted((r.page_id, r.text) for r in pages.main_text(df).collect())
-    monkeypatch.setattr(pages, "BROADCAST_HOSTS", 1)
+    monkeypatch.setattr(pages, "BROADCAST_BYTES", 1)
     assert sorted((r.page_id, r.text) for r in pages.main_text(df).collect()) == a
+
+
+def test_marked_words_inside_an_article_stay():
+    assert pages.extract('<article><p>One.</p><div class="related-work"><p>Two.</p></div><p class="promotion-history">Three.</p></article>', None) == "One.\nTwo.\nThree."
+    assert pages.extract("<article><p>One <span class='ad'>buy</span> more <button>go</button> now.</p><div class='ad-box'>x</div></article>", None) == "One more now."
+
+
+def template(body, k):
+    return f"""<body><div class="site-header"><p>{"A name of a site. " * 9}</p></div><div class="content"><div class="text p{k}">{body}</div><div class="share-this-story"><p>{"Tell your friends about it. " * 3}</p></div>
+<div class="comment-list"><p>{"I do not agree with any of that. " * 30}</p></div></div><div class="sidebar"><ul>{"<li>some other story of ours</li>" * 30}</ul></div><div id="footer">The end.</div></body>"""
+
+
+def test_hosts_without_article_elements(spark):
+    bodies = [f"<h1>Story {k}</h1><p>{'What was seen there. ' * (3 + k)}</p>" for k in range(5)]
+    bodies[2] += '<p class="comment-by-editor">Corrected later.</p>'
+    rows = [(k, f"http://a.example/{k}", template(b, k), "x", 1) for k, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, host string, path int")
+    got = [(r.page_id, r.text) for r in pages.main_text(df).collect()]
+    want = [(k, re.sub("<[^>]*>", "\n", b.replace("</h1><p>", "\n")).strip().replace(" \n", "\n").replace("\n\n", "\n")) for k, b in enumerate(bodies)]
+    assert sorted(got) == sorted(want + want[:1])
+
+
+def test_weak_marks_count_by_the_vote_of_the_host(spark):
+    page = lambda k, extra: f"<article><p>{'Text of the story. ' * 5}{k}</p>{extra}</article>"
+    slot = '<div class="more-related-things"><p>Other stories.</p></div>'
+    rows = [(k, "http://b.example/x", page(k, slot)) for k in range(5)] + [(k, "http://c.example/x", page(k, slot if k == 5 else "")) for k in range(5, 9)] + [(9, "http://d.example/x", page(9, slot))]
+    got = {r.page_id: "Other" in r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: k in (5, 9) for k in range(10)}
+
+
+def test_broken_markup_takes_linear_time():
+    for piece in ('<a href="x ', "<a href='x \"y ", "<p class=\"a' ", "<svg>", "<!", "</", "<div><p>", "<b "):
+        took = []
+        for n in (10_000, 80_000):
+            began = time.process_time()
+            pages.parse(piece * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 40 * max(took[0], 0.02), piece
+    assert pages.extract('<p>a<a href="x>b</a> c</p>', None) == "ab c"
+
+
+def test_tokens():
+    html = """<p class="a>b" id='c'>x<!-- <p> --><![CDATA[y]]></P ><br/><title>no</title>1 < 2<?php ?></p"""
+    assert [t for t in pages.tokens(html) if t[0] != "text"] == [("open", "p", """ class="a>b" id='c'"""), ("close", "p", ""), ("open", "br", "/")]
+    assert "".join(t[1] for t in pages.tokens(html) if t[0] == "text") == "x1 < 2"

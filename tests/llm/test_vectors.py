@@ -49,3 +49,18 @@ def test_anisotropic_codes_lower_parallel_error():
     x = np.random.default_rng(3).normal(size=(800, 8))
     error = lambda t: np.abs(np.einsum("nd,nd->n", x - (b := vectors.fit(x, t)).decode(vectors.pack(b.assign(x))), x / np.linalg.norm(x, axis=1, keepdims=True))).mean()
     assert error(0.6) < error(0.0)
+
+
+def test_rows_of_one_id_count_once(spark):
+    rows = [(0, [3.0, 1.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (3, [1.0, 0.5]), (1, [5.0, 5.0]), (5, [0.5, 0.5]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 1.0, 2) for i, v in rows], "vec_id long, embedding array<double>, query_id string, score double, rank int")
+    least = sorted({i: min(v for j, v in rows if j == i) for i, _ in rows}.items())
+    assert found(vectors.search(df, df.where("vec_id % 20 = 0"), k=20)) == brute(least, [0, 20], 20)
+    assert vectors.search(df, df.where("vec_id % 20 = 0"), k=20).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_recall_at_sf01(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(SMALL.replace("sf0.001", "sf0.1") + "/embeddings.parquet").collect()]
+    want = brute(rows, [i for i, _ in rows if i % 20 == 0], 20)
+    got = found(vectors.query(spark, SMALL.replace("sf0.001", "sf0.1")))
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.98

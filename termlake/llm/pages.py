@@ -8,11 +8,13 @@ names speak against an element only as far as its host's pages agree, but for na
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ WEAK, STRONG = 1, 2
 VOTERS, SHARE = 3, 0.5
 #: Value of text under a strong mark, and under a weak one, when containers are scored.
 DOUBT = {STRONG: 0.01, WEAK: 0.5, 0: 1.0}
+#: A path longer than this goes on from its hash, so that deep pages take no more.
+LONG_PATH = 1000
 #: An open element that the start of another ends.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -173,6 +177,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
     nodes = [Node(-1, "", False)]
     blocks: list[tuple[int, str, int]] = []
     stack = [Open("", 0, False, False, False)]
+    held: Counter[str] = Counter()  # open elements by tag
     parts: list[str] = []
     linked = 0
 
@@ -186,8 +191,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
         linked = 0
 
     def close(depth: int) -> None:
-        if any(o.tag in BLOCKS for o in stack[depth:]):
+        gone = stack[depth:]
+        if any(o.tag in BLOCKS for o in gone):
             flush()
+        for o in gone:
+            held[o.tag] -= 1
         del stack[depth:]
 
     for kind, tag, raw in tokens(html):
@@ -200,17 +208,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
                     linked += len(text)
             continue
         if kind == "close":
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
-            else:
+            if not held[tag]:
                 if tag in BLOCKS:
                     flush()
+                continue
+            depth = len(stack) - 1
+            while stack[depth].tag != tag:
+                depth -= 1
+            close(depth)
             continue
         top, block = stack[-1], tag in BLOCKS
         if block:
-            for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+            for depth in range(len(stack) - 1, 0, -1) if held["p"] else ():  # a block ends an open paragraph
                 if stack[depth].tag == "p":
                     close(depth)
                     break
@@ -223,7 +232,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
                     if stack[depth].tag in ENDS[tag]:
                         close(depth)
                         break
-            if tag in ("body", "html") and any(o.tag == tag for o in stack):
+            if tag in ("body", "html") and held[tag]:
                 continue
             flush()
             top = stack[-1]
@@ -249,10 +258,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
         if not junk and (mark or tag in CONTAINERS):
             names = sorted({_DIGITS.sub("", c) for c in classes.lower().split()} - {""})
             is_whole = not mark and (tag in WHOLE or (whole and not top.whole))
-            nodes.append(Node(node, f"{nodes[node].path}/{'.'.join([tag, *names])}", is_whole, mark, tag in CONTAINERS))
+            way = nodes[node].path
+            if len(way) > LONG_PATH:
+                way = f"~{xxhash.xxh3_128_hexdigest(way)}"
+            nodes.append(Node(node, f"{way}/{'.'.join([tag, *names])}", is_whole, mark, tag in CONTAINERS))
             node = len(nodes) - 1
             whole = whole or is_whole
         stack.append(Open(tag, node, junk, top.link or tag == "a", whole))
+        held[tag] += 1
     flush()
     return nodes, blocks
 

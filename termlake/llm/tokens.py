@@ -11,10 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks, and half as many pieces of chunks, that a worker remembers (some 120 MB together).
-CACHE = 400_000
+#: Chunks, and half as many pieces of chunks, that a worker remembers (some 180 MB together).
+CACHE = 600_000
 #: Bytes of text that are tokenized at once.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 8 << 20
 #: Chunks of these characters need no normalization but lower case, and the pieces of their lower case are plain to see.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")

@@ -82,6 +82,34 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int
             at += n
 
 
+#: What modules keep in a worker from task to task (tokenizers, mapped models).
+CACHES: list[dict] = []
+_last: list[str] = []
+
+
+def begin(job: str) -> None:
+    """At the start of a task: a worker that did another job before lets go of what it kept for that."""
+    pa.set_memory_pool(pa.system_memory_pool())  # large blocks go back to the machine when they are freed
+    if _last != [job]:
+        _last[:] = [job]
+        for cache in CACHES:
+            cache.clear()
+        release()
+
+
+def grouped(fn: Callable) -> Callable:
+    """A function for applyInArrow that gives memory back after each group."""
+
+    def run(key, data):
+        begin(f"{fn.__module__}.{fn.__qualname__}")
+        out = fn(key, data)
+        del data
+        release()
+        return out
+
+    return run
+
+
 def release() -> None:
     """Give freed memory back to the machine: an idle worker, and one whose next task is another operator's, holds little."""
     gc.collect()
@@ -103,7 +131,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         conf.set(bound, str(JVM_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())  # large blocks go back to the machine when they are freed
+        begin(f"{fn.__module__}.{fn.__qualname__}")
         try:
             yield from fn(sliced(batches, rows, size))
         finally:

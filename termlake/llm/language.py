@@ -28,7 +28,7 @@ UNKNOWN = "und"
 #: Documents whose language gets less than this share of their words' probability are rejected by ``keep``.
 MIN_SCORE = 0.4
 #: Bytes of text labelled at once with four labels or fewer; with more labels as much less.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- words

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, mapped, mix64, shared_dir, table, write_file
+from .common import CACHES, crc_mod, grouped, map_arrow, mapped, mix64, shared_dir, table, write_file
 
 #: Weight of distinct successors in the back-off, K above.
 BACKOFF = 4.0
@@ -305,7 +305,7 @@ def _vocabulary(texts: DataFrame, folder: str, shards: int) -> list[tuple[int, i
         return pa.table({"shard": pa.array([s], pa.int32()), "words": pa.array([len(k)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64())})
 
     blocks = map_arrow(texts, count, "shard int, block binary")
-    done = blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(write, "shard int, words long, tokens long").collect()  # a row for each shard
+    done = blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(grouped(write), "shard int, words long, tokens long").collect()  # a row for each shard
     return sorted((r.shard, r.words, r.tokens) for r in done)
 
 
@@ -471,8 +471,8 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
         write_file(f"{folder}/next-{v:04d}", iter(dump([total, np.nextafter(left.astype(np.float32), np.float32(0))])))
 
     blocks = map_arrow(texts, count, "shard int, block binary").repartition(shards, "shard")
-    kinds = blocks.groupBy("shard").applyInArrow(write, "shard int, block binary, grams int").repartition(v_shards, "shard")
-    done = {r.shard: r.grams for r in kinds.groupBy("shard").applyInArrow(successors, "shard int, grams array<int>").collect()}  # numbers of shards only
+    kinds = blocks.groupBy("shard").applyInArrow(grouped(write), "shard int, block binary, grams int").repartition(v_shards, "shard")
+    done = {r.shard: r.grams for r in kinds.groupBy("shard").applyInArrow(grouped(successors), "shard int, grams array<int>").collect()}  # numbers of shards only
     for v in range(v_shards):  # shards whose words all stand before the end of a text only
         size = trie.firsts[v + 1] - trie.firsts[v]
         if v not in done and size:
@@ -590,6 +590,7 @@ class Scorer:
 
 
 _SCORERS: dict[str, Scorer] = {}
+CACHES.append(_SCORERS)
 
 
 def scorer(trie: Trie) -> Scorer:

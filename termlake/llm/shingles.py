@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, map_arrow, mix64, table
+from .common import Scratch, cut, grouped, map_arrow, mix64, table
 from .components import components
 from .ngrams import bundle, unbundle
 
@@ -31,11 +31,10 @@ WORDS = 5
 PERCENT = 75
 #: Slots of the sketch that orders shingles by frequency, and bits of the filter of classes to compare; fixed, 4 and 8 MB.
 SKETCH, FILTER = 1 << 22, 1 << 26
-SKETCH_PARTS = 16
 #: Shingles after which a task sends on what it has counted.
 FLUSH = 4_000_000
-#: Shingles of a bucket of posting lists, on average.
-BUCKET = 2_000_000
+#: Prefix shingles of a bucket of posting lists, on average.
+BUCKET = 1_000_000
 #: Posting lists of up to so many groups are searched for postings that pass the filters with no other.
 SHORT_RUN = 16
 _FACTOR = 0x9E3779B97F4A7C15
@@ -96,8 +95,10 @@ def frequency_levels(texts: DataFrame, width: int = WORDS) -> np.ndarray:
     """For each slot of the sketch the binary logarithm of its most frequent shingle's count, 0 for rare ones.
 
     Tasks count exactly what they read between two flushes and send shingles seen twice or more; the rest cannot be
-    frequent there.  The sketch only orders shingles, any order gives right results.
+    frequent there.  The sketch only orders shingles, any order gives right results.  It is summed up in as many parts as
+    shuffles have.
     """
+    parts = min(SKETCH, 1 << max(4, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -108,10 +109,12 @@ def frequency_levels(texts: DataFrame, width: int = WORDS) -> np.ndarray:
             first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
             n = np.diff(np.append(first, len(k)))
             k, n = k[first[n > 1]], n[n > 1]
-            part = _slot(k) * SKETCH_PARTS // SKETCH
-            for p in range(SKETCH_PARTS):
-                mine = part == p
-                if mine.any():
+            part = _slot(k) // (SKETCH // parts)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in range(parts):
+                mine = order[cuts[p] : cuts[p + 1]]
+                if len(mine):
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bundle([np.diff(k[mine], prepend=np.uint64(0)), n[mine].astype(np.uint32)])], pa.binary())], names=["part", "block"])
 
         size = 0
@@ -134,12 +137,12 @@ def frequency_levels(texts: DataFrame, width: int = WORDS) -> np.ndarray:
         k, n = k[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         total = np.add.reduceat(n, first)
-        out = np.zeros(SKETCH // SKETCH_PARTS, np.uint8)
-        np.maximum.at(out, _slot(k[first]) - key[0].as_py() * (SKETCH // SKETCH_PARTS), np.log2(total).astype(np.uint8))
+        out = np.zeros(SKETCH // parts, np.uint8)
+        np.maximum.at(out, _slot(k[first]) - key[0].as_py() * (SKETCH // parts), np.log2(total).astype(np.uint8))
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([out.tobytes()], pa.binary())})
 
-    found = map_arrow(texts, count, "part int, block binary").repartition(SKETCH_PARTS, "part").groupBy("part").applyInArrow(level, "part int, levels binary").collect()
-    out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint8)
+    found = map_arrow(texts, count, "part int, block binary").repartition(parts, "part").groupBy("part").applyInArrow(grouped(level), "part int, levels binary").collect()
+    out = np.zeros((parts, SKETCH // parts), np.uint8)
     for r in found:
         out[r.part] = np.frombuffer(r.levels, np.uint8)
     return out.ravel()
@@ -254,7 +257,7 @@ def _postings(texts: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
         return pa.table({"shingle": pa.array(k[many].view(np.int64)), "grp": pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), "n": pa.array(n[many], pa.int64()), "pos": pa.array(p[many], pa.int64())})
 
     blocks = map_arrow(texts, split, "bucket int, block binary").repartition(buckets, "bucket")
-    return blocks.groupBy("bucket").applyInArrow(meet, "shingle long, grp binary, n long, pos long")
+    return blocks.groupBy("bucket").applyInArrow(grouped(meet), "shingle long, grp binary, n long, pos long")
 
 
 def _sets(texts: DataFrame, levels: np.ndarray, pairs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import CACHES
+
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks, and half as many pieces of chunks, that a worker remembers (some 180 MB together).
 CACHE = 600_000
@@ -134,6 +136,7 @@ class ChunkEncoder:
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> ChunkEncoder:

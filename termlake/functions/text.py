@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = r"(?U)\s+"
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 #: Terms of these characters match at word boundaries, all others as plain substrings.
 BOUNDARY_TERM = r"^[a-z0-9][a-z0-9 ._+/#-]*$"
-CJK = r"[぀-ヿ㐀-䶿一-鿿]"
+CJK = r"[\u3040-\u30ff\u3400-\u9fff]"
+#: What case folding changes in a text that is in lower case already, by the rule of the Unicode tables at hand.
+FOLDS = {c: c.casefold() for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if c.lower() == c != c.casefold()}
 
 
 def let(value: Column, fn) -> Column:
@@ -21,8 +23,21 @@ def normalise_space(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, SPACES, " "))
 
 
+def casefold(s: Column) -> Column:
+    """Full case folding: lower case, and letters like ß, ﬁ or final sigma by their folded forms."""
+
+    def fold(low: Column) -> Column:
+        table = F.create_map(*[F.lit(x) for pair in FOLDS.items() for x in pair])
+        some = F.regexp_like(low, F.lit(f"[{''.join(FOLDS)}]"))
+        folded = F.array_join(F.transform(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+        return F.when(F.octet_length(low) == F.length(low), low).when(some, folded).otherwise(low)
+
+    return fold(F.lower(s))
+
+
 def term_key(s: Column) -> Column:
-    return F.lower(F.trim(s))
+    """Without white space at the ends, case folded."""
+    return casefold(F.regexp_replace(s, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""))
 
 
 def norm_len(s: Column) -> Column:
@@ -35,11 +50,25 @@ def quote_regex(s: Column) -> Column:
     return F.regexp_replace(s, r"([\\^$.|?*+()\[\]{}\-#/])", r"\\$1")
 
 
+def contains_key(s: Column) -> Column:
+    """The form in which ``source_contains`` compares texts and terms."""
+    return casefold(normalise_space(s))
+
+
+def is_plain(key: Column) -> Column:
+    """Whether a term of this form matches at word boundaries."""
+    return F.regexp_like(key, F.lit(BOUNDARY_TERM))
+
+
+def key_in(text_key: Column, key: Column) -> Column:
+    """``source_contains`` of texts and terms in the form of ``contains_key``."""
+    bounded = F.regexp_like(text_key, F.concat(F.lit("(?<![a-z0-9])"), quote_regex(key), F.lit("(?![a-z0-9])")))
+    return F.when(key == "", F.lit(False)).when(is_plain(key), bounded).otherwise(F.contains(text_key, key))
+
+
 def source_contains(text: Column, term: Column) -> Column:
     """Whether the text has the term, without regard to case and spacing; plain terms need word boundaries."""
-    t, x = F.lower(normalise_space(term)), F.lower(normalise_space(text))
-    bounded = F.regexp_like(x, F.concat(F.lit("(?<![a-z0-9])"), quote_regex(t), F.lit("(?![a-z0-9])")))
-    return F.when(t == "", F.lit(False)).when(F.regexp_like(t, F.lit(BOUNDARY_TERM)), bounded).otherwise(F.contains(x, t))
+    return key_in(contains_key(text), contains_key(term))
 
 
 def text_contains(text: Column, needle: Column) -> Column:
@@ -102,12 +131,13 @@ def format_term_map(pairs: Column, empty: str = "omit") -> Column:
 
 def mask_pattern(term: Column) -> Column:
     """The pattern that masks a term: plain terms at word boundaries in any case, one CJK character between others, other CJK as it is."""
-    body = F.regexp_replace(quote_regex(normalise_space(term)), " ", r"\\s+")
+    norm = normalise_space(term)
+    body = F.regexp_replace(quote_regex(norm), " ", r"\\s+")
     return (
-        F.when(F.regexp_like(term, F.lit(r"^[A-Za-z0-9][A-Za-z0-9 ._+/#-]*$")), F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), body, F.lit(r"(?![A-Za-z0-9])")))
-        .when(F.regexp_like(term, F.lit(f"^{CJK}$")), F.concat(F.lit(f"(?<!{CJK})"), body, F.lit(f"(?!{CJK})")))
-        .when(F.regexp_like(term, F.lit(CJK)), body)
-        .otherwise(F.concat(F.lit("(?i)"), body))
+        F.when(F.regexp_like(norm, F.lit(r"^[A-Za-z0-9][A-Za-z0-9 ._+/#&%()-]*\z")), F.concat(F.lit(r"(?iU)(?<![A-Za-z0-9])"), body, F.lit(r"(?![A-Za-z0-9])")))
+        .when(F.regexp_like(norm, F.lit(rf"^{CJK}\z")), F.concat(F.lit(f"(?U)(?<!{CJK})"), body, F.lit(f"(?!{CJK})")))
+        .when(F.regexp_like(norm, F.lit(CJK)), F.concat(F.lit("(?U)"), body))
+        .otherwise(F.concat(F.lit("(?iU)"), body))
     )
 
 
@@ -118,16 +148,44 @@ def mask_terms(text: Column, patterns: Column) -> Column:
     return F.aggregate(patterns, start, step, lambda acc: F.struct(normalise_space(acc["text"]).alias("text"), acc["removed"].alias("removed")))
 
 
-def strip_tags(text: Column, tag: str = "term") -> Column:
-    """The text without opening and closing tags of this name and spaces doubled by that; also cut-off tags at the ends."""
-    bare = F.regexp_replace(text, rf"</?{tag}(?:\s[^<>]*)?>", "")
-    return normalise_space(F.regexp_replace(bare, rf"^[^<>]{{0,20}}{tag}>|<[^<>]{{0,20}}$", ""))
+def _tag_patterns(mode: str) -> tuple[str, str, str]:
+    """Patterns of whole tags, of cut-off opening tags, and of all that goes with tags character by character."""
+    if mode not in ("term", "term_t"):
+        raise ValueError(f"tags to strip are term or term_t, not {mode}")
+    name = "term" if mode == "term" else "(?:term|t)"
+    whole, cut = rf"</?\s*{name}\s*>", r"<\s*term\b(?!\s*>)|<\s*term(?=[^\s>/])"
+    after = rf"</\s*{name}\s*>\s+(?=[-,.;:!?，。；：！？)\]}}])"  # white space before a hyphen or a closing mark
+    before = rf"(?<=[-(\[{{])\s+(?=<\s*{name}\s*>)"  # and after a hyphen or an opening one
+    return f"(?iU){whole}", f"(?iU){cut}", f"(?iU){after}|{before}|{whole}|{cut}"
 
 
-def strip_tag_words(words: Column, *series: Column, tag: str = "term") -> Column:
+def _strip_word(word: Column, mode: str) -> Column:
+    whole, cut, _ = _tag_patterns(mode)
+    return F.regexp_replace(F.regexp_replace(word, whole, ""), cut, "")
+
+
+def strip_output_tags(text: Column, mode: str = "term", unit: str = "char") -> Column:
+    """struct<text, removed>: a text without tags, and how many were taken out.
+
+    By ``word`` each word loses its tags, words that were tags only go, and single spaces stand between the others.  By
+    ``char`` all white space stays but that between a tag and a hyphen or bracket.  Mode ``none`` changes nothing; null is empty.
+    """
+    text = F.coalesce(text, F.lit(""))
+    if mode == "none":
+        return F.struct(text.alias("text"), F.lit(0).alias("removed"))
+    whole, cut, each = _tag_patterns(mode)
+    if unit != "word":
+        return F.struct(F.regexp_replace(text, each, "").alias("text"), (F.regexp_count(text, F.lit(whole)) + F.regexp_count(text, F.lit(cut))).alias("removed"))
+    words = F.split(normalise_space(text), " ")
+    one = lambda w: F.regexp_count(w, F.lit(whole)) + F.regexp_count(F.regexp_replace(w, whole, ""), F.lit(cut))
+    bare = F.filter(F.transform(words, lambda w: _strip_word(w, mode)), lambda w: w != "")
+    return F.struct(F.array_join(bare, " ").alias("text"), F.aggregate(words, F.lit(0), lambda n, w: n + one(w)).alias("removed"))
+
+
+def strip_tag_words(words: Column, *series: Column, mode: str = "term") -> Column:
     """array<struct<word, v0, v1, ...>>: words with tags taken off; words that were tags only go, with their values."""
     zipped = F.arrays_zip(words.alias("w"), *[s.alias(f"v{i}") for i, s in enumerate(series)])
-    bare = F.transform(zipped, lambda z: F.struct(F.regexp_replace(z["w"], rf"</?{tag}(?:\s[^<>]*)?>", "").alias("word"), *[z[f"v{i}"].alias(f"v{i}") for i in range(len(series))]))
+    bare = F.transform(zipped, lambda z: F.struct(_strip_word(z["w"], mode).alias("word"), *[z[f"v{i}"].alias(f"v{i}") for i in range(len(series))]))
     return F.filter(bare, lambda z: z["word"] != "")
 
 
@@ -142,9 +200,14 @@ def latency_units(text: Column, lang: Column) -> Column:
 
 
 def term_class(term: Column) -> Column:
-    """acronym_or_symbolic, multiword or single_word."""
-    odd = F.regexp_like(term, F.lit(r"(^|\s)[A-Z]{2,}[0-9]*(\s|$)")) | F.regexp_like(term, F.lit(r"[a-z0-9][A-Z]")) | F.regexp_like(term, F.lit(r"[0-9]"))
-    return F.when(odd, "acronym_or_symbolic").when(F.size(F.split(normalise_space(term), " ")) >= 2, "multiword").otherwise("single_word")
+    """acronym_or_symbolic_name, multiword_expression or single_word_term.
+
+    Symbolic are terms with a digit, with a token of capitals alone (digits may follow), or with a capital inside a token;
+    tokens are runs of A-Z, a-z and digits.
+    """
+    symbolic = F.regexp_like(term, F.lit(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]|(?<![A-Za-z0-9])[A-Z]{2,}(?![A-Za-z0-9])|(?<=[A-Za-z0-9])[A-Z]"))
+    tokens = F.regexp_count(term, F.lit("[A-Za-z0-9]+"))
+    return F.when(symbolic, "acronym_or_symbolic_name").when(tokens >= 2, "multiword_expression").otherwise("single_word_term")
 
 
 def outcome(ours: Column, base: Column) -> Column:
@@ -183,10 +246,22 @@ def singular(w: Column) -> Column:
     )
 
 
+def match_words(s: Column) -> Column:
+    """The words of ``match_tokens`` of any number, by patterns over the whole text: without 's and other characters, singular."""
+    line = F.lower(normalise_space(s))
+    line = F.regexp_replace(F.regexp_replace(line, "'s(?= |$)", ""), "[^a-z0-9' ]", "")
+    word, end = "(?<![^ ])", "(?![^ ])"
+    sibilant = f"(?=[a-z0-9']{{5,}}{end})[a-z0-9']*(?:s|x|z|ch|sh)"
+    # plain plurals first, but not words that the rules after take
+    line = F.regexp_replace(line, f"{word}(?![a-z0-9']{{2,}}ies{end})(?!{sibilant}es{end})([a-z0-9']{{2,}}[a-z0-9'&&[^sui]])s{end}", "$1")
+    line = F.regexp_replace(line, f"{word}([a-z0-9']{{2,}})ies{end}", "$1y")
+    line = F.regexp_replace(line, f"{word}({sibilant})es{end}", "$1")
+    return F.filter(F.split(line, " "), lambda w: w != "")
+
+
 def match_tokens(s: Column, most: int = 8) -> Column:
     """Normalised words of a term; null if there are none or more than ``most``."""
-    words = F.transform(F.split(F.lower(normalise_space(s)), " "), lambda w: singular(F.regexp_replace(F.regexp_replace(w, "'s$", ""), "[^a-z0-9']", "")))
-    words = F.filter(words, lambda w: w != "")
+    words = match_words(s)
     return F.when((F.size(words) > 0) & (F.size(words) <= most), words)
 
 
@@ -375,7 +450,19 @@ def parse_number(s: Column) -> Column:
 
 
 def format_metric(x: Column, digits: int = 4, signed: bool = False) -> Column:
-    return F.coalesce(F.format_string(f"%{'+' if signed else ''}.{digits}f", x.cast("double")), F.lit("NA"))
+    """The number with so many decimals, rounded by its exact binary value (exact ties to even); null gives NA.
+
+    Formatting rounds by the shortest decimal form, which may look like a tie where the number is none: there the exact
+    sign of x * 2 * 10**digits - odd number decides, from two products without rounding error.
+    """
+    x, scale = x.cast("double"), float(2 * 10**digits)
+    odd = F.round(x * scale)
+    tie = (F.abs(x * scale - odd) < 1e-3) & (F.pmod(odd, F.lit(2.0)) == 1) & (F.abs(odd) < 2.0**50)
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the digits
+    over = (high * scale - odd) + (x - high) * scale
+    up = (over > 0) | ((over == 0) & (F.pmod(odd, F.lit(4.0)) == 3))
+    shown = F.when(tie, (odd + F.when(up, 1).otherwise(-1)) / scale).otherwise(x)
+    return F.coalesce(F.format_string(f"%{'+' if signed else ''}.{digits}f", shown), F.lit("NA"))
 
 
 def pick_spans(spans: Column) -> Column:

@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+_ODD = "[^a-z0-9 ]"
+
+
+def _odd_keys(key: Column) -> Column:
+    """Characters that are no a-z, digit or space, and pairs of neighbours with one: a term that is not plain has such a key."""
+    pairs = F.regexp_extract_all(key, F.lit(f"(?s)(?=({_ODD}.|.{_ODD}))"), F.lit(1))
+    return F.concat(F.regexp_extract_all(key, F.lit(_ODD), F.lit(0)), pairs)
+
 
 def term_match(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term") -> DataFrame:
     """All pairs of a text and a term that ``source_contains`` accepts.
 
-    Plain terms are looked up by their first token in the distinct tokens of each text and only candidates are tested, so
-    the join is a hash join, not a nested loop.  Terms of other scripts have no tokens and go through the nested loop.
+    Plain terms are looked up by their first token in the distinct tokens of each text, others by a character that is no
+    letter of a-z, digit or space with its neighbour; only candidates are tested, so both joins are hash joins.
     """
-    key = X.alnum_tokens(F.col(term))[0]
-    plain = F.regexp_like(F.lower(X.normalise_space(F.col(term))), F.lit(X.BOUNDARY_TERM))
-    keyed = texts.withColumn("__tok", F.explode(F.array_distinct(X.alnum_tokens(F.col(text)))))
-    near = keyed.join(terms.where(plain).withColumn("__tok", key), "__tok").drop("__tok")
-    one_token = F.regexp_like(F.lower(F.col(term)), F.lit("^[a-z0-9]+$"))  # then the candidate is a hit already
-    near = near.where(one_token | X.source_contains(F.col(text), F.col(term)))
-    other = texts.join(terms.where(~plain), X.source_contains(F.col(text), F.col(term)))
-    return near.unionByName(other)
+    keyed = terms.withColumn("__key", X.contains_key(F.col(term))).where("__key <> ''")
+    rows = texts.withColumn("__text", X.contains_key(F.col(text)))
+    plain = X.is_plain(F.col("__key"))
+    near = rows.withColumn("__tok", F.explode(F.array_distinct(X.alnum_tokens(F.col("__text")))))
+    near = near.join(keyed.where(plain).withColumn("__tok", X.alnum_tokens(F.col("__key"))[0]), "__tok")
+    one_token = F.regexp_like("__key", F.lit("^[a-z0-9]+$"))  # then the candidate is a hit already
+    near = near.where(one_token | X.key_in(F.col("__text"), F.col("__key")))
+    odd = rows.withColumn("__tok", F.explode(F.array_distinct(_odd_keys(F.col("__text")))))
+    longest = F.when(F.length("__key") == 1, F.col("__key")).otherwise(F.element_at(_odd_keys(F.col("__key")), -1))  # a pair, where there is one
+    odd = odd.join(keyed.where(~plain).withColumn("__tok", longest), "__tok").where(F.contains("__text", F.col("__key")))
+    return near.unionByName(odd).drop("__tok", "__text", "__key")
 
 
 def nested_loop_match(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term") -> DataFrame:
@@ -29,24 +40,36 @@ def nested_loop_match(texts: DataFrame, terms: DataFrame, text: str = "line", te
     return texts.join(terms, X.source_contains(F.col(text), F.col(term)))
 
 
-def ngram_match(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term", most: int = 4) -> DataFrame:
-    """Pairs of a text and a term whose normalised words, at most ``most``, stand in the text's words in a row.
+def word_grams(words: Column, n: int) -> Column:
+    """All runs of n words, joined by spaces."""
+    if n == 1:
+        return words
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.element_at(words, i + k) for k in range(n)]))
+
+
+def ngram_match(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term", sizes: tuple[int, ...] = (1, 2, 3, 4), normalised: bool = False) -> DataFrame:
+    """Pairs of a text and a term whose normalised words, in number one of ``sizes``, stand in the text's words in a row.
+
+    An equi join of the texts' distinct n-grams with the terms as n-grams: nothing is tested after it, and no text is copied
+    to its n-grams but the columns that the caller passes.  With ``normalised`` the terms are such words already.
+    """
+    words = texts.withColumn("__words", X.match_words(F.col(text)))
+    grams = F.array_distinct(F.concat(*[word_grams(F.col("__words"), n) for n in sizes]))
+    left = words.withColumn("__gram", F.explode(grams)).drop("__words")
+    needle = F.split(term, " ") if normalised else X.match_tokens(F.col(term), max(sizes))
+    right = terms.withColumn("__needle", needle).where(F.size("__needle").isin(list(sizes))).withColumn("__gram", F.array_join("__needle", " ")).drop("__needle")
+    return left.join(right, "__gram").drop("__gram")
+
+
+def spans(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term", most: int = 8) -> DataFrame:
+    """Token spans [start, end) of every match of plain terms of at most ``most`` tokens; the text itself is not returned.
 
-    An n-gram join keyed by the term's first word: the distinct words of a text meet the bank in a hash join, and only
-    those candidates are looked up as a whole.
+    Each token meets the terms that start with it; what follows it is carried along for terms of several tokens only.
     """
-    words = F.filter(F.transform(F.split(F.lower(X.normalise_space(F.col(text))), " "), lambda w: X.singular(F.regexp_replace(F.regexp_replace(w, "'s$", ""), "[^a-z0-9']", ""))), lambda w: w != "")
-    left = texts.withColumn("__words", words)
-    left = left.withColumn("__tok", F.explode(F.array_distinct("__words")))
-    right = terms.withColumn("__needle", X.match_tokens(F.col(term), most)).where("__needle IS NOT NULL").withColumn("__tok", F.col("__needle")[0])
-    found = left.join(right, "__tok").where((F.size("__needle") == 1) | (F.size(X.find_spans(F.col("__words"), F.col("__needle"))) > 0))
-    return found.drop("__words", "__tok", "__needle")
-
-
-def spans(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term") -> DataFrame:
-    """Token spans [start, end) of every match of plain terms, by first token."""
-    tokens = texts.withColumn("__tokens", X.alnum_tokens(F.col(text)))
-    keyed = tokens.withColumn("__tok", F.explode(F.array_distinct("__tokens")))
-    needle = terms.withColumn("__needle", X.alnum_tokens(F.col(term))).withColumn("__tok", F.col("__needle")[0])
-    found = keyed.join(needle, "__tok").withColumn("__n", F.size("__needle")).withColumn("start", F.explode(X.find_spans(F.col("__tokens"), F.col("__needle"))))
-    return found.withColumn("end", F.col("start") + F.col("__n")).drop("__tok", "__tokens", "__needle", "__n")
+    needles = terms.withColumn("__needle", X.alnum_tokens(F.col(term))).where(F.size("__needle").between(1, most)).withColumn("__tok", F.col("__needle")[0])
+    tokens = texts.withColumn("__tokens", X.alnum_tokens(F.col(text))).drop(text)
+    each = tokens.select("*", F.posexplode(F.transform("__tokens", lambda x, i: F.struct(x.alias("tok"), F.slice("__tokens", i + 1, most).alias("run")))).alias("start", "__at")).drop("__tokens")
+    found = each.withColumn("__tok", F.col("__at.tok")).join(needles, "__tok")
+    found = found.where((F.size("__needle") == 1) | (F.slice("__at.run", F.lit(1), F.size("__needle")) == F.col("__needle")))
+    return found.withColumn("end", F.col("start") + F.size("__needle")).drop("__tok", "__at", "__needle")

@@ -4,30 +4,34 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _aligned(gold: list[str], windows: list[str]) -> int:
-    """Most gold terms that windows match in order, where a window may match several in a row."""
-    row = [0] * (len(gold) + 1)
+def aligned(gold: list[str], windows: list[set[str]]) -> int:
+    """Most gold terms that windows match in order: each window may match any number of a stretch, stretches do not overlap."""
+    best = np.zeros(len(gold) + 1, np.int64)  # of the first terms, by the windows so far
     for w in windows:
-        fresh = row[:]
-        for j, g in enumerate(gold):
-            fresh[j + 1] = max(row[j + 1], fresh[j], (fresh[j] if j and gold[j - 1] == g and fresh[j] > row[j] else row[j]) + (g == w))
-        row = fresh
-    return row[-1]
+        hits = np.concatenate(([0], np.cumsum([g in w for g in gold], dtype=np.int64)))
+        best = hits + np.maximum.accumulate(best - hits)
+    return int(best[-1])
 
 
 def ordered_matches(rows: DataFrame) -> DataFrame:
-    """talk, gold, matched: gold terms and windows (is_gold false) of a talk, both in order of pos."""
+    """talk, gold, matched: gold terms and windows (is_gold false) of a talk, both in order of pos.
+
+    A window is an array of candidate terms (``terms``); a gold row has its one term there.  Null arrays have none.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        gold, windows = pdf.term[pdf.is_gold].tolist(), pdf.term[~pdf.is_gold].tolist()
-        return pd.DataFrame({"talk": [pdf.talk.iloc[0]], "gold": [len(gold)], "matched": [_aligned(gold, windows)]})
+        terms = [list(x) if x is not None else [] for x in pdf.terms]
+        gold = [x[0] for x, g in zip(terms, pdf.is_gold, strict=True) if g and x]
+        windows = [set(x) for x, g in zip(terms, pdf.is_gold, strict=True) if not g]
+        return pd.DataFrame({"talk": [pdf.talk.iloc[0]], "gold": [len(gold)], "matched": [aligned(gold, windows)]})
 
     kind = dict(rows.dtypes)["talk"]
     return rows.groupBy("talk").applyInPandas(run, f"talk {kind}, gold long, matched long")

@@ -67,16 +67,20 @@ def answers(q: pa.Table, t: pa.Table, score: np.ndarray) -> pa.Table:
     return pa.table({"query_id": q.column("query_id"), "n": others(q, t).sum(1)})
 
 
-def top_similar(queries: DataFrame, bank: DataFrame, k: int, query_blocks: int, bank_blocks: int, itself: bool = True) -> DataFrame:
+def top_similar(queries: DataFrame, bank: DataFrame, k: int, query_blocks: int, bank_blocks: int, itself: bool = True, unlike: tuple[str, str] | None = None) -> DataFrame:
     """query_id, term_id, score: exact top-k by inner product, ties to the smaller id; queries (query_id, vec), bank (term_id, vec).
 
-    Returns all terms where the bank has fewer than k.  Without ``itself`` the bank's row of a query's own id is no answer.
+    Returns all terms where the bank has fewer than k.  Without ``itself`` the bank's row of a query's own id is no answer;
+    with ``unlike`` no row of the bank is whose value in the second column equals the query's in the first.
     """
+    more = [[c] for c in unlike] if unlike else [[], []]
 
     def best(q, t, score):
         ids, terms = q.column("query_id").to_numpy(), t.column("term_id").to_numpy()
         if not itself:
             score = np.where(others(q, t), score, -np.inf)
+        if unlike:
+            score = np.where(q.column(unlike[0]).to_numpy()[:, None] != t.column(unlike[1]).to_numpy()[None, :], score, -np.inf)
         out_q, out_t, out_s = [], [], []
         for i, row in zip(ids, score, strict=True):
             first = np.arange(len(row))
@@ -89,7 +93,7 @@ def top_similar(queries: DataFrame, bank: DataFrame, k: int, query_blocks: int,
             out_s.append(row[first])
         return pa.table({"query_id": np.concatenate(out_q), "term_id": np.concatenate(out_t), "score": np.concatenate(out_s)})
 
-    near = similarities(queries.select("query_id", "vec"), bank.select("term_id", "vec"), query_blocks, bank_blocks, best, "query_id long, term_id long, score double")
+    near = similarities(queries.select("query_id", "vec", *more[0]), bank.select("term_id", "vec", *more[1]), query_blocks, bank_blocks, best, "query_id long, term_id long, score double")
     return top_k(near, ["query_id"], k)
 
 

@@ -11,9 +11,9 @@ def t(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores, dealt over the cores; larger tables stay as they are read."""
+    """A table of fewer files than cores, dealt over the cores; larger tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def glossary(s: SparkSession, d: str) -> DataFrame:
@@ -25,11 +25,13 @@ def glossary(s: SparkSession, d: str) -> DataFrame:
 def sentences(s: SparkSession, d: str) -> DataFrame:
     """doc_id, talk, lang, sent_idx, line, reference (the next line), hypothesis (words of even length)."""
     lines = F.split("text", "\n")
-    rows = spread(t(s, d, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", F.col("source").alias("talk"), "lang", lines.alias("lines"), F.posexplode(lines).alias("sent_idx", "line"))
+    rows = spread(t(s, d, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", F.col("source").alias("talk"), "lang", lines.alias("lines"))
+    pairs = F.arrays_zip(F.col("lines").alias("line"), F.slice("lines", 2, F.size("lines")).alias("next"))
+    rows = rows.select("doc_id", "talk", "lang", F.posexplode(pairs).alias("sent_idx", "z"))
     return rows.select(
-        "doc_id", "talk", "lang", F.col("sent_idx").cast("long").alias("sent_idx"), "line",
-        F.coalesce(F.get("lines", F.col("sent_idx") + 1), "line").alias("reference"),
-        F.array_join(F.filter(F.split("line", " "), lambda x: F.length(x) % 2 == 0), " ").alias("hypothesis"),
+        "doc_id", "talk", "lang", F.col("sent_idx").cast("long").alias("sent_idx"), F.col("z.line").alias("line"),
+        F.coalesce("z.next", "z.line").alias("reference"),
+        F.array_join(F.filter(F.split("z.line", " "), lambda x: F.length(x) % 2 == 0), " ").alias("hypothesis"),
     )
 
 
@@ -45,7 +47,7 @@ SENTENCES = """sentences AS (
         FROM (SELECT *, string_split(text, chr(10)) AS lines FROM documents)))"""
 
 #: Sentence and glossary rows that match at word boundaries.
-MATCHES = """toks AS (SELECT DISTINCT doc_id, sent_idx, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM sentences),
+MATCHES = """toks AS (SELECT DISTINCT doc_id, sent_idx, unnest(regexp_extract_all(replace(lower(line), 'ß', 'ss'), '[a-z0-9]+')) AS term FROM sentences),
 matches AS (SELECT m.doc_id, m.sent_idx, g.term, g.translation, g.pos FROM toks m JOIN glossary g USING (term))"""
 
 BASE = f"WITH {GLOSSARY}, {SENTENCES}, {MATCHES}"

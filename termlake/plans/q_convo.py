@@ -155,18 +155,26 @@ def _(s, d):
     return t(s, d, "documents").select("doc_id", n.alias("segments"), F.round(total, 3).alias("delay_sum"))
 
 
+def _gram_counts(side, name):
+    return f"SELECT doc_id, sent_idx, lang, n, array_to_string({side}[i:i + n - 1], ' ') AS g, count(*) AS {name} FROM (SELECT *, unnest(range(1, len({side}) - n + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS n FROM w)) GROUP BY ALL"
+
+
+_13A = r"list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '([\{{-~\[-` -&(-+:-@/])', ' \1 ', 'g'), '([^0-9])([.,])', '\1 \2 ', 'g'), '([.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda x: x <> '')"
+
+
 @query(
     "a26_z01_corpus_bleu_counts",
-    f"""WITH {SENTENCES}, w AS (SELECT doc_id, sent_idx, lang, list_filter(string_split(line, ' '), lambda x: x <> '') AS h, list_filter(string_split(reference, ' '), lambda x: x <> '') AS r FROM sentences),
-    hg AS (SELECT doc_id, sent_idx, lang, n, array_to_string(h[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT *, unnest(range(1, len(h) - n + 2)) AS i FROM (SELECT *, unnest([1, 2]) AS n FROM w)) GROUP BY ALL),
-    rg AS (SELECT doc_id, sent_idx, n, array_to_string(r[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT *, unnest(range(1, len(r) - n + 2)) AS i FROM (SELECT *, unnest([1, 2]) AS n FROM w)) GROUP BY ALL),
-    m AS (SELECT lang, n, sum(least(hg.c, coalesce(rg.c, 0))) AS matches, sum(hg.c) AS total FROM hg LEFT JOIN rg USING (doc_id, sent_idx, n, g) GROUP BY ALL), l AS (SELECT lang, sum(len(h)) AS hl, sum(len(r)) AS rl FROM w GROUP BY 1)
-    SELECT lang, round(100 * CASE WHEN any_value(hl) < any_value(rl) THEN exp(1 - any_value(rl) / any_value(hl)) ELSE 1 END * exp(sum(ln(matches / total)) / 2), 4) AS bleu, any_value(hl)::BIGINT AS hyp_len, any_value(rl)::BIGINT AS ref_len FROM m JOIN l USING (lang) GROUP BY lang""",
+    f"""WITH {SENTENCES}, w AS (SELECT doc_id, sent_idx, lang, {_13A.format(c='line')} AS h, {_13A.format(c='reference')} AS r FROM sentences),
+    hg AS ({_gram_counts('h', 'c')}), rg AS ({_gram_counts('r', 'd')}),
+    m AS (SELECT hg.lang, n, sum(least(c, coalesce(d, 0)))::DOUBLE AS matches, sum(c)::DOUBLE AS total FROM hg LEFT JOIN rg USING (doc_id, sent_idx, n, g) GROUP BY ALL),
+    e AS (SELECT lang, n, total, CASE WHEN matches = 0 THEN pow(0.5, count(*) FILTER (matches = 0) OVER (PARTITION BY lang ORDER BY n)) ELSE matches END AS matches FROM m),
+    l AS (SELECT lang, sum(len(h))::BIGINT AS hl, sum(len(r))::BIGINT AS rl FROM w GROUP BY 1)
+    SELECT lang, round(100 * CASE WHEN any_value(hl) < any_value(rl) THEN exp(1 - any_value(rl) / any_value(hl)) ELSE 1 END * exp(sum(ln(matches / total)) / 4), 4) AS bleu, any_value(hl) AS hyp_len, any_value(rl) AS ref_len
+    FROM e JOIN l USING (lang) GROUP BY lang""",
 )
 def _(s, d):
-    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    rows = sentences(s, d).select("doc_id", "sent_idx", "lang", words("line").alias("hyp"), words("reference").alias("ref"))
-    return B.bleu(rows, ["doc_id", "sent_idx"], ["lang"], most=2)
+    rows = sentences(s, d).select("lang", B.tokenize(F.col("line")).alias("hyp"), B.tokenize(F.col("reference")).alias("ref"))
+    return B.bleu(rows, ["lang"], smooth="exp")
 
 
 @query("z03_resegment")

@@ -22,15 +22,28 @@ def _(s, d):
     return hits(s, d).select("doc_id", "sent_idx", "term")
 
 
+def _words_sql(c):
+    """Normalised words of a text column, not yet singular."""
+    return f"list_filter(list_transform(string_split(lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))), ' '), lambda x: regexp_replace(regexp_replace(x, '''s$', ''), '[^a-z0-9'']', '', 'g')), lambda x: x <> '')"
+
+
+def _grams_sql(cols, table):
+    return f"SELECT DISTINCT {cols} array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest([2, 3, 4]) AS n FROM {table}))"
+
+
+_SINGULARS = f"list_transform(r, lambda y: {SINGULAR.format(w='y')}) AS w"
+
+
 @query(
     "j02_ngram_match",
-    f"""WITH {SENTENCES}, w AS (SELECT doc_id, sent_idx, list_filter(list_transform(string_split(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), ' '), lambda x: regexp_replace(regexp_replace(x, '''s$', ''), '[^a-z0-9'']', '', 'g')), lambda x: x <> '') AS r, list_transform(r, lambda y: {SINGULAR.format(w='y')}) AS w FROM sentences),
-    g AS (SELECT DISTINCT doc_id, sent_idx, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w))
-    SELECT doc_id, sent_idx, gram AS term FROM g WHERE gram IN ('of the', 'in the', 'to the')""",
+    f"""WITH {SENTENCES}, bw AS (SELECT {_words_sql('text')} AS r, {_SINGULARS} FROM benchmark), bank AS ({_grams_sql('', 'bw')}),
+    sw AS (SELECT doc_id, sent_idx, {_words_sql('line')} AS r, {_SINGULARS} FROM sentences), g AS ({_grams_sql('doc_id, sent_idx,', 'sw')})
+    SELECT doc_id, sent_idx, gram AS term FROM g SEMI JOIN bank USING (gram)""",
 )
 def _(s, d):
-    terms = s.createDataFrame([("Of the",), ("in  the",), ("to the.",)], "term string").select(F.lower(F.regexp_replace(X.normalise_space(F.col("term")), r"\.", "")).alias("term"))
-    return M.ngram_match(sentences(s, d), terms).select("doc_id", "sent_idx", "term")
+    words = t(s, d, "benchmark").select(X.match_words(F.col("text")).alias("w"))
+    bank = words.select(F.explode(F.concat(*[M.word_grams(F.col("w"), n) for n in (2, 3, 4)])).alias("term")).distinct()
+    return M.ngram_match(sentences(s, d).select("doc_id", "sent_idx", "line"), bank, sizes=(2, 3, 4), normalised=True).select("doc_id", "sent_idx", "term")
 
 
 @query(
@@ -108,11 +121,12 @@ def _(s, d):
     SELECT talk, (SELECT count(*) FROM p q WHERE q.talk = p.talk) AS tokens, count(*) AS term_tokens, count(DISTINCT (doc_id, sent_idx)) AS term_sentences, count(DISTINCT x) AS types FROM p WHERE x IN (SELECT term FROM glossary) GROUP BY talk""",
 )
 def _(s, d):
-    rows = sentences(s, d)
+    rows = sentences(s, d).select("doc_id", "talk", "sent_idx", "line")
     total = rows.groupBy("talk").agg(F.sum(F.size(X.alnum_tokens(F.col("line")))).alias("tokens"))
-    mask = M.spans(rows, glossary(s, d)).select("doc_id", "talk", "sent_idx", "term", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at"))
-    found = mask.groupBy("talk").agg(F.countDistinct("doc_id", "sent_idx", "at").alias("term_tokens"), F.countDistinct("doc_id", "sent_idx").alias("term_sentences"), F.countDistinct("term").alias("types"))
-    return total.join(found, "talk")
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("end") - 1)))))  # at most a sentence's tokens
+    per = M.spans(rows, glossary(s, d).select("term")).groupBy("talk", "doc_id", "sent_idx").agg(covered.alias("covered"), F.collect_set("term").alias("terms"))
+    each = per.select("talk", F.posexplode("terms").alias("k", "term"), "covered").groupBy("talk", "term").agg(F.sum(F.when(F.col("k") == 0, F.col("covered"))).alias("c"), F.count_if(F.col("k") == 0).alias("n"))
+    return total.join(each.groupBy("talk").agg(F.sum("c").alias("term_tokens"), F.sum("n").alias("term_sentences"), F.count("*").alias("types")), "talk")
 
 
 @query(

@@ -200,11 +200,11 @@ def _(s, d):
     return S.eav_filter(config, {"1": "R", "2": "A"})
 
 
-_CELLS = """cells AS (SELECT c_mktsegment AS domain, o_orderpriority AS lang, o_orderstatus AS lm, avg(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+_CELLS = """cells AS (SELECT c_mktsegment AS domain, o_orderpriority AS lang, o_orderstatus AS lm, (sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / (100 * count(*))) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 
 def _cells(s, d):
-    return t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("domain"), F.col("o_orderpriority").alias("lang"), F.col("o_orderstatus").alias("lm")).agg(F.avg("o_totalprice").alias("v"))
+    return t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("domain"), F.col("o_orderpriority").alias("lang"), F.col("o_orderstatus").alias("lm")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / (100 * F.count("*"))).alias("v"))
 
 
 @query("j11_a42_baseline_deltas", f"WITH {_CELLS} SELECT a.domain, a.lang, round(a.v - b.v, 4) AS delta, a.v > b.v AS win FROM cells a LEFT JOIN cells b ON a.domain = b.domain AND a.lang = b.lang AND b.lm = 'O' WHERE a.lm = 'F'")

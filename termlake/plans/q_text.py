@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.match import term_match
 from .fixtures import GLOSSARY, SENTENCES, draw_sql, glossary, sentences, t, with_ctes
 from .registry import query
 
@@ -74,8 +75,8 @@ def _(s, d):
     "x12_x13_strip_tags_with_timings",
     """WITH w AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x, i: CASE WHEN i % 3 = 0 THEN '<term>' || x || '</term>' WHEN i % 7 = 0 THEN '<term>' ELSE x END) AS words FROM conversations),
     z AS (SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w)
-    SELECT conv_id, turn, count(*) AS n, sum(i * 0.5) AS delay, string_agg(regexp_replace(word, '</?term(?:\\s[^<>]*)?>', '', 'g'), ' ' ORDER BY i) AS stripped
-    FROM z WHERE regexp_replace(word, '</?term(?:\\s[^<>]*)?>', '', 'g') <> '' GROUP BY ALL""",
+    SELECT conv_id, turn, count(*) AS n, sum(i * 0.5) AS delay, string_agg(regexp_replace(word, '</?term>', '', 'g'), ' ' ORDER BY i) AS stripped
+    FROM z WHERE regexp_replace(word, '</?term>', '', 'g') <> '' GROUP BY ALL""",
 )
 def _(s, d):
     words = F.transform(F.split("text", " "), lambda x, i: F.when((i + 1) % 3 == 0, F.concat(F.lit("<term>"), x, F.lit("</term>"))).when((i + 1) % 7 == 0, F.lit("<term>")).otherwise(x))
@@ -86,12 +87,60 @@ def _(s, d):
 
 @query(
     "x14_x15_a07_mask_terms",
-    f"""WITH {GLOSSARY}, hit AS (SELECT item_id, text, regexp_replace(text, '(?i)(^|[^A-Za-z0-9])(the|and)($|[^A-Za-z0-9])', '\\1 \\3', 'g') AS once FROM benchmark)
-    SELECT item_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x IN ('the', 'and')))::INT AS removed FROM hit""",
+    f"""WITH {GLOSSARY}, tok AS (SELECT item_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')) AS term FROM benchmark)
+    SELECT item_id, count(*)::INT AS removed, count(DISTINCT term) AS types FROM tok SEMI JOIN glossary USING (term) GROUP BY 1""",
 )
 def _(s, d):
-    patterns = F.transform(F.array(F.lit("the"), F.lit("and")), X.mask_pattern)
-    return t(s, d, "benchmark").select("item_id", X.mask_terms(F.col("text"), patterns)["removed"].cast("int").alias("removed"))
+    hits = term_match(t(s, d, "benchmark").select("item_id", "text"), glossary(s, d).select("term"), "text")
+    longest = F.sort_array(F.collect_set(F.struct((-F.length("term")).alias("size"), "term")))
+    by_text = hits.groupBy("item_id", "text").agg(longest.alias("terms"))
+    masked = X.mask_terms(F.col("text"), F.transform("terms", lambda x: X.mask_pattern(x["term"])))
+    return by_text.select("item_id", masked["removed"].cast("int").alias("removed"), F.size("terms").cast("long").alias("types"))
+
+
+def _cases(name, kinds, cases, column):
+    """A query of cases against their expected results, which the SQL lists."""
+    expected = list(kinds)[-1]
+    quoted = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quoted(c[-1])})" for k, c in enumerate(cases))
+
+    @query(name, f"SELECT k, {expected} FROM (VALUES {rows}) AS v(k, {expected})")
+    def _(s, d):
+        schema = ", ".join(["k int", *(f"{c} {kind}" for c, kind in list(kinds.items())[:-1])])
+        return s.createDataFrame([(k, *c[:-1]) for k, c in enumerate(cases)], schema).select("k", column().alias(expected))
+
+
+_cases(
+    "x02_term_key_cases", {"s": "string", "key": "string"},
+    [("  Straße ", "strasse"), ("STRASSE", "strasse"), ("ΣΊΣΥΦΟΣ", "σίσυφοσ"), ("ﬁne", "fine"), ("İz", "i̇z"), ("ÀÉ\tx\u3000", "àé\tx"), ("ſ", "s"), ("", "")],
+    lambda: X.term_key(F.col("s")),
+)
+_cases(
+    "x04_source_contains_cases", {"text": "string", "term": "string", "found": "int"},
+    [("Die  STRASSE dort", "straße", 1), ("Hauptstraße", "Straße", 0), ("our R&D here", "r&d", 1), ("our BR&D here", "R&D", 1), ("C++11 code", "c++", 0), ("C++ code", "c++", 1), ("a .NET app", ".net", 1),
+     ("x", " ", 0), ("机器学习模型", "学习", 1), ("Neural\n model", "neural  model", 1), ("neural models", "neural model", 0)],
+    lambda: X.source_contains(F.col("text"), F.col("term")).cast("int"),
+)
+_cases(
+    "x12_strip_output_tags_cases", {"text": "string", "mode": "string", "unit": "string", "out": "string"},
+    [("Das <term>Fachwort</term> ist <TERM>korrekt</term >", "term", "char", "4 Das Fachwort ist korrekt"), ("Das < term >Fachwort</ TERM > ist  x", "term", "char", "2 Das Fachwort ist  x"),
+     ("Das < term >Fachwort</ TERM > ist", "term", "word", "0 Das < term >Fachwort</ TERM > ist"), ("ein <term>Wort</term>  <term>", "term", "word", "3 ein Wort"), ("a <t>b</t> <term>c</term>", "term", "word", "2 a <t>b</t> c"),
+     ("a <t>b</t> <term>c</term>", "term_t", "word", "4 a b c"), ("<term>KI</term> -Modell und <term>x</term> , y ( <term>z</term> )", "term", "char", "6 KI-Modell und x, y (z)"), ("这是<term>术语</term> 。", "term", "char", "2 这是术语。"),
+     ("cut <term off <termx>", "term", "char", "2 cut  off x>"), ("keep <term>", "none", "char", "0 keep <term>"), (None, "term", "char", "0 ")],
+    lambda: F.concat_ws(" ", *(F.when(F.col("mode") == m, F.when(F.col("unit") == "word", X.strip_output_tags(F.col("text"), m, "word")[f].cast("string")).otherwise(X.strip_output_tags(F.col("text"), m)[f].cast("string"))) for f in ("removed", "text") for m in ("none", "term", "term_t"))),
+)
+_cases(
+    "x14_mask_cases", {"text": "string", "terms": "array<string>", "out": "string"},
+    [("our R&D and BR&D budget", ["R&D"], "1 our and BR&D budget"), ("top-5% and p95%", ["5%"], "1 top- and p95%"), ("New  York and Yorkshire, york", ["new york", "York"], "2 and Yorkshire,"), ("f(x) and f(x)y", ["f(x)"], "1 and f(x)y"),
+     ("和平 和 平和", ["和"], "1 和平 平和"), ("术语和模型", ["术语", "模型"], "2 和"), ("Ärger ärger", ["ÄRGER"], "2 "), ("no such thing", ["absent"], "0 no such thing")],
+    lambda: F.concat_ws(" ", *(X.mask_terms(F.col("text"), F.transform("terms", X.mask_pattern))[f].cast("string") for f in ("removed", "text"))),
+)
+_cases(
+    "x17_term_class_cases", {"term": "string", "kind": "string"},
+    [("GPU-based", "acronym_or_symbolic_name"), ("state-of-the-art", "multiword_expression"), ("McDonald", "acronym_or_symbolic_name"), ("BERT2", "acronym_or_symbolic_name"), ("Neural", "single_word_term"), ("A", "single_word_term"),
+     ("x²", "acronym_or_symbolic_name"), ("术语", "single_word_term"), ("machine learning", "multiword_expression"), ("A b", "multiword_expression"), ("n-Gram", "multiword_expression")],
+    lambda: X.term_class(F.col("term")),
+)
 
 
 @query(
@@ -105,8 +154,8 @@ def _(s, d):
 @query(
     "x17_x20_x23_x24_term_normalisers",
     f"""WITH n AS (SELECT p_partkey, p_name, p_type, regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g') AS bare FROM part)
-    SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(^|\\s)[A-Z]{{2,}}[0-9]*(\\s|$)') OR regexp_matches(p_name, '[a-z0-9][A-Z]') OR regexp_matches(p_name, '[0-9]') THEN 'acronym_or_symbolic'
-      WHEN contains(trim(p_name), ' ') THEN 'multiword' ELSE 'single_word' END AS term_class,
+    SELECT p_partkey, CASE WHEN len(list_filter(regexp_extract_all(p_name, '[A-Za-z0-9]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,}}[0-9]*') OR w[2:] <> lower(w[2:]))) > 0 OR regexp_matches(p_name, '[0-9]')
+      THEN 'acronym_or_symbolic_name' WHEN len(regexp_extract_all(p_name, '[A-Za-z0-9]+')) >= 2 THEN 'multiword_expression' ELSE 'single_word_term' END AS term_class,
       array_to_string(list_transform(list_filter(string_split(bare, ' '), lambda w: w <> ''), lambda w: {SINGULAR.format(w='w')}), ' ') AS aggressive,
       trim(p_name) <> '' AS can_copy, len(list_filter(string_split(bare, ' '), lambda w: w <> '')) AS n_tokens FROM n""",
 )

@@ -45,8 +45,67 @@ def test_term_map_round_trip(spark):
 
 
 def test_strip_tags(spark):
-    assert one(spark, X.strip_tags(F.lit("Das <term>Fachwort</term> ist <term>korrekt</term>"))) == "Das Fachwort ist korrekt"
-    assert one(spark, X.strip_tags(F.lit("这是<term>术语</term>。"))) == "这是术语。"
+    for unit, text in (("word", "Das <term>Fachwort</term> ist korrekt"), ("char", "这是<term>术语</term>。")):
+        r = one(spark, X.strip_output_tags(F.lit(text), "term", unit))
+        assert (r.text, r.removed) == (text.replace("<term>", "").replace("</term>", ""), 2)
+
+
+def test_casefold_equals_python(spark):
+    import unicodedata
+
+    chars = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000))) if unicodedata.category(c) != "Cn"]
+    got = spark.createDataFrame([(c,) for c in chars], "c string").select("c", X.casefold(F.col("c")).alias("f")).collect()
+    assert sum(r.f != r.c.casefold() for r in got) == 0
+    assert one(spark, X.term_key(F.lit(" ΟΔΟΣ Straße\n"))) == "οδοσ strasse"
+
+
+def test_words_by_pattern_equal_words_one_by_one(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["biases", "boxes", "ties", "cities", "gases", "glass", "bus", "is", "cats", "it's", "it's,", "xies", "churches", "as", "ses", "ABCs", "o'neils", "--", "es", "aes", "series", "1990s"]
+    words += ["".join(rng.choices("aeishxzcy's", k=rng.randint(1, 7))) for _ in range(3000)]
+    lines = [" ".join(rng.choices(words, k=8)) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in lines], "s string")
+    singly = F.transform(F.split(F.lower(X.normalise_space(F.col("s"))), " "), lambda w: X.singular(F.regexp_replace(F.regexp_replace(w, "'s$", ""), "[^a-z0-9']", "")))
+    assert df.where(X.match_words(F.col("s")) != F.filter(singly, lambda w: w != "")).count() == 0
+
+
+def test_term_match_equals_nested_loop(spark):
+    lines = ["Die Straße in C++ und .NET", "our R&D, BR&D", "机器学习 模型", "naïve Ärger STRASSE", "x ÄRGER", "", "a-b c"]
+    terms = ["strasse", "c++", ".net", "R&D", "学习", "学", "ärger", "Ä", "a-b", "&", "naïve ärger", "b"]
+    rows, bank = spark.createDataFrame([(x,) for x in lines], "line string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    pairs = lambda df: sorted((r.line, r.term) for r in df.collect())
+    assert pairs(match.term_match(rows, bank)) == pairs(match.nested_loop_match(rows, bank)) != []
+
+
+def test_formatting_rounds_by_exact_value(spark):
+    import random
+
+    rng = random.Random(3)
+    values = [0.5, 2.5, 0.00005, 0.03125, -0.03125, 0.09375, 247666.39125, 281618.51875, 1e15, 1.00005] + [rng.randrange(10**9) / 32 for _ in range(500)] + [rng.randrange(10**10) / 10**5 for _ in range(3000)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.format_metric(F.col("v")).alias("f"), X.format_metric(F.col("v"), 2, True).alias("g")).collect()
+    assert [(r.f, r.g) for r in got] == [(f"{v:.4f}", f"{v:+.2f}") for v in values]
+
+
+def test_alignment_over_windows_of_candidates():
+    assert sequential.aligned(["a", "b", "a"], [{"a"}]) == 2
+    assert sequential.aligned(["a", "b", "c"], [{"b", "c"}, {"a"}]) == 2 and sequential.aligned(["a"], []) == 0 == sequential.aligned([], [{"a"}])
+    assert sequential.aligned(["a", "b", "c"], [{"x"}, {"a", "c"}, {"b"}, {"c"}]) == 3
+
+
+def test_bleu_of_four_orders(spark):
+    from collections import Counter
+    from math import exp, log
+
+    pairs = [("the cat sat on the mat today", "the cat sat on a mat"), ("a a a b", "a a b"), ("x", "x y z"), ("", "empty side")]
+    grams = lambda w, n: Counter(zip(*(w[k:] for k in range(n))))
+    m = [sum(sum((grams(h.split(), n) & grams(r.split(), n)).values()) for h, r in pairs) for n in (1, 2, 3, 4)]
+    t = [sum(sum(grams(h.split(), n).values()) for h, _ in pairs) for n in (1, 2, 3, 4)]
+    h, r = sum(len(a.split()) for a, _ in pairs), sum(len(b.split()) for _, b in pairs)
+    want = 100 * min(1, exp(1 - r / h)) * exp(sum(log(a / b) for a, b in zip(m, t, strict=True)) / 4)
+    df = spark.createDataFrame([("x", a.split(), b.split()) for a, b in pairs], "lang string, hyp array<string>, ref array<string>")
+    assert abs(bleu.bleu(df, ["lang"]).first().bleu - want) < 1e-3
 
 
 def test_stable_draw_equals_python(spark):
@@ -90,12 +149,12 @@ def test_history_boundary(spark):
 def test_bleu_identity(spark):
     rows = spark.createDataFrame([(1, "x", "a b c d e"), (2, "x", "f g h i j")], "id int, lang string, s string")
     t = rows.select("id", "lang", bleu.tokenize(F.col("s")).alias("hyp"), bleu.tokenize(F.col("s")).alias("ref"))
-    assert bleu.bleu(t, ["id"], ["lang"]).first().bleu == 100.0
+    assert bleu.bleu(t, ["lang"]).first().bleu == 100.0
 
 
 def test_folds():
-    assert sequential._aligned(["a", "b", "c"], ["a", "c"]) == 2
-    assert sequential._aligned(["a", "b"], ["b", "a"]) == 1
+    assert sequential.aligned(["a", "b", "c"], [{x} for x in ["a", "c"]]) == 2
+    assert sequential.aligned(["a", "b"], [{x} for x in ["b", "a"]]) == 1
     assert sequential.best_span("model", "a modle here")[0] > 0.7
 
 

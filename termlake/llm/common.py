@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import shutil
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 4096
 BATCH_BYTES = 4 << 20
 #: Bytes of the batches that Spark sends, about.
-JVM_BYTES = 8 << 20
+JVM_BYTES = 1 << 20
+#: Seconds after which an idle worker lets go of what it keeps.
+IDLE_SECONDS = 2.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,30 +74,59 @@ class Scratch:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most ``rows`` rows and, but for single rows above it, ``size`` bytes."""
+    """The same rows in batches of at most ``rows`` rows and, but for single rows above it, ``size`` bytes; small batches are joined."""
+    held: list[pa.RecordBatch] = []
+    n = have = 0
     for b in batches:
+        if held and (n + b.num_rows > rows or have + b.nbytes > size):
+            yield _joined(held)
+            held, n, have = [], 0, 0
         at = 0
-        while at < b.num_rows:
-            n = min(rows, b.num_rows - at)
-            while n > 1 and (have := b.slice(at, n).nbytes) > size:
-                n = max(1, min(n - 1, n * size // have))
-            yield b.slice(at, n)
-            at += n
+        while b.num_rows - at > rows or (at < b.num_rows and b.slice(at).nbytes > size):
+            k = min(rows, b.num_rows - at)
+            while k > 1 and (most := b.slice(at, k).nbytes) > size:
+                k = max(1, min(k - 1, k * size // most))
+            yield b.slice(at, k)
+            at += k
+        if at < b.num_rows:
+            held.append(b.slice(at))
+            n, have = n + b.num_rows - at, have + held[-1].nbytes
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 #: What modules keep in a worker from task to task (tokenizers, mapped models).
 CACHES: list[dict] = []
-_last: list[str] = []
+_state: dict = {"job": None, "timer": None}
 
 
 def begin(job: str) -> None:
     """At the start of a task: a worker that did another job before lets go of what it kept for that."""
     pa.set_memory_pool(pa.system_memory_pool())  # large blocks go back to the machine when they are freed
-    if _last != [job]:
-        _last[:] = [job]
-        for cache in CACHES:
-            cache.clear()
-        release()
+    if _state["timer"] is not None:
+        _state["timer"].cancel()
+    if _state["job"] != job:
+        forget()
+        _state["job"] = job
+
+
+def end() -> None:
+    """At the end of a task: freed memory goes back at once, what is kept for the next one if none comes soon."""
+    release()
+    _state["timer"] = timer = threading.Timer(IDLE_SECONDS, forget)
+    timer.daemon = True
+    timer.start()
+
+
+def forget() -> None:
+    _state["job"] = None
+    for cache in CACHES:
+        cache.clear()
+    release()
 
 
 def grouped(fn: Callable) -> Callable:
@@ -104,7 +136,7 @@ def grouped(fn: Callable) -> Callable:
         begin(f"{fn.__module__}.{fn.__qualname__}")
         out = fn(key, data)
         del data
-        release()
+        end()
         return out
 
     return run
@@ -135,7 +167,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         try:
             yield from fn(sliced(batches, rows, size))
         finally:
-            release()
+            end()
 
     return df.mapInArrow(run, schema)
 

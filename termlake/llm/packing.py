@@ -220,7 +220,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, sep
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text).alias("text"))
-    return map_arrow(rows, run, "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long", size=tokens.BATCH_BYTES)
+    return map_arrow(rows, run, "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, separator: int | None = SEPARATOR, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ PERCENT = 75
 #: Slots of the sketch that orders shingles by frequency, and bits of the filter of classes to compare; fixed, 4 and 8 MB.
 SKETCH, FILTER = 1 << 22, 1 << 26
 #: Shingles after which a task sends on what it has counted.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Prefix shingles of a bucket of posting lists, on average.
 BUCKET = 1_000_000
 #: Posting lists of up to so many groups are searched for postings that pass the filters with no other.
@@ -226,7 +226,7 @@ def _postings(texts: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
                         keys.append(head)
                         places.append(np.arange(len(head), dtype=np.uint32))
                         held += len(head)
-            if held > FLUSH // 2:
+            if held > FLUSH:
                 yield from flush()
         yield from flush()
 

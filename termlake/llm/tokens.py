@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from .common import CACHES
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks, and half as many pieces of chunks, that a worker remembers (some 180 MB together).
-CACHE = 600_000
+#: Chunks that a worker remembers (some 100 MB).
+CACHE = 500_000
 #: Bytes of text that are tokenized at once.
 BATCH_BYTES = 8 << 20
 #: Chunks of these characters need no normalization but lower case, and the pieces of their lower case are plain to see.
@@ -54,7 +54,6 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces: dict[str, list[int]] = {}
         self.chunks: dict[str, int] = {"": 0}  # to its place among the starts
         self.pool = np.zeros(1 << 16, np.uint32)  # the ids of all chunks, one after the other
         self.starts = np.zeros(1 << 14, np.int64)
@@ -62,8 +61,6 @@ class ChunkEncoder:
 
     def _halve(self) -> None:
         """Forget chunks that one batch alone had, and beyond half the cache the least used ones."""
-        if len(self.pieces) > CACHE // 2:
-            self.pieces = {}
         n = len(self.chunks)
         if n <= CACHE:
             return
@@ -80,11 +77,10 @@ class ChunkEncoder:
         self.chunks = dict(zip(compress(self.chunks, keep.tolist()), range(len(row)), strict=False))
 
     def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = self.pieces[piece] = [t.id for t in self.model.tokenize(text)]
-        return got
+        row = self.chunks.get(piece)
+        if row is not None:
+            return self.pool[self.starts[row] : self.starts[row + 1]].tolist()
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode())))]
 
     def _chunk(self, chunk: str) -> list[int]:
         if chunk.isascii() and chunk.isalpha():

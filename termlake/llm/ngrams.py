@@ -41,6 +41,8 @@ KEEP = 1
 STEPS, WEIGHT_STEPS = 8, 2048
 #: Tokens to a shard of n-grams, and to one of the vocabulary.
 SHARD_TOKENS, VOCABULARY_TOKENS = 2_500_000, 20_000_000
+#: Up to so many words a task keeps a number for each while it counts (4 bytes).
+LOCAL_WORDS = 50_000_000
 #: The end of a text has the hash of no word's bytes.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 
@@ -360,6 +362,37 @@ def _group(key: np.ndarray, third: np.ndarray, count: np.ndarray) -> tuple[np.nd
     return key[new], third[new], np.add.reduceat(count, new) if len(key) else count
 
 
+def _count(a: np.ndarray, b: np.ndarray, c: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_group`` of single trigrams, with keys a * words + b; where the words at hand fit, three to 64 bits, they are sorted as numbers."""
+    if words <= LOCAL_WORDS:
+        mark = np.zeros(words + 1, np.int32)
+        for x in (a, b, c):
+            mark[x] = 1
+        names = np.flatnonzero(mark)
+        bits = len(names).bit_length()
+        if 3 * bits <= 64:
+            np.cumsum(mark, out=mark)
+            mark -= 1
+            packed = mark[a].astype(np.uint64)
+            for x in (b, c):
+                packed = (packed << np.uint64(bits)) | mark[x].astype(np.uint64)
+            packed.sort()
+            new = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+            count = np.diff(np.append(new, len(packed)))
+            packed, low = packed[new], np.uint64((1 << bits) - 1)
+            one, two, three = (names[(packed >> np.uint64(k * bits)) & low] for k in (2, 1, 0))
+            return one.astype(np.uint64) * np.uint64(words) + two.astype(np.uint64), three, count
+    key = a.astype(np.uint64) * np.uint64(words) + b.astype(np.uint64)
+    return _group(key, c, np.ones(len(key), np.int64))
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by shard, equal ones as they are, and where each shard starts in it."""
+    small = shard.astype(np.uint16) if shards <= 1 << 16 else shard  # sorted by digits
+    order = np.argsort(small, kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
+
+
 def build_shard(key: np.ndarray, third: np.ndarray, count: np.ndarray, words: int, firsts: np.ndarray, keep: int = KEEP, backoff: float = BACKOFF) -> list[np.ndarray]:
     """The arrays of a shard from its grouped trigrams; ``firsts`` has the count of each bigram's first word."""
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -410,11 +443,8 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
                 return
             a, b, c = (np.concatenate(x) for x in zip(*pend, strict=True))
             pend.clear()
-            key = a.astype(np.uint64) * np.uint64(trie.words) + b.astype(np.uint64)
-            key, third, n = _group(key, c, np.ones(len(key), np.int64))
-            shard = (mix64(key) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            key, third, n = _count(a, b, c, trie.words)
+            order, cuts = _by_shard((mix64(key) % np.uint64(shards)).astype(np.int64), shards)
             for s in range(shards):
                 rows = order[cuts[s] : cuts[s + 1]]
                 if len(rows):
@@ -497,7 +527,16 @@ class Shard:
         base = np.zeros(len(distinct), np.uint64)
         later = first > 0
         base[later] = self.three.get(first[later] - 1) + np.uint64(1)  # the context counts on from there
-        return self.three.find(base[which] + word.astype(np.uint64), first[which], end[which])
+        out = np.full(len(context), -1, np.int64)
+        alone = end - first == 1  # one successor: it is the word or not
+        own = np.zeros(len(distinct), np.uint64)
+        own[alone] = self.three.get(first[alone]) - base[alone]
+        hit = np.flatnonzero(alone[which] & (own[which] == word.astype(np.uint64)))
+        out[hit] = first[which[hit]]
+        rest = np.flatnonzero((end - first > 1)[which])
+        w = which[rest]
+        out[rest] = self.three.find(base[w] + word[rest].astype(np.uint64), first[w], end[w])
+        return out
 
 
 class Scorer:
@@ -527,9 +566,10 @@ class Scorer:
         key = ids[i - 1].astype(np.uint64) * v + ids[i].astype(np.uint64)
         distinct, which = np.unique(key, return_inverse=True)
         shard = (mix64(distinct) % np.uint64(self.trie.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.trie.shards + 1))
-        value, context, owner = np.zeros(len(distinct)), np.full(len(distinct), -1, np.int64), shard
+        order, cuts = _by_shard(shard, self.trie.shards)
+        value, context = np.zeros(len(distinct)), np.full(len(distinct), -1, np.int64)
+        rank = np.empty(len(distinct), np.int64)  # of each bigram by shard and, as they are sorted, place there
+        rank[order] = np.arange(len(distinct))
         gamma = np.ones(len(distinct))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             one, rows = self.shard(s), order[cuts[s] : cuts[s + 1]]
@@ -550,8 +590,9 @@ class Scorer:
         back[j] = gamma[c]
         known = j[ids[j] >= 0]
         c = ends[known - 1]
-        order = np.lexsort((ids[known], context[c], owner[c]))
-        cuts = np.searchsorted(owner[c][order], np.arange(self.trie.shards + 1))
+        at = rank[c]
+        order = np.argsort(at)
+        cuts = np.searchsorted(at[order], cuts)
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             one, rows = self.shard(s), order[cuts[s] : cuts[s + 1]]
             at = one.successor(context[c[rows]], ids[known[rows]])

@@ -14,13 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, table
+from .common import CACHES, crc_mod, map_arrow, table
 
 #: Labelled documents of each class that lexicon and weights are fitted on: those whose ids hash smallest.
 TRAIN_DOCS = 2000
 #: Lexicon terms at most (those of the highest odds; it bounds the automaton), and what a word needs to be one: toxic
 #: documents with it, and smoothed log-odds.
 TERMS, TERM_DOCS, TERM_ODDS = 400, 4, 2.0
+#: States of the automaton that a worker keeps.
+STATES = 100_000
 #: Words on each side of a hit that belong to its context.
 WINDOW = 8
 
@@ -40,17 +42,53 @@ def edits(length: int) -> int:
 
 @dataclass
 class Automaton:
-    """The deterministic intersection of all terms' Levenshtein automata with their trie.
+    """The intersection of all terms' Levenshtein automata with their trie; its deterministic states are made as words meet them.
 
-    States are sets of (trie node, edits so far), ~node where a swap that ends there lacks its second letter; ``moves`` has a row for each state and a column for each letter of the
-    lexicon, column 0 being all other letters.  A state accepts the term of least distance (ties: the first term).
+    A state is a set of (trie node, edits so far), ~node where a swap that ends there lacks its second letter.  It accepts
+    the term of least distance (ties: the first term).  Only the trie travels to workers; a worker keeps the states that it
+    has met, ``STATES`` at most, and starts again beyond that.
     """
 
     terms: list[str]
+    may: list[int]  # edits allowed to each term
+    swaps: bool
     letters: dict[str, int]
-    moves: np.ndarray
-    term: np.ndarray
-    distance: np.ndarray
+    children: list[dict[str, int]]
+    ends: list[int]  # the term that ends at a node, or -1
+    before: list[str]  # the last letter but one on the way to a node
+    most: list[int]  # edits allowed to any term below
+
+    def closed(self, best: dict[int, int]) -> tuple[tuple[int, int], ...]:
+        """A state with all nodes that are reached by leaving letters of a term out."""
+        todo = deque(best.items())
+        while todo:
+            node, e = todo.popleft()
+            if node < 0 or best[node] < e:
+                continue
+            for child in self.children[node].values():
+                if e + 1 <= self.most[child] and e + 1 < best.get(child, 99):
+                    best[child] = e + 1
+                    todo.append((child, e + 1))
+        return tuple(sorted(best.items()))
+
+    def after(self, state: tuple[tuple[int, int], ...], c: str | None) -> tuple[tuple[int, int], ...]:
+        """The state after a letter; None stands for every letter that no term has."""
+        best: dict[int, int] = {}
+        for node, e in state:
+            if node < 0:  # the second letter of a swap
+                if c == self.before[~node] and e < best.get(~node, 99):
+                    best[~node] = e
+                continue
+            if e + 1 <= self.most[node] and e + 1 < best.get(node, 99):  # a letter too many
+                best[node] = e + 1
+            for letter, child in self.children[node].items():
+                cost = e + (letter != c)
+                if cost <= self.most[child] and cost < best.get(child, 99):
+                    best[child] = cost
+                over = self.children[child].get(c) if self.swaps and letter != c else None
+                if over is not None and e + 1 <= self.most[over] and e + 1 < best.get(~over, 99):
+                    best[~over] = e + 1
+        return self.closed(best)
 
     def match(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Term number (or -1) and distance for each word; all words walk the automaton side by side."""
@@ -67,26 +105,79 @@ class Automaton:
             column[ord(c)] = k
         columns = column[np.minimum(codes, top)]
         starts = np.cumsum(length[fits]) - length[fits]
+        key = (tuple(self.terms), tuple(self.may), self.swaps)
+        if key not in _STATES or len(_STATES[key].sets) > STATES:
+            _STATES.clear()
+            _STATES[key] = States(self)
+        met = _STATES[key]
         state = np.ones(len(fits), np.int64)
         for t in range(longest):
             on = np.flatnonzero((length[fits] > t) & (state > 0))
             if not len(on):
                 break
-            state[on] = self.moves[state[on], columns[starts[on] + t]]
+            here = state[on]
+            for k in np.unique(here[~met.known[here]]).tolist():
+                met.expand(k)
+            state[on] = met.moves[here, columns[starts[on] + t]]
         term, distance = np.full(n, -1), np.zeros(n, np.int64)
-        term[fits], distance[fits] = self.term[state], self.distance[state]
+        term[fits], distance[fits] = met.term[state], met.distance[state]
         return term, distance
 
 
+class States:
+    """The states that words have met: ``moves`` has a row for each and a column for each letter of the lexicon, column 0
+    being all other letters; state 0 is dead, state 1 the start."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+        self.sets: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        size = 1024
+        self.moves = np.zeros((size, len(automaton.letters) + 1), np.int32)
+        self.known, self.term, self.distance = np.zeros(size, bool), np.full(size, -1), np.zeros(size, np.int64)
+        self._add(())
+        self._add(automaton.closed({0: 0}))
+        self.known[0] = True
+
+    def _add(self, state: tuple) -> int:
+        k = self.number.get(state)
+        if k is None:
+            k = self.number[state] = len(self.sets)
+            self.sets.append(state)
+            if k >= len(self.known):
+                grown = lambda a, fill: np.concatenate((a, np.full_like(a, fill)))
+                self.moves, self.known, self.term, self.distance = grown(self.moves, 0), grown(self.known, False), grown(self.term, -1), grown(self.distance, 0)
+            a = self.automaton
+            hits = [(e, a.ends[n]) for n, e in state if n >= 0 and a.ends[n] >= 0 and e <= a.may[a.ends[n]]]
+            if hits:
+                self.distance[k], self.term[k] = min(hits)
+        return k
+
+    def expand(self, k: int) -> None:
+        """Find where a state leads; letters that none of its nodes looks for lead where unknown ones do."""
+        a, state = self.automaton, self.sets[k]
+        near = {c for node, _ in state for c in (a.children[node] if node >= 0 else a.before[~node])}
+        if a.swaps:
+            near |= {c for node, e in state if node >= 0 for child in a.children[node].values() if e < a.most[child] for c in a.children[child]}
+        other = self._add(a.after(state, None))
+        row = np.full(len(a.letters) + 1, other, np.int32)
+        for c in near:
+            row[a.letters[c]] = self._add(a.after(state, c))
+        self.moves[k], self.known[k] = row, True
+
+
+_STATES: dict[tuple, States] = {}
+CACHES.append(_STATES)
+
+
 def build_automaton(terms: list[str], allowed: Callable[[int], int] = edits, swaps: bool = False) -> Automaton:
     """The automaton of the terms; with ``swaps`` two neighbouring letters in each other's place are one edit."""
     children: list[dict[str, int]] = [{}]
-    ends: list[int] = [-1]
-    before = [""]  # the last letter but one on the way to a node
-    most = [0]  # edits allowed to any term below
+    ends, before, most = [-1], [""], [0]
+    may = [allowed(len(t)) for t in terms]
     for k, term in enumerate(terms):
-        node, may = 0, allowed(len(term))
-        most[0] = max(most[0], may)
+        node = 0
+        most[0] = max(most[0], may[k])
         for i, c in enumerate(term):
             if c not in children[node]:
                 children[node][c] = len(children)
@@ -95,63 +186,11 @@ def build_automaton(terms: list[str], allowed: Callable[[int], int] = edits, swa
                 before.append(term[i - 1] if i else "")
                 most.append(0)
             node = children[node][c]
-            most[node] = max(most[node], may)
+            most[node] = max(most[node], may[k])
         if ends[node] < 0:
             ends[node] = k
     letters = {c: i + 1 for i, c in enumerate(sorted({c for t in terms for c in t}))}
-
-    def closed(best: dict[int, int]) -> tuple[tuple[int, int], ...]:
-        todo = deque(best.items())
-        while todo:
-            node, e = todo.popleft()
-            if node < 0 or best[node] < e:
-                continue
-            for child in children[node].values():  # a letter of the term left out
-                if e + 1 <= most[child] and e + 1 < best.get(child, 99):
-                    best[child] = e + 1
-                    todo.append((child, e + 1))
-        return tuple(sorted(best.items()))
-
-    def after(state: tuple[tuple[int, int], ...], c: str | None) -> tuple[tuple[int, int], ...]:
-        best: dict[int, int] = {}
-        for node, e in state:
-            if node < 0:  # the second letter of a swap
-                if c == before[~node] and e < best.get(~node, 99):
-                    best[~node] = e
-                continue
-            if e + 1 <= most[node] and e + 1 < best.get(node, 99):  # a letter too many
-                best[node] = e + 1
-            for letter, child in children[node].items():
-                cost = e + (letter != c)
-                if cost <= most[child] and cost < best.get(child, 99):
-                    best[child] = cost
-                over = children[child].get(c) if swaps and letter != c else None
-                if over is not None and e + 1 <= most[over] and e + 1 < best.get(~over, 99):
-                    best[~over] = e + 1
-        return closed(best)
-
-    start = closed({0: 0})
-    states, rows, queue = {(): 0, start: 1}, {0: [0] * (len(letters) + 1)}, deque([start])
-    while queue:
-        state = queue.popleft()
-        near = {c for node, _ in state for c in (children[node] if node >= 0 else before[~node])}
-        if swaps:
-            near |= {c for node, e in state if node >= 0 for child in children[node].values() if e < most[child] for c in children[child]}
-        other = after(state, None)
-        row = []
-        for c in (None, *letters):
-            to = after(state, c) if c in near else other
-            if to not in states:
-                states[to] = len(states)
-                queue.append(to)
-            row.append(states[to])
-        rows[states[state]] = row
-    term, distance = np.full(len(states), -1), np.zeros(len(states), np.int64)
-    for state, k in states.items():
-        hits = [(e, ends[n]) for n, e in state if n >= 0 and ends[n] >= 0 and e <= allowed(len(terms[ends[n]]))]
-        if hits:
-            distance[k], term[k] = min(hits)
-    return Automaton(terms, letters, np.array([rows[k] for k in range(len(states))], np.int64).reshape(len(states), -1), term, distance)
+    return Automaton(terms, may, swaps, letters, children, ends, before, most)
 
 
 # ---------------------------------------------------------------- hits and scores

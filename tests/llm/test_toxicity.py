@@ -30,6 +30,23 @@ def test_automaton_equals_brute_force(terms, words):
         assert (t >= 0) == bool(near) and (not near or d == min(near)[0])
 
 
+def test_states_are_met_anew_beyond_their_bound(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 3)
+    a = toxicity.build_automaton(["stupid", "worthless"], swaps=True)
+    for _ in range(3):
+        assert a.match(["stupid", "stpuid", "worthles", "tree"])[0].tolist() == [0, 0, 1, -1]
+        assert a.match(["wortless", "stone"])[1].tolist() == [1, 0]
+
+
+def test_held_out_quality(spark):
+    """On the largest table of the tests: documents that the fit has not seen."""
+    sf = SMALL.replace("sf0.001", "sf0.1")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(truth[r.doc_id], r.predicted) for r in toxicity.query(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    hit = sum(y and p for y, p in got)
+    assert len(got) > 500 and hit >= 0.8 * sum(y for y, _ in got) and hit >= 0.8 * sum(p for _, p in got)
+
+
 def planted():
     rng = np.random.default_rng(1)
     words = ["tree", "house", "river", "stone", "cloud", "green", "happy", "morning", "window", "garden"]

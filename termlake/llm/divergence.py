@@ -18,8 +18,8 @@ LEAST_DOCS, TOP = 30, 50
 SCALE, SMOOTH = 1_000_000_000, 5
 #: Runs of letters A-Z and of characters above ASCII, as code points and as UTF-8 bytes alike.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Distinct terms that a task counts before it sends them on.
-HELD_TERMS = 300_000
+#: Distinct terms that a task counts before it sends them on, and those of a batch that it sends.
+HELD_TERMS, SENT_TERMS = 800_000, 20_000
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -33,10 +33,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
 
-        def rows() -> pa.RecordBatch:
-            flat = [(lang, source, term, n, docs[term]) for (lang, source), (all_n, docs) in held.items() for term, n in ((b"", 0), *all_n.items())]
-            cols = list(zip(*flat, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "source", "term", "n", "docs"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (all_n, docs) in held.items():
+                terms = [b"", *all_n]
+                cols = [pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([0, *all_n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, all_n)], pa.int64())]
+                whole = pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
+                yield from (whole.slice(k, SENT_TERMS) for k in range(0, len(terms), SENT_TERMS))
 
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
@@ -47,10 +49,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 docs.update(set(words))
                 size += len(all_n) - before
                 if size > HELD_TERMS:
-                    yield rows()
+                    yield from rows()
                     held.clear()
                     size = 0
-        yield rows()
+        yield from rows()
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     found = map_arrow(docs.select(text("lang"), text("source"), text("text")), count, "lang string, source string, term string, n long, docs long")

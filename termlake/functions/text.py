@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ BOUNDARY_TERM = r"^[a-z0-9][a-z0-9 ._+/#-]*$"
 CJK = r"[\u3040-\u30ff\u3400-\u9fff]"
 #: What case folding changes in a text that is in lower case already, by the rule of the Unicode tables at hand.
 FOLDS = {c: c.casefold() for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if c.lower() == c != c.casefold()}
+#: Letters of any case that lower case alone does not fold, but for those of ß, which are frequent, as ranges of a pattern.
+_ODD_LETTERS = [c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if c.lower().casefold() != c.lower() and c not in "ßẞ"]
+_ODD_RANGES = "".join(c + "-" * (ord(c) + 1 == ord(n)) for c, n in zip(_ODD_LETTERS, [*_ODD_LETTERS[1:], "\0"], strict=True))
+_ODD_RANGES = re.sub("(.)-(?:.-)+(.)", r"\1-\2", _ODD_RANGES)
 
 
 def let(value: Column, fn) -> Column:
@@ -24,15 +30,15 @@ def normalise_space(s: Column) -> Column:
 
 
 def casefold(s: Column) -> Column:
-    """Full case folding: lower case, and letters like ß, ﬁ or final sigma by their folded forms."""
-
-    def fold(low: Column) -> Column:
-        table = F.create_map(*[F.lit(x) for pair in FOLDS.items() for x in pair])
-        some = F.regexp_like(low, F.lit(f"[{''.join(FOLDS)}]"))
-        folded = F.array_join(F.transform(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-        return F.when(F.octet_length(low) == F.length(low), low).when(some, folded).otherwise(low)
+    """Full case folding: lower case, and letters like ß, ﬁ or final sigma by their folded forms.
 
-    return fold(F.lower(s))
+    ß is replaced wherever it stands; only texts with another letter that lower case does not fold are taken apart.
+    """
+    low = F.lower(s)
+    table = F.create_map(*[F.lit(x) for pair in FOLDS.items() for x in pair])
+    each = F.array_join(F.transform(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    odd = F.regexp_like(s, F.lit(f"[{_ODD_RANGES}Σ]"))  # capital sigma can become a final one
+    return F.when(F.octet_length(s) == F.length(s), low).when(odd, each).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def term_key(s: Column) -> Column:

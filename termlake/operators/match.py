@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 _ODD = "[^a-z0-9 ]"
+#: Keys of terms up to this number are looked for in the texts before these meet the terms.
+FEW_KEYS = 1000
 
 
 def _odd_keys(key: Column) -> Column:
@@ -16,28 +18,39 @@ def _odd_keys(key: Column) -> Column:
     return F.concat(F.regexp_extract_all(key, F.lit(_ODD), F.lit(0)), pairs)
 
 
+def _one_of(values: list[str]):
+    return lambda x: x.isin(values)
+
+
 def term_match(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term") -> DataFrame:
     """All pairs of a text and a term that ``source_contains`` accepts.
 
-    Plain terms are looked up by their first token in the distinct tokens of each text, others by a character that is no
-    letter of a-z, digit or space with its neighbour; only candidates are tested, so both joins are hash joins.
+    Terms of one plain token are an equi join with the distinct tokens of each text and need no test.  Plain terms of
+    several tokens are looked up by their first one, others by a character that is no letter of a-z, digit or space with its
+    neighbour; only candidates are tested, so all joins are hash joins.  The kinds of terms and, if they are at most
+    ``FEW_KEYS``, their keys are read when the plan is made: texts are exploded only to keys that terms have.
     """
+    key = F.col("__key")
     keyed = terms.withColumn("__key", X.contains_key(F.col(term))).where("__key <> ''")
+    kind = F.when(F.regexp_like(key, F.lit("^[a-z0-9]+$")), "one").when(X.is_plain(key), "plain").otherwise("odd")
+    pair = F.when(F.length(key) == 1, key).otherwise(F.element_at(_odd_keys(key), -1))  # a pair, where there is one
+    keyed = keyed.withColumn("__kind", kind).withColumn("__tok", F.when(F.col("__kind") == "odd", pair).otherwise(X.alnum_tokens(key)[0]))
+    rare = keyed.where("__kind <> 'one'").select("__kind", "__tok").distinct().limit(FEW_KEYS + 1).collect()
     rows = texts.withColumn("__text", X.contains_key(F.col(text)))
-    plain = X.is_plain(F.col("__key"))
-    near = rows.withColumn("__tok", F.explode(F.array_distinct(X.alnum_tokens(F.col("__text")))))
-    near = near.join(keyed.where(plain).withColumn("__tok", X.alnum_tokens(F.col("__key"))[0]), "__tok")
-    one_token = F.regexp_like("__key", F.lit("^[a-z0-9]+$"))  # then the candidate is a hit already
-    near = near.where(one_token | X.key_in(F.col("__text"), F.col("__key")))
-    odd = rows.withColumn("__tok", F.explode(F.array_distinct(_odd_keys(F.col("__text")))))
-    longest = F.when(F.length("__key") == 1, F.col("__key")).otherwise(F.element_at(_odd_keys(F.col("__key")), -1))  # a pair, where there is one
-    odd = odd.join(keyed.where(~plain).withColumn("__tok", longest), "__tok").where(F.contains("__text", F.col("__key")))
-    return near.unionByName(odd).drop("__tok", "__text", "__key")
-
-
-def nested_loop_match(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "term") -> DataFrame:
-    """The same pairs by testing all of them; for tests."""
-    return texts.join(terms, X.source_contains(F.col(text), F.col(term)))
+    folded = F.regexp_extract_all(X.casefold(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))  # white space is in no token
+    tokens = {"one": folded, "plain": folded, "odd": _odd_keys(F.col("__text"))}
+    test = {"plain": X.key_in(F.col("__text"), key), "odd": F.contains("__text", key)}
+    out = None
+    for name, found in tokens.items():
+        own = [r["__tok"] for r in rare if r["__kind"] == name]
+        if name != "one" and len(rare) <= FEW_KEYS:
+            if not own:
+                continue
+            found = F.filter(found, _one_of(own))
+        near = rows.withColumn("__tok", F.explode(F.array_distinct(found))).join(keyed.where(F.col("__kind") == name), "__tok")
+        near = (near.where(test[name]) if name in test else near).drop("__tok", "__text", "__key", "__kind")
+        out = near if out is None else out.unionByName(near)
+    return out
 
 
 def word_grams(words: Column, n: int) -> Column:

@@ -1,7 +1,11 @@
-"""A session with the settings that the library expects: UTC, adaptive execution, skew splitting."""
+"""A session with the settings that the library expects (UTC, adaptive execution, skew splitting), and the shared folder."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +19,13 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=defaults | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in spark.checkpoint.dir, which driver and executors share; unset, and in local mode only, in this machine's temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "termlake-shared")
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"

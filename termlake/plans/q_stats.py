@@ -268,7 +268,7 @@ def _(s, d):
     return before.select("o_orderkey", "slot", F.pmod("slot", F.lit(4)).alias("worker"))
 
 
-@query("k05_s04_formatted_cells", f"WITH {_CELLS} SELECT domain, lang, lm, printf('%.4f', v) AS cell, printf('%+.4f', v - 150000) AS delta, NULL::DOUBLE AS parsed FROM cells")
+@query("k05_formatted_cells", f"WITH {_CELLS} SELECT domain, lang, lm, printf('%.4f', v) AS cell, printf('%+.4f', v - 150000) AS delta, NULL::DOUBLE AS parsed FROM cells")
 def _(s, d):
     return _cells(s, d).select("domain", "lang", "lm", X.format_metric(F.col("v")).alias("cell"), X.format_metric(F.col("v") - 150000, signed=True).alias("delta"), X.parse_number(F.lit("NA")).alias("parsed"))
 

@@ -13,7 +13,7 @@ def _events(s, d):
     return t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("st01_st06_tumbling", "SELECT user_id, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("st01_tumbling", "SELECT user_id, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(s, d):
     return ST.tumbling(_events(s, d), ["user_id"], "1 hour", "2 hours").select("user_id", F.unix_micros("start").alias("start"), "n", F.round("total", 4).alias("total"))
 

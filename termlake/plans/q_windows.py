@@ -199,7 +199,7 @@ def _(s, d):
 
 
 @query(
-    "l08_l14_l15_assign_chunk",
+    "l08_assign_chunk",
     f"""WITH {_AB}, c AS (SELECT user_id, i::INT AS chunk_idx, lo + i * (hi - lo) / 4 AS c0, lo + (i + 1) * (hi - lo) / 4 AS c1 FROM (SELECT user_id, min(a0) AS lo, max(a1) AS hi FROM a GROUP BY 1), (SELECT unnest(range(4)) AS i)),
     p AS (SELECT b_id, chunk_idx, greatest(0, least(b1, c1) - greatest(b0, c0)) AS o, abs((b0 + b1) / 2 - (c0 + c1) / 2) AS dist FROM b JOIN c USING (user_id))
     SELECT b_id, arg_min(chunk_idx, (-o, CASE WHEN o > 0 THEN 0 ELSE dist END, chunk_idx)) AS chunk_idx FROM p GROUP BY 1""",

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import in_order
+
 BANK_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
@@ -226,14 +228,13 @@ def detection(rows: DataFrame, score: Column, truth: Column, thresholds: list[fl
 def ranking_measures(rows: DataFrame, score: str, truth: str, key: str, tpr: float) -> DataFrame:
     """ROC AUC with tied ranks averaged, average precision and the false positive rate where recall first reaches ``tpr``.
 
-    Counts by distinct score come first, so the running sums go over scores, not rows; of tied scores positives and
-    negatives stand together.
+    Counts by distinct score come first, so the running sums go over scores, not rows, and by ranges of scores; of tied
+    scores positives and negatives stand together.
     """
     by = rows.groupBy(score).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
-    ends = Window.partitionBy()
-    run = run.withColumn("pos", F.sum("p").over(ends)).withColumn("neg", F.sum("n").over(ends))
+    run = in_order(by, [F.desc(score)], sums={"p": "tp", "n": "fp"})
+    ends = rows.agg(F.sum(truth).alias("pos"), F.sum(1 - F.col(truth)).alias("neg"))
+    run = run.join(ends)  # one row
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / F.max(F.col("pos") * F.col("neg"))
     return run.agg(
         F.round(area, 6).alias("auc"), F.round(F.sum(F.col("p") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("ap"),

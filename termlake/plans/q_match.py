@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import glossary as G
 from ..operators import match as M
+from ..operators import ranks as R
 from .fixtures import BASE, GLOSSARY, SENTENCES, glossary, sentences, t
 from .q_text import SINGULAR
 from .registry import query
@@ -53,10 +54,10 @@ def _(s, d):
     SELECT doc_id, positives, (SELECT count(*) FROM ids) - positives AS negatives FROM n""",
 )
 def _(s, d):
-    ids = glossary(s, d).withColumn("term_id", F.row_number().over(Window.orderBy("pos")))
+    ids = R.in_order(glossary(s, d), [F.col("pos")], "term_id")
     total = ids.agg(F.count("*").alias("total"))
     positive = hits(s, d).select("doc_id", "term").distinct().join(ids.select("term", "term_id"), "term").groupBy("doc_id").agg(F.count("*").alias("positives"))
-    return positive.join(F.broadcast(total)).select("doc_id", "positives", (F.col("total") - F.col("positives")).alias("negatives"))
+    return positive.join(total).select("doc_id", "positives", (F.col("total") - F.col("positives")).alias("negatives"))
 
 
 _JUDGED = f"""{BASE}, judged AS (SELECT s.doc_id, s.talk, s.sent_idx, m.term, contains(lower(s.reference), m.term[1:4]) AS in_ref, contains(lower(s.hypothesis), m.term) AS in_hyp FROM matches m JOIN sentences s USING (doc_id, sent_idx))"""
@@ -246,8 +247,10 @@ def _(s, d):
     f"WITH {SENTENCES} SELECT doc_id, sent_idx, row_number() OVER (PARTITION BY talk ORDER BY doc_id, sent_idx) - 1 AS new_idx, max(sent_idx) OVER (PARTITION BY doc_id) + 1 = count(*) OVER (PARTITION BY doc_id) AS contiguous FROM sentences",
 )
 def _(s, d):
-    w, one = Window.partitionBy("talk").orderBy("doc_id", "sent_idx"), Window.partitionBy("doc_id")
-    return sentences(s, d).select("doc_id", "sent_idx", (F.row_number().over(w) - 1).alias("new_idx"), (F.max("sent_idx").over(one) + 1 == F.count("*").over(one)).alias("contiguous"))
+    one = Window.partitionBy("doc_id")
+    rows = sentences(s, d).select("doc_id", "talk", "sent_idx", (F.max("sent_idx").over(one) + 1 == F.count("*").over(one)).alias("contiguous"))
+    numbered = R.in_order_within(rows, ["talk"], [F.col("doc_id"), F.col("sent_idx")], "n")
+    return numbered.select("doc_id", "sent_idx", (F.col("n") - 1).alias("new_idx"), "contiguous")
 
 
 @query(

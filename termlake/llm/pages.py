@@ -42,8 +42,16 @@ MARKS = frozenset(
     "footer form login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promotion promoted "
     "recommendations recommended related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
-#: Words that make no name weaker.
-NEUTRAL = frozenset("area block body box container content inner item items left list main outer page right section site top bottom wrap wrapper".split())
+#: Words that make no name weaker: parts of a page, and whose or which text it is about.
+NEUTRAL = frozenset(
+    "area article articles bar blog block body bottom box button buttons container content count entry guest icon icons inner item items latest left link links list main new "
+    "outer page post posts reader readers right section site stories story thread threads top user users visitor visitors wrap wrapper".split()
+)
+#: Of the marks those of what readers write.
+TALK = frozenset("comment comments commentlist disqus feedback replies reply respond".split())
+#: A weak mark is a strong one where so much of the element's text stands in links, or, of readers' words, where so many
+#: parts of one shape stand in it.
+LINKED, ALIKE = 0.5, 2
 #: Marks that count outside an article only, as articles have headers of their own.
 HEADERS = frozenset(("header", "topbar"))
 WEAK, STRONG = 1, 2
@@ -267,9 +275,31 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
         stack.append(Open(tag, node, junk, top.link or tag == "a", whole))
         held[tag] += 1
     flush()
+    _settle(nodes, blocks)
     return nodes, blocks
 
 
+def _settle(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> None:
+    """Weak marks that the page itself bears out become strong, by the same rule however many pages its host has."""
+    if not any(n.mark == WEAK for n in nodes):
+        return
+    size, linked, parts = [0] * len(nodes), [0] * len(nodes), Counter()
+    for node, text, in_links in blocks:
+        size[node] += len(text)
+        linked[node] += in_links
+    for k in range(len(nodes) - 1, 0, -1):  # children come after their parents
+        parent = nodes[k].parent
+        size[parent] += size[k]
+        linked[parent] += linked[k]
+        parts[parent, nodes[k].path] += 1
+    most = Counter()
+    for (parent, _), n in parts.items():
+        most[parent] = max(most[parent], n)
+    for k, n in enumerate(nodes):
+        if n.mark == WEAK and size[k] and (linked[k] >= LINKED * size[k] or (most[k] >= ALIKE and not TALK.isdisjoint(_PARTS.split(n.path.rsplit("/", 1)[-1])))):
+            n.mark = STRONG
+
+
 def best_path(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> str | None:
     """Path of the container with the best score, or of the article around it; None if the page has no text.
 

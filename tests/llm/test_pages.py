@@ -87,3 +87,19 @@ def test_tokens():
     html = """<p class="a>b" id='c'>x<!-- <p> --><![CDATA[y]]></P ><br/><title>no</title>1 < 2<?php ?></p"""
     assert [t for t in pages.tokens(html) if t[0] != "text"] == [("open", "p", """ class="a>b" id='c'"""), ("close", "p", ""), ("open", "br", "/")]
     assert "".join(t[1] for t in pages.tokens(html) if t[0] == "text") == "x1 < 2"
+
+
+def test_comments_and_share_boxes_on_hosts_of_one_and_two_pages(spark):
+    story = "<p>It was a long day at the river. They came home late.</p>"
+    talk = "<p>I agree with all of this, and I have more to say about it than the story has.</p>" * 4
+    one = f'<div class="post">{story}<div class="post-share-buttons"><p>Tweet me</p></div><div class="related-posts"><p>More</p></div></div><div class="user-comments">{talk}</div>'
+    two = f'<div class="post">{story}</div><div class="reader_replies">{talk}</div>'
+    three = f'<div class="post">{story}<div class="tell-and-share"><p><a href="#">Post</a> <a href="#">Mail it</a></p></div></div><div class="what-readers-comment"><div class="one">{talk}</div><div class="one">{talk}</div></div>'
+    rows = [(1, "http://one.example/", one), (2, "http://two.example/a", two), (3, "http://two.example/b", two), (4, "http://three.example/", three), (5, "http://four.example/", one)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"It was a long day at the river. They came home late."}
+
+
+def test_weak_marks_alone_do_not_count_on_one_page():
+    page = '<article><p>One.</p><div class="related-work"><p>Two <a href="#">x</a>.</p></div><div class="comment-by-editor"><p>Three.</p></div><p class="promotion-history">Four.</p></article>'
+    assert pages.extract(page, None) == "One.\nTwo x.\nThree.\nFour."

@@ -133,7 +133,7 @@ def _(s, d):
     return t(s, d, "orders").where("o_orderstatus = 'F'").orderBy(F.desc(F.coalesce("o_orderdate", F.lit("1970-01-01").cast("timestamp_ntz"))), F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey")
 
 
-@query("t19_t20_hash_split", f"""WITH g AS (SELECT l_partkey, {draw_sql("'6'", 'l_partkey')} < 0.2 AS unseen FROM lineitem GROUP BY l_partkey), bad AS (SELECT DISTINCT l_orderkey FROM lineitem JOIN g USING (l_partkey) WHERE unseen)
+@query("t20_hash_split", f"""WITH g AS (SELECT l_partkey, {draw_sql("'6'", 'l_partkey')} < 0.2 AS unseen FROM lineitem GROUP BY l_partkey), bad AS (SELECT DISTINCT l_orderkey FROM lineitem JOIN g USING (l_partkey) WHERE unseen)
     SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM bad)""")
 def _(s, d):
     rows = t(s, d, "lineitem").withColumn("unseen", X.stable_draw(F.lit("6"), F.col("l_partkey")) < 0.2)

@@ -36,7 +36,7 @@ def test_hard_negatives_of_all_rows(spark, bank):
 
 
 def test_every_row_is_found_and_counted(spark, bank):
-    got = {r.query_id: r.n for r in catalog.QUERIES["t09_small_bank_top_k"](spark, SMALL).collect()}
+    got = {r.query_id: r.n for r in catalog.QUERIES["t09_answers_of_each_query"](spark, SMALL).collect()}
     assert got == {int(q): len(bank[0]) - 1 for q in bank[0]}
 
 

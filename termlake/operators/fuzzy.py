@@ -1,14 +1,18 @@
 """Gold terms of conversation chunks: entries whose translation later text has, exactly or nearly.
 
-No text is compared with an entry before a join of q-grams says that it can be near enough.
+No text is compared with an entry before its q-grams say that it can be near enough.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +38,7 @@ def block_score(target: str, text: str, ratio: float = 1.6, extra: int = 4) -> f
     return best
 
 
-def least_grams(size: Column, score: float) -> tuple[int, Column]:
+def least_grams(size: int, score: float) -> tuple[int, int]:
     """q, and how many of a target's places must have a q-gram that a span has too, if the score is to be reached.
 
     m matching characters in a span of L need 2m >= score * (size + L), and m <= L.  They stand in blocks between which a
@@ -43,7 +47,36 @@ def least_grams(size: Column, score: float) -> tuple[int, Column]:
     if not 0 < score <= 1:
         raise ValueError("the least score is above 0 and at most 1")
     q = 2 if score > 0.75 else 1
-    return q, F.ceil(size * (score if q == 1 else 3 * score - 2) / (2 - score) - (q - 1) - 1e-9)
+    return q, math.ceil(size * (score if q == 1 else 3 * score - 2) / (2 - score) - (q - 1) - 1e-9)
+
+
+def reaches(text: str, targets: list[str], score: float, ratio: float, extra: int) -> list[int]:
+    """For each target where the last span begins, at most, that has q-grams enough; -1 if none has.
+
+    The text's q-grams are listed once with their places.  Places are counted in bands of twice the longest span that overlap
+    by one, so that every span lies within one band; a gram counts once in a band, as does one that the target has twice.
+    """
+    q = least_grams(1, score)[0]
+    places: dict[str, list[int]] = {}
+    for k in range(len(text) - q + 1):
+        places.setdefault(text[k : k + q], []).append(k)
+    out = []
+    for target in targets:
+        size, grams = len(target), list({target[k : k + q] for k in range(len(target) - q + 1)})
+        need = max(1, least_grams(size, score)[1] - (size - q + 1 - len(grams)))
+        most = max(1, min(longest_span(size, ratio, extra), int(size * (2 / score - 1) + 1e-9)))
+        own = [(g, places[x]) for g, x in enumerate(grams) if x in places]
+        if len(own) < need:
+            out.append(-1)
+            continue
+        at = np.concatenate([np.asarray(p) for _, p in own])
+        gram = np.repeat([g for g, _ in own], [len(p) for _, p in own])
+        band = at // most
+        pairs = np.unique(np.concatenate([band + 1, band]) * len(grams) + np.tile(gram, 2))  # bands begin at -1
+        bands, n = np.unique(pairs // len(grams), return_counts=True)
+        good = bands[n >= need]
+        out.append(int((good.max() + 1) * most - 1) if len(good) else -1)
+    return out
 
 
 def future_offsets(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> tuple[DataFrame, DataFrame]:
@@ -56,24 +89,20 @@ def future_offsets(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -
 
 
 def fuzzy_candidates(targets: DataFrame, texts: DataFrame, score: float, ratio: float, extra: int, conv: str = "conv_id") -> DataFrame:
-    """(conv, translation, reach): targets whose conversation has a span with q-grams enough, and where the last such ends.
+    """(conv, translation, reach): targets whose conversation has a span with q-grams enough, and where the last such can begin.
 
-    ``targets``: distinct (conv, translation); ``texts``: (conv, full).  Grams of texts and targets are an equi join; places
-    are counted in bands of twice the longest span that overlap by one, so that every span lies within one band.
+    ``targets``: distinct (conv, translation); ``texts``: (conv, full).  A conversation's text meets all its targets in one
+    row, and no pair of a gram and a place leaves the task.
     """
-    size = F.length("translation")
-    q, need = least_grams(size, score)
-    grams = lambda c: F.regexp_extract_all(c, F.lit(f"(?s)(?=({'.' * q}))"), F.lit(1))
-    own = F.array_distinct(grams(F.col("translation")))
-    need = F.greatest(need - (size - q + 1 - F.size(own)), F.lit(1))  # a gram that the target has twice counts once
-    most = F.least(F.greatest(size + extra, F.floor(size * ratio).cast("int") + extra), F.floor(size * (2 / score - 1) + 1e-9).cast("int"))
-    left = targets.select(conv, "translation", need.alias("need"), most.alias("most"), F.explode(own).alias("gram"))
-    places = texts.join(targets.select(conv).distinct(), conv, "left_semi").select(conv, F.posexplode(grams(F.col("full"))).alias("place", "gram"))
-    met = left.join(places, [conv, "gram"])
-    band = F.floor(F.col("place") / F.col("most"))
-    banded = met.select(conv, "translation", "need", "gram", "place", F.explode(F.array(band, band - 1)).alias("band"))
-    once = banded.groupBy(conv, "translation", "need", "band", "gram").agg(F.max("place").alias("last"))
-    return once.groupBy(conv, "translation", "need", "band").agg(F.count("*").alias("n"), F.max("last").alias("last")).where("n >= need").groupBy(conv, "translation").agg(F.max("last").alias("reach"))
+    both = targets.groupBy(conv).agg(F.collect_list("translation").alias("targets")).join(texts, conv)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [reaches(text, own, score, ratio, extra) for text, own in zip(b.column("full").to_pylist(), b.column("targets").to_pylist(), strict=True)]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([b.column(conv).take(row), b.column("targets").flatten(), pa.array([x for f in found for x in f], pa.int64())], names=[conv, "translation", "reach"])
+
+    return both.select(conv, "targets", "full").mapInArrow(probe, f"{conv} {dict(targets.dtypes)[conv]}, translation string, reach long").where("reach >= 0")
 
 
 def derive_gold(

@@ -36,6 +36,7 @@ class Index:
     step: np.ndarray
     bits: int
     groups: np.ndarray  # the first group of each cell and the number of its groups
+    answers: int = 100  # a query's answers at most
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n cells of each row with the largest inner products, less half the squared norm of the centroid: the nearest ones."""
@@ -73,10 +74,11 @@ def _fit(x: np.ndarray, cells: int, bits: int) -> tuple[np.ndarray, np.ndarray,
     return centroids, low, np.maximum((rest.max(0) - low) / ((1 << bits) - 1), 1e-12)
 
 
-def build(bank: DataFrame, path: str, bits: int = 4, cells: int | None = None) -> Index:
+def build(bank: DataFrame, path: str, bits: int = 4, cells: int | None = None, answers: int = 100) -> Index:
     """Write the index of a bank (term_id, vec; vectors of one length, no nulls) under ``path``, by cell.
 
-    Every row is indexed; cells and code steps are fitted on ``SAMPLE`` rows.  The table has term_id, part, code and the
+    Every vector is indexed; of equal ones the ``answers`` + 1 smallest ids are, as no other can be among the ``answers`` nearest
+    of a query: ties go to smaller ids, and one of them may be the query's own.  Cells and code steps are fitted on ``SAMPLE`` rows.  The table has term_id, part, code and the
     code's error, the distance of the vector from what its code stands for.
     """
     if bits not in (4, 8):
@@ -84,10 +86,12 @@ def build(bank: DataFrame, path: str, bits: int = 4, cells: int | None = None) -
     sample = bank.select("vec", "term_id").orderBy(F.xxhash64("term_id"), "term_id").limit(SAMPLE).collect()
     if not sample:
         raise ValueError("the bank is empty")
+    copy = F.row_number().over(Window.partitionBy("vec").orderBy("term_id"))
+    bank = bank.select("term_id", "vec").withColumn("copy", copy).where(F.col("copy") <= answers + 1).drop("copy")
     rows = bank.count()
     cells = min(cells or max(1, int(rows**0.5)), MOST_CELLS, len(sample))
     centroids, low, step = _fit(np.array([r.vec for r in sample], float), cells, bits)
-    index, dims = Index(path, centroids, low, step, bits, np.zeros((cells, 2), int)), centroids.shape[1]
+    index, dims = Index(path, centroids, low, step, bits, np.zeros((cells, 2), int), answers), centroids.shape[1]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,6 +178,8 @@ def search(index: Index, queries: DataFrame, bank: DataFrame, k: int, probes: in
     exact: the error of a rough score is at most the product of the query's norm and the code's error.  Scores are those of
     the vectors in ``bank`` (term_id, vec), which only meet their own candidates.  An empty set of queries gives no rows.
     """
+    if k > index.answers:
+        raise ValueError(f"the index was built for at most {index.answers} answers")
     near = _candidates(index, bank.sparkSession, queries, k, probes, itself)
     edge = F.nth_value("lower", k).over(Window.partitionBy("query_id").orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     near = near.withColumn("edge", edge).where("edge IS NULL OR upper >= edge").select("query_id", "term_id")

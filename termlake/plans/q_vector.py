@@ -40,14 +40,14 @@ def _(s, d):
 @query("t09_flat_index_top_k", f"WITH {_TOP} SELECT query_id, term_id, round(score, 6) AS score, rank FROM top WHERE rank <= 10")
 def _(s, d):
     q, b = _sets(s, d)
-    index = I.build(b, shared_path(s, "index"), bits=8)
+    index = I.build(b, shared_path(s, "index"), bits=8, answers=10)
     return I.search(index, q, b, 10, itself=False).select("query_id", "term_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("t09_probed_index_top_k")  # approximate: a test holds its recall
 def _(s, d):
     q, b = _sets(s, d)
-    index = I.build(b, shared_path(s, "index"), bits=4)
+    index = I.build(b, shared_path(s, "index"), bits=4, answers=10)
     return I.search(index, q, b, 10, probes=-(-5 * len(index.centroids) // 8), itself=False).select("query_id", "term_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 READ = "stream string, ts timestamp, at long, data binary, finished boolean"
 SEGMENT = "stream string, segment long, first long, last long, data binary, padding long, held long, finished boolean"
@@ -129,7 +130,7 @@ def agent_segments(reads: DataFrame, rules: Rules, late: str = "10 seconds") ->
 
 
 def use_state_store(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark.conf.set(_STORE, PROVIDER)
 
 
 def replay(reads: DataFrame, rules: Rules, path: str, files: int = 1) -> DataFrame:
@@ -139,7 +140,6 @@ def replay(reads: DataFrame, rules: Rules, path: str, files: int = 1) -> DataFra
     the reads span, so none is late.  A last read of a stream of its own lets it pass them all and then the idle time.
     """
     spark = reads.sparkSession
-    use_state_store(spark)
     own = reads.select("stream", "ts", "at", "data", "finished").where("ts IS NOT NULL")
     low, high = own.agg(F.min("ts"), F.max("ts")).first()
     span = int((high - low).total_seconds()) + 1 if low else 1
@@ -148,6 +148,9 @@ def replay(reads: DataFrame, rules: Rules, path: str, files: int = 1) -> DataFra
     last = spark.range(1 if low else 0).select(F.lit("").alias("stream"), end.alias("ts"), F.lit(0).cast("long").alias("at"), F.lit(b"").alias("data"), F.lit(False).alias("finished"))
     last.write.parquet(f"{path}/reads/2")
     stream = spark.readStream.schema(READ).option("maxFilesPerTrigger", files).parquet(f"{path}/reads/*")
+    before = spark.conf.get(_STORE, None)
+    use_state_store(spark)
     q = agent_segments(stream, rules, f"{span} seconds").writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{path}/segments")
     q.awaitTermination()
+    spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)  # the caller's session is left as it was
     return spark.read.schema(SEGMENT).parquet(f"{path}/segments").where("stream <> ''")

@@ -1,21 +1,35 @@
-"""Terms and chunks found in word alignments by posting lists of their tokens.
+"""Terms and chunks found in word alignments, a segment at a time.
 
-An alignment has the rows seg, start, end, word.  Phrases are looked up by an equi join of their tokens with the words of
-their segment; a place where all tokens meet is a hit.  No segment is held as an array.
+An alignment has the rows seg, start, end, word.  Words, utterances and phrases of a segment meet in one shuffle by seg, sorted
+there; a task passes over them once and holds the keys and times of one segment.  A place is looked up by a phrase's first two
+tokens, then by as many tokens as a phrase that begins so has, so repeated texts cost no more than others.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
 
+#: Kinds of a segment's rows, in the order in which they are read.
+_WORD, _UTTERANCE, _PHRASE = 0, 1, 2
+
 
 def word_key(word: Column) -> Column:
     """Lower case, without a final 's, of letters a-z, digits and apostrophes only."""
-    w = F.replace(F.lower(X.normalise_space(word)), F.lit("’"), F.lit("'"))
-    return F.regexp_replace(F.regexp_replace(w, r"'s\z", ""), "[^a-z0-9']+", "")
+    w = F.replace(F.lower(word), F.lit("’"), F.lit("'"))
+    bare = lambda x: F.when(F.endswith(x, F.lit("'s")), F.substring(x, F.lit(1), F.length(x) - 2)).otherwise(x)
+    plain = w.rlike(r"\A[a-z0-9']*\z")  # of most words nothing is to be taken out
+    return F.when(plain, bare(w)).otherwise(F.regexp_replace(bare(X.normalise_space(w)), "[^a-z0-9']+", ""))
 
 
 def _keys(words: Column) -> Column:
@@ -33,68 +47,114 @@ def phrase_variants(text: Column) -> Column:
     return F.array_distinct(F.filter(F.array(phrase_keys(text), _keys(F.split(low, "[^a-z0-9']+"))), lambda v: F.size(v) > 0))
 
 
-def numbered(alignment: DataFrame) -> DataFrame:
-    """seg, at, key, next, start, end: words that have a key, numbered by time in their segment, with the key that follows."""
-    rows = alignment.withColumn("key", word_key(F.col("word"))).where("key <> ''")
-    by_time = Window.partitionBy("seg").orderBy("start", "end")
-    return rows.select("seg", (F.row_number().over(by_time) - 1).alias("at"), "key", F.lead("key").over(by_time).alias("next"), "start", "end")
-
-
-def phrase_hits(words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """seg, phrase, variant, size, first: every place of every variant; words (seg, at, key, next), phrases (seg, phrase, variants).
-
-    Phrases of several tokens meet the words by pairs of neighbours, which are far rarer than tokens, others by their token.
+def _places(keys: list[str], phrases: Iterable[tuple[str, ...]]) -> dict[tuple[str, ...], list[int]]:
+    """All places of each phrase among the keys, in order; one pass over the keys, whatever repeats."""
+    out: dict[tuple[str, ...], list[int]] = {p: [] for p in phrases}
+    ones, sizes = {p[0] for p in out if len(p) == 1}, {}
+    for p in out:
+        if len(p) > 1:
+            sizes.setdefault(p[:2], set()).add(len(p))
+    for i, pair in enumerate(zip(keys, keys[1:] + [None], strict=True)):
+        if pair[0] in ones:
+            out[pair[:1]].append(i)
+        for n in sizes.get(pair, ()):
+            places = out.get(tuple(keys[i : i + n]))
+            if places is not None:
+                places.append(i)
+    return out
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list, list]]:
+    """start, end and key of the words, keys of the utterances, and phrases of each segment that has words and phrases; rows sorted by seg and kind."""
+    last, parts = None, ([], [], [], [], [])
+    for b in batches:
+        runs = pc.run_end_encode(b.column("seg"))
+        kind = b.column("kind").to_numpy()
+        columns = [b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("start", "end", "key")]
+        lo = 0
+        for seg, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if seg != last:
+                if parts[2] and parts[4]:
+                    yield parts
+                last, parts = seg, ([], [], [], [], [])
+            words, said = (lo + int(i) for i in np.searchsorted(kind[lo:hi], (_UTTERANCE, _PHRASE)))
+            keyed = [i for i in range(lo, words) if columns[2][i]]  # words without a key have no number
+            for own, column in zip(parts, columns, strict=False):
+                own += [column[i] for i in keyed]
+            for own, name, i, j in ((parts[3], "keys", words, said), (parts[4], "p", said, hi)):
+                if i < j:
+                    own += b.column(name).slice(i, j - i).to_pylist()
+            lo = hi
+    if parts[2] and parts[4]:
+        yield parts
+
+
+def _by_segment(alignment: DataFrame, phrases: DataFrame, utterances: DataFrame | None, find: Callable[..., Iterator[tuple]], fields: str) -> DataFrame:
+    """seg, phrase and the fields of the rows that ``find(start, end, key, utterances, phrases)`` gives of each segment.
+
+    ``phrases`` has seg, phrase and what ``find`` needs of them; utterances have seg and keys.
     """
-    each = phrases.select("seg", "phrase", F.posexplode("variants").alias("variant", "tokens")).withColumn("size", F.size("tokens"))
-    pair = lambda a, b: F.concat_ws(" ", a, b)
-    pairs = F.transform(F.slice("tokens", F.lit(1), F.col("size") - 1), lambda x, j: pair(x, F.element_at("tokens", j + 2)))
-    grams = each.select("seg", "phrase", "variant", "size", F.posexplode(F.when(F.col("size") > 1, pairs).otherwise(F.col("tokens"))).alias("j", "gram"))
-    postings = words.select("seg", "at", F.explode(F.array("key", F.when(F.col("next").isNotNull(), pair("key", "next")))).alias("gram")).where("gram IS NOT NULL")
-    met = grams.join(postings, ["seg", "gram"])
-    return met.groupBy("seg", "phrase", "variant", "size", (F.col("at") - F.col("j")).alias("first")).agg(F.count("*").alias("n")).where("n = greatest(size - 1, 1)").drop("n")
-
-
-def _anchors(words: DataFrame, terms: DataFrame, expand: int) -> DataFrame:
-    """seg, phrase, lo, hi: the words around the chunk's text, of its places that of the chunk's number, or the last."""
-    hits = phrase_hits(words, terms.select("seg", "phrase", phrase_variants(F.col("chunk_text")).alias("variants")))
-    least = F.min("variant").over(Window.partitionBy("seg", "phrase"))
-    hits = hits.withColumn("least", least).where("variant = least")
-    own = Window.partitionBy("seg", "phrase")
-    hits = hits.withColumn("k", F.row_number().over(own.orderBy("first")) - 1).withColumn("n", F.count("*").over(own)).join(terms.select("seg", "phrase", "chunk_idx"), ["seg", "phrase"])
-    hits = hits.where(F.col("k") == F.least(F.greatest("chunk_idx", F.lit(0)), F.col("n") - 1))
-    return hits.select("seg", "phrase", (F.col("first") - expand).alias("lo"), (F.col("first") + F.col("size") + expand).alias("hi"))
+    words = alignment.select("seg", F.lit(_WORD).alias("kind"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), word_key(F.col("word")).alias("key"))
+    p = F.struct(*[F.col(c) for c in phrases.columns])
+    rows = words.unionByName(phrases.select("seg", F.lit(_PHRASE).alias("kind"), p.alias("p")), allowMissingColumns=True)
+    said = utterances if utterances is not None else phrases.select("seg", F.lit(None).cast("array<string>").alias("keys")).limit(0)
+    rows = rows.unionByName(said.select("seg", F.lit(_UTTERANCE).alias("kind"), "keys"), allowMissingColumns=True).where("seg IS NOT NULL")
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seg").sortWithinPartitions("seg", "kind", "start", "end")
+    out = StructType([phrases.schema["seg"], phrases.schema["phrase"], *StructType.fromDDL(fields)])
+    schema = to_arrow_schema(out)
+
+    def look(batches):
+        found = []
+        for segment in _segments(batches):
+            found += find(*segment)
+            if len(found) >= 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(look, out)
 
 
 def term_spans(alignment: DataFrame, terms: DataFrame, utterances: DataFrame | None = None, expand: int = 8) -> DataFrame:
     """seg, phrase, how, first, last, start, end: where each term stands in its segment; terms (seg, phrase, term).
 
     The first place of the first variant of the term that has one counts (``words``).  With the columns chunk_text and
-    chunk_idx, places within ``expand`` words of the chunk's text come before all others (``anchored``), and spans of no
-    length do not count.  Failing that, with ``utterances`` (seg, utterance), a term's place among the utterance's words
-    counts if they are as many as the segment's (``positional``).  Terms without a place have no row, nor have null or empty
-    ones; (seg, phrase) is one term.
+    chunk_idx, places within ``expand`` words of the chunk's text come before all others (``anchored``; of the text's places
+    that of the chunk's number, or the last), and spans of no length do not count.  Failing that, with ``utterances`` (seg,
+    utterance), a term's place among the utterance's words counts if they are as many as the segment's (``positional``).
+    Terms without a place have no row, nor have null or empty ones; (seg, phrase) is one term.
     """
-    words = numbered(alignment)
-    phrases = terms.select("seg", "phrase", phrase_variants(F.col("term")).alias("variants"))
-    hits = phrase_hits(words, phrases).withColumn("how", F.lit(1))
     anchored = {"chunk_text", "chunk_idx"} <= set(terms.columns)
-    if anchored:
-        near = hits.join(_anchors(words, terms, expand), ["seg", "phrase"]).where("first >= lo AND first + size <= hi").drop("lo", "hi")
-        hits = hits.unionByName(near.withColumn("how", F.lit(0)))
-    if utterances is not None:
-        spoken = utterances.select("seg", phrase_keys(F.col("utterance")).alias("keys"))
-        count = words.groupBy("seg").agg(F.count("*").alias("words"))
-        spoken = spoken.join(count, "seg").where(F.size("keys") == F.col("words")).select("seg", F.posexplode(F.arrays_zip(F.col("keys").alias("key"), F.slice("keys", 2, F.size("keys")).alias("next"))).alias("at", "z"))
-        spoken = spoken.select("seg", "at", "z.key", "z.next").where("key IS NOT NULL")
-        hits = hits.unionByName(phrase_hits(spoken, phrases).withColumn("how", F.lit(2)))
-    firsts = hits.groupBy("seg", "phrase", "how", "variant", "size").agg(F.min("first").alias("first")).withColumn("last", F.col("first") + F.col("size") - 1)
-    at = words.select("seg", "at", "start", "end")
-    timed = firsts.join(at.select("seg", F.col("at").alias("first"), "start"), ["seg", "first"]).join(at.select("seg", F.col("at").alias("last"), "end"), ["seg", "last"])
-    if anchored:
-        timed = timed.where(F.col("end") > F.col("start"))
-    best = timed.groupBy("seg", "phrase").agg(F.min(F.struct("how", "variant", "first", "last", "start", "end")).alias("b"))
-    how = F.element_at(F.array(F.lit("anchored"), F.lit("words"), F.lit("positional")), F.col("b.how") + 1)
-    return best.select("seg", "phrase", how.alias("how"), "b.first", "b.last", "b.start", "b.end")
+    chunk = [phrase_variants(F.col("chunk_text")).alias("chunk"), F.greatest("chunk_idx", F.lit(0)).alias("nth")] if anchored else []
+    phrases = terms.select("seg", "phrase", phrase_variants(F.col("term")).alias("variants"), *chunk)
+    said = None if utterances is None else utterances.select("seg", phrase_keys(F.col("utterance")).alias("keys"))
+
+    def spans(start, end, key, spoken, own):
+        tuples = [([tuple(v) for v in p["variants"]], [tuple(v) for v in p["chunk"]] if anchored else []) for p in own]
+        places = _places(key, (v for both in tuples for side in both for v in side))
+        aloud = [_places(k, (v for both in tuples for v in both[0])) for k in spoken if len(k) == len(key)]
+        for p, (variants, chunks) in zip(own, tuples, strict=True):
+            lo = hi = None
+            for text in chunks:
+                if at := places[text]:
+                    lo = at[min(p["nth"], len(at) - 1)] - expand
+                    hi = lo + len(text) + 2 * expand
+                    break
+            firsts = []  # how, variant, first, last
+            for n, v in enumerate(variants):
+                at = places[v]
+                if at:
+                    firsts.append((1, n, at[0], at[0] + len(v) - 1))
+                    near = bisect_left(at, lo) if lo is not None else len(at)
+                    if near < len(at) and at[near] + len(v) <= hi:
+                        firsts.append((0, n, at[near], at[near] + len(v) - 1))
+                firsts += [(2, n, k[v][0], k[v][0] + len(v) - 1) for k in aloud if k[v]]
+            best = min((f for f in firsts if not anchored or end[f[3]] > start[f[2]]), default=None)
+            if best is not None:
+                yield p["seg"], p["phrase"], ("anchored", "words", "positional")[best[0]], best[2], best[3], start[best[2]], end[best[3]]
+
+    return _by_segment(alignment, phrases, said, spans, "how string, first int, last int, start double, end double")
 
 
 def chunk_starts(alignment: DataFrame, chunks: DataFrame, seconds: float) -> DataFrame:
@@ -103,13 +163,18 @@ def chunk_starts(alignment: DataFrame, chunks: DataFrame, seconds: float) -> Dat
     The middle of the times that this leaves for the start, from ``seconds`` before the last word's middle (0 at least) to
     the first word's middle; the former where that is later.  The first place of the text in its segment counts.
     """
-    words = numbered(alignment)
-    hits = phrase_hits(words, chunks.select("seg", "phrase", F.array(phrase_keys(F.col("chunk_text"))).alias("variants")))
-    first = hits.groupBy("seg", "phrase", "size").agg(F.min("first").alias("first")).withColumn("last", F.col("first") + F.col("size") - 1)
-    middle = words.select("seg", "at", ((F.col("start") + F.col("end")) / 2).alias("middle"))
-    first = first.join(middle.select("seg", F.col("at").alias("first"), F.col("middle").alias("hi")), ["seg", "first"]).join(middle.select("seg", F.col("at").alias("last"), F.col("middle").alias("end")), ["seg", "last"])
-    lo = F.greatest(F.lit(0.0), F.col("end") - seconds)
-    return first.select("seg", "phrase", F.when(lo > F.col("hi"), lo).otherwise((lo + F.col("hi")) / 2).alias("chunk_start"))
+    phrases = chunks.select("seg", "phrase", phrase_keys(F.col("chunk_text")).alias("keys")).where(F.size("keys") > 0)
+
+    def starts(start, end, key, _, own):
+        texts = [tuple(p["keys"]) for p in own]
+        places = _places(key, texts)
+        for p, text in zip(own, texts, strict=True):
+            if at := places[text]:
+                last = at[0] + len(text) - 1
+                hi, lo = (start[at[0]] + end[at[0]]) / 2, max(0.0, (start[last] + end[last]) / 2 - seconds)
+                yield p["seg"], p["phrase"], lo if lo > hi else (lo + hi) / 2
+
+    return _by_segment(alignment, phrases, None, starts, "chunk_start double")
 
 
 def spans_in_chunks(spans: DataFrame, starts: DataFrame, seconds: float, slack: float = 0.1) -> DataFrame:

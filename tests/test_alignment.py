@@ -69,3 +69,18 @@ def test_even_spread(spark):
     for r in A.spread_evenly(rows, chunks, ["key"], "k").collect():
         got.setdefault(r.key, {})[r.k] = r.chunk_idx
     assert got == {n * 100 + c: split(n, c) for n, c in cases}
+
+
+def test_one_shuffle_and_segments_over_several_batches(spark):
+    al = words(spark, *[(seg, "a b " * 40 + "c") for seg in ("p", "q", "r")])
+    chunks = spark.createDataFrame([(seg, k, "b a " * k + "b c") for seg in ("p", "q", "r", "s") for k in range(3)], "seg string, phrase int, chunk_text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        starts = A.chunk_starts(al, chunks, 2.0)
+        got = {(r.seg, r.phrase): r.chunk_start for r in starts.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # 80.25 - 2 lies before the first word's middle for the phrase of two words only
+    assert got == {(seg, k): 78.25 if k else 78.75 for seg in ("p", "q", "r") for k in range(3)}
+    plan = starts._jdf.queryExecution().sparkPlan().toString() + starts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan

@@ -88,3 +88,36 @@ def test_ranks_in_the_whole_bank(spark, bank):
     last = [(int(q), int(ids[n]), float(row[n])) for q, row in zip(ids[:5], score[:5], strict=True) for n in [np.argsort(-row, kind="stable")[400]]]
     ranks = V.ranks_of(spark.createDataFrame(last, "query_id long, term_id long, score double"), e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "term_id"), 2, 3)
     assert {r["rank"] for r in ranks.collect()} == {401}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e18])
+def test_tiles_leave_every_answer(spark, monkeypatch, scale):
+    """Many copies, scores that differ in the last places only, values that single precision can't hold; tiles smaller than a block."""
+    from termlake.operators import vector as V
+
+    g = np.random.default_rng(5)
+    x = np.concatenate([g.normal(size=(90, 6)), np.repeat(g.normal(size=(1, 6)), 60, 0), np.zeros((2, 6))])
+    x[90:120, 0] += np.arange(30) * 1e-9
+    x[150:] *= scale
+    x[:3] *= scale
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = V.top_similar(rows.selectExpr("id AS query_id", "vec"), rows.selectExpr("id AS term_id", "vec"), 12, 2, 2, itself=False)
+    score = np.round(np.einsum("qd,nd->qn", x, x), 12)
+    np.fill_diagonal(score, -np.inf)
+    want = {(i, k + 1): int(j) for i, row in enumerate(score) for k, j in enumerate(np.argsort(-row, kind="stable")[:12])}
+    assert {(r.query_id, r["rank"]): r.term_id for r in got.collect()} == want
+
+
+def test_few_pairs_are_scored_twice():
+    from termlake.operators import vector as V
+
+    x = np.random.default_rng(6).normal(size=(20_000, 16))
+    rows, slack, products = next(V.rough_tiles(x, x, lambda *_: None))
+    for at, rough in products:
+        true = x[rows] @ x[at : at + rough.shape[1]].T
+        assert rough.dtype == np.float32 and np.abs(rough - true).max(1).max() <= slack.min() and slack.max() < 1e-3
+
+
+def test_counts_of_answers_score_nothing(spark):
+    plan = catalog.QUERIES["t09_answers_of_each_query"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "embedding" not in plan

@@ -22,6 +22,8 @@ SAMPLE = 8192
 MOST_CELLS = 1024
 #: Codes that a task holds at once: larger cells are dealt over several groups by id, smaller ones share a group.
 CELL_ROWS = 16_384
+#: Queries that a task holds at once, and of them those that it compares with its codes in one product.
+QUERY_ROWS, QUERY_TILE = 8192, 64
 #: With four bits: candidates stay whose rough score comes within so many deviations of its error.
 DEVIATIONS = 5.0
 
@@ -136,24 +138,26 @@ def _candidates(index: Index, spark: SparkSession, queries: DataFrame, k: int, p
             row = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
             yield pa.RecordBatch.from_arrays([pa.array([g for own in groups for g in own], pa.int32()), b.column("query_id").take(pa.array(row)), b.column("vec").take(pa.array(row))], names=["group", "query_id", "vec"])
 
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
     asked = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(route, "group int, query_id long, vec array<double>")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     of_cell = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1)
     codes = spark.read.parquet(f"{index.path}/codes").withColumn("group", (of_cell(first) + F.pmod(F.xxhash64("term_id"), of_cell(parts))).cast("int"))
-    both = asked.unionByName(codes.select("group", "cell", "term_id", "code", "error"), allowMissingColumns=True)
+    both = asked.unionByName(codes.select("group", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "cell", "term_id", "code", "error"), allowMissingColumns=True)
     schema = pa.schema([("query_id", pa.int64()), ("term_id", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
     loose = 1.0 if index.bits == 8 else DEVIATIONS / np.sqrt(dims)  # an upper bound of the error by the norms, or its usual size
 
-    def meet(key, data):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = pa.Table.from_batches(list(batches))
         is_query = np.asarray(data.column("query_id").is_valid())
         if not is_query.any() or is_query.all():
-            return schema.empty_table()
+            return
         q, t = data.filter(pa.array(is_query)), data.filter(pa.array(~is_query))
         cell = t.column("cell").to_numpy()
         x = index.decode(np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(t), -1), cell)
         vec, ids, terms, error = _vectors(q.column("vec").combine_chunks(), dims), q.column("query_id").to_numpy(), t.column("term_id").to_numpy(), t.column("error").to_numpy() * loose
-        found = []
-        for at in range(0, len(vec), 256):
-            v = vec[at : at + 256]
+        for at in range(0, len(vec), QUERY_TILE):  # candidates leave tile by tile
+            v = vec[at : at + QUERY_TILE]
             slack = np.linalg.norm(v, axis=1)[:, None] * error + 1e-9
             rough = v @ x.T
             if n < len(index.centroids):
@@ -161,14 +165,13 @@ def _candidates(index: Index, spark: SparkSession, queries: DataFrame, k: int, p
                 np.put_along_axis(asked_cells, index.nearest(v, n), True, 1)
                 rough[~asked_cells[:, cell]] = -np.inf
             if not itself:
-                rough[ids[at : at + 256][:, None] == terms] = -np.inf
+                rough[ids[at : at + QUERY_TILE][:, None] == terms] = -np.inf
             lower, upper = rough - slack, rough + slack
             edge = np.partition(lower, max(0, len(terms) - k), axis=1)[:, max(0, len(terms) - k)] if len(terms) > k else np.full(len(v), -np.inf)
             i, j = np.nonzero((upper >= edge[:, None]) & (rough > -np.inf))
-            found.append((ids[at + i], terms[j], lower[i, j], upper[i, j]))
-        return pa.table(list(map(np.concatenate, zip(*found, strict=True))), schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[at + i], terms[j], lower[i, j], upper[i, j])], schema=schema)
 
-    return both.groupBy("group").applyInArrow(meet, "query_id long, term_id long, lower double, upper double")
+    return both.groupBy("group", "block").applyInArrow(meet, "query_id long, term_id long, lower double, upper double")
 
 
 def search(index: Index, queries: DataFrame, bank: DataFrame, k: int, probes: int | None = None, itself: bool = True) -> DataFrame:

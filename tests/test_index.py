@@ -79,3 +79,16 @@ def test_recall_and_volume_at_sf01(spark):
     reread = I._candidates(index, spark, q, 10, probes, False).count() / len(x) ** 2
     print(f"recall {recall:.3f}, rows met {met:.3f}, bytes met {bytes_met:.3f}, candidates {reread:.3f}")
     assert recall >= 0.9 and bytes_met + reread < 0.2
+
+
+def test_queries_meet_codes_by_blocks(spark, monkeypatch):
+    """No group of a task holds all queries; candidates of hot copies leave it tile by tile."""
+    monkeypatch.setattr(I, "QUERY_ROWS", 50)
+    monkeypatch.setattr(I, "QUERY_TILE", 7)
+    g = np.random.default_rng(4)
+    x = np.concatenate([g.normal(size=(150, 5)), np.repeat(g.normal(size=(1, 5)), 70, 0)])
+    q, b = frames(spark, x)
+    index = I.build(b, shared_path(spark, "index"), bits=8)
+    near = I._candidates(index, spark, q, 7, None, False)
+    assert "block" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert found(I.search(index, q, b, 7, itself=False)) == brute(x, 7, False)

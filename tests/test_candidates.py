@@ -5,8 +5,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from termlake.operators import candidates as K
+from termlake.plans.catalog import QUERIES
+
+from .conftest import SMALL
 
 
 def test_each_flag(spark):
@@ -43,3 +47,26 @@ def test_pairs_of_a_bank(spark):
     df = spark.createDataFrame(both, "a int, b int, term string, gloss string, gt string, gg string")
     every = K.flag_candidates(df.selectExpr("a", "b", "term", "gloss", "0.0D score"), df.selectExpr("a", "b", "gt AS term", "gg AS gloss", "double(NULL) AS score"), ["a", "b"], 0.0).collect()
     assert got == {(r.a, r.b): r.flags for r in every if r.flags} and len(got) > 100
+
+
+def test_flags_of_documents_need_no_join(spark):
+    plan = QUERIES["l11_candidate_flags"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_several_gold_terms_against_pairs(spark):
+    g = np.random.default_rng(1)
+    words = ["neural", "neurally", "neuralnet", "net", "of", "the", "The", "n", "a", "model-x", "7", "", "ß", "of-the"]
+    text = lambda: None if g.random() < 0.05 else " ".join(g.choice(words, int(g.integers(0, 5))))
+    cand, gold = [(int(g.integers(0, 12)), k, text(), text(), float(g.random())) for k in range(400)], [(int(g.integers(0, 10)), text(), text(), float(g.random())) for _ in range(25)]
+    c = spark.createDataFrame(cand, "s int, k int, term string, gloss string, score double")
+    own = spark.createDataFrame(gold, "s int, term string, gloss string, score double")
+    got = {r.k: r.flags for r in K.flag_candidates(c, own, ["s"], 0.1).collect()}
+    form = lambda: K.term_forms(F.col("term"), F.col("gloss"))
+    pairs = c.select("s", "k", "score", form().alias("a")).join(own.select("s", form().alias("b"), F.col("score").alias("gs")), "s", "left").select("*", K._pair(F.col("a"), F.col("b")).alias("p")).collect()
+    for k in range(400):
+        ps = [r for r in pairs if r.k == k and r.b is not None]
+        most = max([r.p.overlap for r in ps], default=0)
+        tests = [any(r.p[f] for r in ps) for f in ("norm", "compact", "acronym", "inside", "prefix")] + [most >= 0.5, 0.25 <= most < 0.5, any(r.p["gloss"] for r in ps), any(max(x.gs for x in ps) - r.score <= 0.1 for r in ps)]
+        assert got[k] == [name for name, t in zip(K.FLAGS, tests, strict=True) if t], (k, got[k])
+    assert {f for fs in got.values() for f in fs} == set(K.FLAGS)

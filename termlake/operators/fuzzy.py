@@ -1,13 +1,12 @@
 """Gold terms of conversation chunks: entries whose translation later text has, exactly or nearly.
 
-No text is compared with an entry before its q-grams say that it can be near enough.
+Blocks of characters that an entry and a text share are found by searches of the entry's substrings.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -23,17 +22,42 @@ def longest_span(size: int, ratio: float, extra: int) -> int:
     return max(size + extra, int(size * ratio) + extra)
 
 
+def matching_blocks(target: str, text: str) -> list[tuple[int, int, int]]:
+    """(place in target, place in text, size) of difflib's matching blocks without junk, in order.
+
+    The longest common substring, of several the first in the target and then in the text, and so on to its left and right.
+    Its length is found by bisection: if one of n characters is common, so is one of n - 1.
+    """
+    out, boxes = [], [(0, len(target), 0, len(text))]
+    while boxes:
+        al, ah, bl, bh = boxes.pop()
+        size, most, i, j = 0, min(ah - al, bh - bl), 0, 0
+        while size < most:
+            n = (size + most + 1) // 2
+            for k in range(al, ah - n + 1):
+                at = text.find(target[k : k + n], bl, bh)
+                if at >= 0:
+                    size, i, j = n, k, at
+                    break
+            else:
+                most = n - 1
+        if size:
+            out.append((i, j, size))
+            boxes += [(al, i, bl, j), (i + size, ah, j + size, bh)]
+    return sorted(out)
+
+
 def block_score(target: str, text: str, ratio: float = 1.6, extra: int = 4) -> float:
     """Best 2m / (len(target) + span) of matching blocks in a row that have m characters in a span short enough."""
-    blocks = [b for b in SequenceMatcher(None, target, text, autojunk=False).get_matching_blocks() if b.size]
+    blocks = matching_blocks(target, text)
     most, best = longest_span(len(target), ratio, extra), 0.0
-    for k, first in enumerate(blocks):
+    for k, (_, first, _) in enumerate(blocks):
         matched = 0
-        for b in blocks[k:]:
-            span = b.b + b.size - first.b
+        for _, at, size in blocks[k:]:
+            span = at + size - first
             if span > most:
                 break
-            matched += b.size
+            matched += size
             best = max(best, 2 * matched / (len(target) + span))
     return best
 
@@ -125,6 +149,7 @@ def derive_gold(
     bounds a chunk's terms.  Null translations match nothing; null texts are empty.
 
     The text of a conversation is built once and sent to its targets as one row of each; an entry's later text is a slice.
+    All long enough are scored: that takes less than ``fuzzy_candidates``.
     """
     texts, offsets = future_offsets(rows)
     ok = entries.where(F.col("translation").isNotNull() & (F.col("translation") != "") & (X.norm_len(F.col("translation")) >= min_chars))
@@ -133,8 +158,11 @@ def derive_gold(
     ok = ok.join(offsets, ["conv_id", "turn"])
     # the last place of each target in its conversation decides for all chunks
     wanted = ok.groupBy("conv_id").agg(F.collect_set("translation").alias("targets")).join(texts, "conv_id")
-    last = lambda t: F.length("full") - F.length(t) - F.instr(F.reverse("full"), F.reverse(t)) + 1
-    places = F.transform("targets", lambda t: F.struct(t.alias("translation"), F.when(F.contains("full", t), last(t)).otherwise(-1).alias("last")))
+    last = lambda z, t: z["size"] - F.length(t) - F.instr(z["back"], F.reverse(t)) + 1
+    places = X.let(
+        F.struct(F.reverse("full").alias("back"), F.length("full").alias("size")),
+        lambda z: F.transform("targets", lambda t: F.struct(t.alias("translation"), F.when(F.contains("full", t), last(z, t)).otherwise(-1).alias("last"))),
+    )
     where = wanted.select("conv_id", F.explode(places).alias("p")).select("conv_id", "p.translation", "p.last")
     found = ok.join(where, ["conv_id", "translation"])
     columns = ["conv_id", "chunk_idx", "pos", "term", "translation"]
@@ -142,8 +170,6 @@ def derive_gold(
     out = exact
     if fuzzy_min_chars is not None:
         rest = found.where((F.col("last") < F.col("offset")) & (X.norm_len(F.col("translation")) >= fuzzy_min_chars))
-        near = fuzzy_candidates(rest.select("conv_id", "translation").distinct(), texts, fuzzy_min_score, ratio, extra)
-        rest = rest.join(near, ["conv_id", "translation"]).where("reach >= offset")
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def scores(full: pd.Series, pairs: pd.Series) -> pd.Series:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -77,3 +79,19 @@ def test_filter_drops_most_of_what_is_far(spark):
     texts, targets = [(i, " ".join(word() for _ in range(60))) for i in range(5)], [(i, word()) for i in range(5) for _ in range(40)]
     kept = fuzzy.fuzzy_candidates(spark.createDataFrame(targets, "conv_id int, translation string"), spark.createDataFrame(texts, "conv_id int, full string"), 0.85, 1.6, 4)
     assert kept.count() < 0.1 * len(targets)
+
+
+def test_blocks_are_those_of_difflib_and_cheaper():
+    g = np.random.default_rng(5)
+    for letters in ("ab", "abc ", "abcdefghijklmnop ", "aäß术"):
+        for _ in range(300):
+            a, b = ("".join(g.choice(list(letters), int(g.integers(0, n)))) for n in (14, 60))
+            assert fuzzy.matching_blocks(a, b) == [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    text, targets = "".join(g.choice(list("abcdefghijklmnop "), 5000)), ["".join(g.choice(list("abcdefghijklmnop"), 9)) for _ in range(100)]
+    took = []
+    for fn in (lambda x: fuzzy.block_score(x, text), lambda x: SequenceMatcher(None, x, text, autojunk=False).get_matching_blocks()):
+        began = time.process_time()
+        for x in targets:
+            fn(x)
+        took.append(time.process_time() - began)
+    assert took[0] < took[1] / 3

@@ -256,13 +256,13 @@ def match_words(s: Column) -> Column:
     """The words of ``match_tokens`` of any number, by patterns over the whole text: without 's and other characters, singular."""
     line = F.lower(normalise_space(s))
     line = F.regexp_replace(F.regexp_replace(line, "'s(?= |$)", ""), "[^a-z0-9' ]", "")
-    word, end = "(?<![^ ])", "(?![^ ])"
-    sibilant = f"(?=[a-z0-9']{{5,}}{end})[a-z0-9']*(?:s|x|z|ch|sh)"
+    # patterns begin with the letters to go, so that only words that end in them are looked at, and then backwards
+    end, sibilant = "(?![^ ])", "[a-z0-9'](?:[a-z0-9'][sxz]|[cs]h)es"  # a word of five letters or more
     # plain plurals first, but not words that the rules after take
-    line = F.regexp_replace(line, f"{word}(?![a-z0-9']{{2,}}ies{end})(?!{sibilant}es{end})([a-z0-9']{{2,}}[a-z0-9'&&[^sui]])s{end}", "$1")
-    line = F.regexp_replace(line, f"{word}([a-z0-9']{{2,}})ies{end}", "$1y")
-    line = F.regexp_replace(line, f"{word}({sibilant})es{end}", "$1")
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    line = F.regexp_replace(line, f"s{end}(?<=[a-z0-9']{{2}}[a-z0-9'&&[^sui]]s)(?<![a-z0-9']{{2}}ies)(?<!{sibilant})", "")
+    line = F.regexp_replace(line, f"ies{end}(?<=[a-z0-9']{{2}}ies)", "y")
+    line = F.regexp_replace(line, f"es{end}(?<={sibilant})", "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def match_tokens(s: Column, most: int = 8) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from termlake.functions import text as X
@@ -183,3 +186,19 @@ def test_overlap_free_occurrences(spark):
     both = F.concat(X.char_spans(F.lit("The of x the, others"), F.lit("the")), X.char_spans(F.lit("The of x the, others"), F.lit("the of")))
     assert [(r.start, r.end) for r in one(spark, X.pick_spans(both))] == [(0, 6), (9, 12)]
     assert one(spark, X.char_spans(F.lit("ab ab"), F.lit("ab"))) == []
+
+
+def test_singular_words_are_found_from_their_ends(spark):
+    rules = [(r"(?=[a-z0-9']{3,}s$)(?![a-z0-9']{2,}ies$)(?!(?=[a-z0-9']{5,}$)[a-z0-9']*(?:s|x|z|ch|sh)es$)([a-z0-9']{2,}[^sui])s$", r"\1"), (r"([a-z0-9']{2,})ies$", r"\1y"), (r"((?=[a-z0-9']{5,}$)[a-z0-9']*(?:s|x|z|ch|sh))es$", r"\1")]
+    rng = random.Random(3)
+    words = ["".join(rng.choice("sexizchua'1") for _ in range(rng.randint(1, 7))) + rng.choice(["", "s", "es", "ies", "ches", "xes", "ss"]) for _ in range(4000)]
+
+    def plain(w):
+        w = re.sub("'s$", "", w)
+        for pattern, by in rules:
+            w = re.sub(f"^{pattern}", by, w)
+        return w
+
+    df = spark.createDataFrame([(" ".join(words[i : i + 40]),) for i in range(0, 4000, 40)], "s string").select("s", X.match_words(F.col("s")).alias("w"))
+    assert [w for r in df.collect() for w in r.w] == [x for x in map(plain, words) if x]
+    assert "(?<![^ ])" not in df._jdf.queryExecution().optimizedPlan().toString()  # no pattern tries every word from its start

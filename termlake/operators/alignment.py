@@ -1,60 +1,76 @@
 """Terms and chunks found in word alignments, a segment at a time.
 
-An alignment has the rows seg, start, end, word.  Words, utterances and phrases of a segment meet in one shuffle by seg, sorted
-there; a task passes over them once and holds the keys and times of one segment.  A place is looked up by a phrase's first two
-tokens, then by as many tokens as a phrase that begins so has, so repeated texts cost no more than others.
+An alignment has the rows seg, start, end, word, or one row for a segment that holds its words as an array.  Rows of words,
+utterances and phrases of a segment meet in one shuffle by seg, sorted there; whole segments need none.  A task passes over them
+once and holds the keys and times of one segment.  A place is looked up by a phrase's first two tokens, then by as many tokens
+as a phrase that begins so has, so repeated texts cost no more than others.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
-
-from ..functions import text as X
+from pyspark.sql.types import StructField, StructType
 
 #: Kinds of a segment's rows, in the order in which they are read.
 _WORD, _UTTERANCE, _PHRASE = 0, 1, 2
+#: Words whose keys a worker remembers, and the letters of one at most.
+_KNOWN, _LETTERS = 65_536, 64
+_OTHER = re.compile("[^a-z0-9']+")
 
 
-def word_key(word: Column) -> Column:
+def word_key(word: str) -> str:
     """Lower case, without a final 's, of letters a-z, digits and apostrophes only."""
-    w = F.replace(F.lower(word), F.lit("’"), F.lit("'"))
-    bare = lambda x: F.when(F.endswith(x, F.lit("'s")), F.substring(x, F.lit(1), F.length(x) - 2)).otherwise(x)
-    plain = w.rlike(r"\A[a-z0-9']*\z")  # of most words nothing is to be taken out
-    return F.when(plain, bare(w)).otherwise(F.regexp_replace(bare(X.normalise_space(w)), "[^a-z0-9']+", ""))
+    if word.isascii() and word.isalnum():  # as most are
+        return word.lower()
+    return _OTHER.sub("", word.lower().replace("’", "'").strip().removesuffix("'s"))
+
+
+class _Keys(dict):
+    """The key of each word, computed once; emptied when it is full."""
+
+    def __missing__(self, word: str) -> str:
+        key = word_key(word)
+        if len(word) <= _LETTERS:
+            if len(self) >= _KNOWN:
+                self.clear()
+            self[word] = key
+        return key
 
+    def of(self, words: Iterable[str]) -> tuple[str, ...]:
+        return tuple(k for k in map(self.__getitem__, words) if k)
 
-def _keys(words: Column) -> Column:
-    return F.filter(F.transform(words, word_key), lambda k: k != "")
 
+_keys = _Keys()
 
-def phrase_keys(text: Column) -> Column:
+
+def phrase_keys(text: str | None) -> tuple[str, ...]:
     """Keys of the words of a text."""
-    return _keys(F.split(X.normalise_space(F.coalesce(text, F.lit(""))), " "))
+    return _keys.of((text or "").split())
 
 
-def phrase_variants(text: Column) -> Column:
+def phrase_variants(text: str | None) -> list[tuple[str, ...]]:
     """The keys of a text's words, then those of its parts between punctuation, if these differ; empty ones are none."""
-    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("’"), F.lit("'"))
-    return F.array_distinct(F.filter(F.array(phrase_keys(text), _keys(F.split(low, "[^a-z0-9']+"))), lambda v: F.size(v) > 0))
+    parts = _OTHER.split((text or "").lower().replace("’", "'"))
+    return list(dict.fromkeys(v for v in (phrase_keys(text), _keys.of(parts)) if v))
 
 
-def _places(keys: list[str], phrases: Iterable[tuple[str, ...]]) -> dict[tuple[str, ...], list[int]]:
+def _places(keys: Sequence[str], phrases: Iterable[tuple[str, ...]]) -> dict[tuple[str, ...], list[int]]:
     """All places of each phrase among the keys, in order; one pass over the keys, whatever repeats."""
     out: dict[tuple[str, ...], list[int]] = {p: [] for p in phrases}
     ones, sizes = {p[0] for p in out if len(p) == 1}, {}
     for p in out:
         if len(p) > 1:
             sizes.setdefault(p[:2], set()).add(len(p))
-    for i, pair in enumerate(zip(keys, keys[1:] + [None], strict=True)):
+    for i, pair in enumerate(zip(keys, [*keys[1:], None], strict=True)):
         if pair[0] in ones:
             out[pair[:1]].append(i)
         for n in sizes.get(pair, ()):
@@ -64,58 +80,105 @@ def _places(keys: list[str], phrases: Iterable[tuple[str, ...]]) -> dict[tuple[s
     return out
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list, list]]:
-    """start, end and key of the words, keys of the utterances, and phrases of each segment that has words and phrases; rows sorted by seg and kind."""
+def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """seg, start, end and key of the words, keys of the utterances, and phrases of each segment that has words and phrases; rows sorted by seg and kind."""
     last, parts = None, ([], [], [], [], [])
     for b in batches:
         runs = pc.run_end_encode(b.column("seg"))
         kind = b.column("kind").to_numpy()
-        columns = [b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("start", "end", "key")]
+        start, end = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("start", "end"))
+        key = ["" if w is None else _keys[w] for w in b.column("word").to_pylist()]
         lo = 0
         for seg, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
             if seg != last:
                 if parts[2] and parts[4]:
-                    yield parts
+                    yield last, *parts
                 last, parts = seg, ([], [], [], [], [])
             words, said = (lo + int(i) for i in np.searchsorted(kind[lo:hi], (_UTTERANCE, _PHRASE)))
-            keyed = [i for i in range(lo, words) if columns[2][i]]  # words without a key have no number
-            for own, column in zip(parts, columns, strict=False):
+            keyed = [i for i in range(lo, words) if key[i]]  # words without a key have no number
+            for own, column in zip(parts, (start, end, key), strict=False):
                 own += [column[i] for i in keyed]
-            for own, name, i, j in ((parts[3], "keys", words, said), (parts[4], "p", said, hi)):
-                if i < j:
-                    own += b.column(name).slice(i, j - i).to_pylist()
+            parts[3].extend(phrase_keys(u) for u in b.column("utterance").slice(words, said - words).to_pylist())
+            parts[4].extend(b.column("p").slice(said, hi - said).to_pylist())
             lo = hi
     if parts[2] and parts[4]:
-        yield parts
+        yield last, *parts
 
 
-def _by_segment(alignment: DataFrame, phrases: DataFrame, utterances: DataFrame | None, find: Callable[..., Iterator[tuple]], fields: str) -> DataFrame:
-    """seg, phrase and the fields of the rows that ``find(start, end, key, utterances, phrases)`` gives of each segment.
+def _met_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The same of whole segments (seg, words, phrases, utterance), of which those of one seg follow each other."""
+    last, parts = None, None
 
-    ``phrases`` has seg, phrase and what ``find`` needs of them; utterances have seg and keys.
-    """
-    words = alignment.select("seg", F.lit(_WORD).alias("kind"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), word_key(F.col("word")).alias("key"))
-    p = F.struct(*[F.col(c) for c in phrases.columns])
-    rows = words.unionByName(phrases.select("seg", F.lit(_PHRASE).alias("kind"), p.alias("p")), allowMissingColumns=True)
-    said = utterances if utterances is not None else phrases.select("seg", F.lit(None).cast("array<string>").alias("keys")).limit(0)
-    rows = rows.unionByName(said.select("seg", F.lit(_UTTERANCE).alias("kind"), "keys"), allowMissingColumns=True).where("seg IS NOT NULL")
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seg").sortWithinPartitions("seg", "kind", "start", "end")
-    out = StructType([phrases.schema["seg"], phrases.schema["phrase"], *StructType.fromDDL(fields)])
+    def one():
+        start, end, key, said, own = parts
+        if len(start) == 1:
+            return last, start[0], end[0], key[0], said, own
+        start, end, key = np.concatenate(start), np.concatenate(end), [k for keys in key for k in keys]
+        order = np.lexsort((end, start))
+        return last, start[order], end[order], [key[i] for i in order], said, own
+
+    for b in batches:
+        words, phrases = b.column("words"), b.column("phrases")
+        start, end = (words.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+        coded = words.values.field("word").dictionary_encode()
+        key = np.array([word_key(w) for w in coded.dictionary.to_pylist()] + [""], object)  # the last for null
+        code = coded.indices.fill_null(len(key) - 1).to_numpy()
+        has = np.array([k != "" for k in key])[code]
+        word_at, phrase_at, said = words.offsets.to_pylist(), phrases.offsets.to_pylist(), b.column("utterance").to_pylist()
+        for i, seg in enumerate(b.column("seg").to_pylist()):
+            if parts is None or seg != last:
+                if parts and any(map(len, parts[2])) and parts[4]:
+                    yield one()
+                last, parts = seg, ([], [], [], [], [])
+            keyed = word_at[i] + np.flatnonzero(has[word_at[i] : word_at[i + 1]])  # words without a key have no number
+            for own, values in zip(parts, (start[keyed], end[keyed], key[code[keyed]].tolist()), strict=False):
+                own.append(values)
+            parts[3].append(phrase_keys(said[i]))
+            parts[4].extend(phrases.values.slice(phrase_at[i], phrase_at[i + 1] - phrase_at[i]).to_pylist())
+    if parts and any(map(len, parts[2])) and parts[4]:
+        yield one()
+
+
+def _look(rows: DataFrame, met: Callable, seg: StructField, phrase: StructField, find: Callable[..., Iterator[tuple]], fields: str) -> DataFrame:
+    """seg, phrase and the fields of the rows that ``find(start, end, key, utterances, phrases)`` gives of each segment met."""
+    out = StructType([seg, phrase, *StructType.fromDDL(fields)])
     schema = to_arrow_schema(out)
+    batch = lambda found: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
     def look(batches):
         found = []
-        for segment in _segments(batches):
-            found += find(*segment)
+        for at, *segment in met(batches):
+            found += [(at, *row) for row in find(*segment)]
             if len(found) >= 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                yield batch(found)
                 found = []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+            yield batch(found)
 
     return rows.mapInArrow(look, out)
 
 
+def _by_segment(alignment: DataFrame, phrases: DataFrame, utterances: DataFrame | None, find: Callable[..., Iterator[tuple]], fields: str) -> DataFrame:
+    """What ``find`` gives of rows of words, of phrases (seg, phrase and what it needs of them) and of utterances (seg, utterance)."""
+    words = alignment.select("seg", F.lit(_WORD).alias("kind"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "word")
+    p = F.struct(*[F.col(c) for c in phrases.columns if c != "seg"])
+    rows = words.unionByName(phrases.select("seg", F.lit(_PHRASE).alias("kind"), p.alias("p")), allowMissingColumns=True)
+    said = utterances if utterances is not None else phrases.select("seg", F.lit(None).cast("string").alias("utterance")).limit(0)
+    rows = rows.unionByName(said.select("seg", F.lit(_UTTERANCE).alias("kind"), "utterance"), allowMissingColumns=True).where("seg IS NOT NULL")
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seg").sortWithinPartitions("seg", "kind", "start", "end")
+    return _look(rows, _met_rows, phrases.schema["seg"], phrases.schema["phrase"], find, fields)
+
+
+def _whole(segments: DataFrame, find: Callable[..., Iterator[tuple]], fields: str) -> DataFrame:
+    """What ``find`` gives of whole segments.
+
+    They have seg, words (array of start, end, word in order of time), phrases (array of phrase and what ``find`` needs of
+    them) and utterance; several rows of one seg follow each other in one partition.
+    """
+    phrase = segments.schema["phrases"].dataType.elementType["phrase"]
+    return _look(segments.where("seg IS NOT NULL").select("seg", "words", "phrases", "utterance"), _met_whole, segments.schema["seg"], phrase, find, fields)
+
+
 def term_spans(alignment: DataFrame, terms: DataFrame, utterances: DataFrame | None = None, expand: int = 8) -> DataFrame:
     """seg, phrase, how, first, last, start, end: where each term stands in its segment; terms (seg, phrase, term).
 
@@ -126,19 +189,29 @@ def term_spans(alignment: DataFrame, terms: DataFrame, utterances: DataFrame | N
     Terms without a place have no row, nor have null or empty ones; (seg, phrase) is one term.
     """
     anchored = {"chunk_text", "chunk_idx"} <= set(terms.columns)
-    chunk = [phrase_variants(F.col("chunk_text")).alias("chunk"), F.greatest("chunk_idx", F.lit(0)).alias("nth")] if anchored else []
-    phrases = terms.select("seg", "phrase", phrase_variants(F.col("term")).alias("variants"), *chunk)
-    said = None if utterances is None else utterances.select("seg", phrase_keys(F.col("utterance")).alias("keys"))
+    phrases = terms.select("seg", "phrase", "term", *(["chunk_text", "chunk_idx"] if anchored else []))
+    return _by_segment(alignment, phrases, utterances, _spans(anchored, expand), _SPAN)
+
 
+def term_spans_of(segments: DataFrame, expand: int = 8) -> DataFrame:
+    """``term_spans`` of whole segments, without a shuffle; phrases of phrase, term and maybe chunk_text and chunk_idx."""
+    fields = segments.schema["phrases"].dataType.elementType.fieldNames()
+    return _whole(segments, _spans({"chunk_text", "chunk_idx"} <= set(fields), expand), _SPAN)
+
+
+_SPAN = "how string, first int, last int, start double, end double"
+
+
+def _spans(anchored: bool, expand: int) -> Callable[..., Iterator[tuple]]:
     def spans(start, end, key, spoken, own):
-        tuples = [([tuple(v) for v in p["variants"]], [tuple(v) for v in p["chunk"]] if anchored else []) for p in own]
+        tuples = [(phrase_variants(p["term"]), phrase_variants(p["chunk_text"]) if anchored else []) for p in own]
         places = _places(key, (v for both in tuples for side in both for v in side))
         aloud = [_places(k, (v for both in tuples for v in both[0])) for k in spoken if len(k) == len(key)]
         for p, (variants, chunks) in zip(own, tuples, strict=True):
             lo = hi = None
             for text in chunks:
                 if at := places[text]:
-                    lo = at[min(p["nth"], len(at) - 1)] - expand
+                    lo = at[min(max(p["chunk_idx"] or 0, 0), len(at) - 1)] - expand
                     hi = lo + len(text) + 2 * expand
                     break
             firsts = []  # how, variant, first, last
@@ -152,9 +225,9 @@ def term_spans(alignment: DataFrame, terms: DataFrame, utterances: DataFrame | N
                 firsts += [(2, n, k[v][0], k[v][0] + len(v) - 1) for k in aloud if k[v]]
             best = min((f for f in firsts if not anchored or end[f[3]] > start[f[2]]), default=None)
             if best is not None:
-                yield p["seg"], p["phrase"], ("anchored", "words", "positional")[best[0]], best[2], best[3], start[best[2]], end[best[3]]
+                yield p["phrase"], ("anchored", "words", "positional")[best[0]], best[2], best[3], start[best[2]], end[best[3]]
 
-    return _by_segment(alignment, phrases, said, spans, "how string, first int, last int, start double, end double")
+    return spans
 
 
 def chunk_starts(alignment: DataFrame, chunks: DataFrame, seconds: float) -> DataFrame:
@@ -163,18 +236,25 @@ def chunk_starts(alignment: DataFrame, chunks: DataFrame, seconds: float) -> Dat
     The middle of the times that this leaves for the start, from ``seconds`` before the last word's middle (0 at least) to
     the first word's middle; the former where that is later.  The first place of the text in its segment counts.
     """
-    phrases = chunks.select("seg", "phrase", phrase_keys(F.col("chunk_text")).alias("keys")).where(F.size("keys") > 0)
+    return _by_segment(alignment, chunks.select("seg", "phrase", "chunk_text"), None, _starts(seconds), "chunk_start double")
+
+
+def chunk_starts_of(segments: DataFrame, seconds: float) -> DataFrame:
+    """``chunk_starts`` of whole segments, without a shuffle; phrases of phrase and chunk_text."""
+    return _whole(segments, _starts(seconds), "chunk_start double")
+
 
+def _starts(seconds: float) -> Callable[..., Iterator[tuple]]:
     def starts(start, end, key, _, own):
-        texts = [tuple(p["keys"]) for p in own]
-        places = _places(key, texts)
+        texts = [phrase_keys(p["chunk_text"]) for p in own]
+        places = _places(key, filter(None, texts))
         for p, text in zip(own, texts, strict=True):
-            if at := places[text]:
+            if at := places.get(text):
                 last = at[0] + len(text) - 1
                 hi, lo = (start[at[0]] + end[at[0]]) / 2, max(0.0, (start[last] + end[last]) / 2 - seconds)
-                yield p["seg"], p["phrase"], lo if lo > hi else (lo + hi) / 2
+                yield p["phrase"], lo if lo > hi else (lo + hi) / 2
 
-    return _by_segment(alignment, phrases, None, starts, "chunk_start double")
+    return starts
 
 
 def spans_in_chunks(spans: DataFrame, starts: DataFrame, seconds: float, slack: float = 0.1) -> DataFrame:

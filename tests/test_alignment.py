@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
+
 from termlake.operators import alignment as A
+from termlake.plans import catalog
+
+from .conftest import SMALL
 
 
 def words(spark, *segs):
@@ -84,3 +89,36 @@ def test_one_shuffle_and_segments_over_several_batches(spark):
     assert got == {(seg, k): 78.25 if k else 78.75 for seg in ("p", "q", "r") for k in range(3)}
     plan = starts._jdf.queryExecution().sparkPlan().toString() + starts._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_whole_segments_are_as_their_rows(spark):
+    """Several rows of one seg are one segment, also over batches; words, utterances and phrases may be null or empty."""
+    rows = "seg string, words array<struct<start: double, end: double, word: string>>, phrases array<struct<phrase: int, term: string, chunk_text: string, chunk_idx: int>>, utterance string"
+    said = lambda at, line: [(at + i, at + i + 0.5, w) for i, w in enumerate(line.split(" "))]
+    data = [
+        ("a", said(6.0, "d E's ... f"), [(2, "e f", "d e's f", 1)], "a b b c d e f"),
+        ("a", said(0.0, "a b  b c"), [(0, "b-c", "b c d", None), (1, "b", "a b b", 0)], None),
+        ("b", [(0.0, 0.5, None), (1.0, 1.5, "<unk>"), (2.0, 2.5, "y")], [(0, "X y", None, None), (1, None, "y", 2)], "x y"),
+        ("c", None, [(0, "x", "x", 0)], "x"), ("d", said(0.0, "x"), None, "x"), ("e", said(0.0, "’ ."), [(0, "x", "x", 0)], ""), (None, said(0.0, "x"), [(0, "x", "x", 0)], "x"),
+    ]
+    whole = spark.createDataFrame(data, rows).coalesce(1).sortWithinPartitions("seg")
+    al = whole.selectExpr("seg", "inline(words)").repartition(3)
+    t = whole.selectExpr("seg", "inline(phrases)").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got, starts = spans(A.term_spans_of(whole)), A.chunk_starts_of(whole, 2.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == spans(A.term_spans(al, t, whole.select("seg", "utterance"))) and {k[0] for k in got} == {"a", "b"}
+    assert got["a", 0][:3] == ("anchored", 2, 3) and got["a", 2][:3] == ("anchored", 5, 6) and got["b", 0][0] == "positional"
+    assert sorted(starts) == sorted(A.chunk_starts(al, t, 2.0).collect()) and len(starts) == 4
+
+
+@pytest.mark.parametrize("name", ["l14_alignment_term_spans", "l15_chunk_start_estimates"])
+def test_only_texts_are_dealt(spark, name):
+    """One shuffle of seg and text; no word or chunk has a row there."""
+    plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution()
+    physical = plan.sparkPlan().toString()
+    assert "Generate" not in physical and "Join" not in physical and "Union" not in physical
+    plan = plan.executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "transform" not in plan[plan.index("Exchange") :]

@@ -23,7 +23,7 @@ from pyspark.sql.types import StructField, StructType
 #: Kinds of a segment's rows, in the order in which they are read.
 _WORD, _UTTERANCE, _PHRASE = 0, 1, 2
 #: Words whose keys a worker remembers, and the letters of one at most.
-_KNOWN, _LETTERS = 65_536, 64
+_KNOWN, _LETTERS = 131_072, 64
 _OTHER = re.compile("[^a-z0-9']+")
 
 
@@ -46,7 +46,7 @@ class _Keys(dict):
         return key
 
     def of(self, words: Iterable[str]) -> tuple[str, ...]:
-        return tuple(k for k in map(self.__getitem__, words) if k)
+        return tuple(filter(None, map(self.__getitem__, words)))
 
 
 _keys = _Keys()
@@ -206,26 +206,33 @@ def _spans(anchored: bool, expand: int) -> Callable[..., Iterator[tuple]]:
     def spans(start, end, key, spoken, own):
         tuples = [(phrase_variants(p["term"]), phrase_variants(p["chunk_text"]) if anchored else []) for p in own]
         places = _places(key, (v for both in tuples for side in both for v in side))
-        aloud = [_places(k, (v for both in tuples for v in both[0])) for k in spoken if len(k) == len(key)]
-        for p, (variants, chunks) in zip(own, tuples, strict=True):
+        counts = lambda at, n: not anchored or end[at + n - 1] > start[at]
+        found, missed = {}, []  # how, first and number of words of each phrase
+        for p, (variants, chunks) in enumerate(tuples):
             lo = hi = None
             for text in chunks:
                 if at := places[text]:
-                    lo = at[min(max(p["chunk_idx"] or 0, 0), len(at) - 1)] - expand
+                    lo = at[min(max(own[p]["chunk_idx"] or 0, 0), len(at) - 1)] - expand
                     hi = lo + len(text) + 2 * expand
                     break
-            firsts = []  # how, variant, first, last
+            firsts = []  # how, variant, first, words
             for n, v in enumerate(variants):
-                at = places[v]
-                if at:
-                    firsts.append((1, n, at[0], at[0] + len(v) - 1))
+                if at := places[v]:
+                    firsts.append((1, n, at[0], len(v)))
                     near = bisect_left(at, lo) if lo is not None else len(at)
                     if near < len(at) and at[near] + len(v) <= hi:
-                        firsts.append((0, n, at[near], at[near] + len(v) - 1))
-                firsts += [(2, n, k[v][0], k[v][0] + len(v) - 1) for k in aloud if k[v]]
-            best = min((f for f in firsts if not anchored or end[f[3]] > start[f[2]]), default=None)
-            if best is not None:
-                yield p["phrase"], ("anchored", "words", "positional")[best[0]], best[2], best[3], start[best[2]], end[best[3]]
+                        firsts.append((0, n, at[near], len(v)))
+            if best := min((f for f in firsts if counts(*f[2:])), default=None):
+                found[p] = (("anchored", "words")[best[0]], *best[2:])
+            else:
+                missed.append(p)
+        aloud = [_places(k, (v for p in missed for v in tuples[p][0])) for k in spoken if missed and len(k) == len(key)]
+        for p in missed:
+            firsts = [(n, k[v][0], len(v)) for k in aloud for n, v in enumerate(tuples[p][0]) if k[v]]
+            if best := min((f for f in firsts if counts(*f[1:])), default=None):
+                found[p] = ("positional", *best[1:])
+        for p, (how, at, n) in found.items():
+            yield own[p]["phrase"], how, at, at + n - 1, start[at], end[at + n - 1]
 
     return spans
 

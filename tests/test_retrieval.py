@@ -121,3 +121,22 @@ def test_few_pairs_are_scored_twice():
 def test_counts_of_answers_score_nothing(spark):
     plan = catalog.QUERIES["t09_answers_of_each_query"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "InArrow" not in plan and "Join" in plan
+
+
+def test_blocks_are_shuffled_once(spark, monkeypatch):
+    """A row is written as one row, however many blocks of the other side its own meets; blocks merge in a task."""
+    from termlake.operators import vector as V
+
+    monkeypatch.setattr(V, "TOGETHER", 2)
+    x = np.round(np.random.default_rng(5).normal(size=(90, 6)), 2)
+    rows = spark.createDataFrame([(i, v.tolist(), i // 10) for i, v in enumerate(x)], "id long, vec array<double>, stream long")
+    q, b = rows.selectExpr("id AS query_id", "vec", "stream"), rows.selectExpr("id AS term_id", "vec")
+    s = np.round(x @ x.T, 12)
+    np.fill_diagonal(s, -np.inf)
+    out = V.top_similar(q.drop("stream"), b, 4, 3, 5, itself=False)
+    assert sorted((r.query_id, r["rank"], r.term_id) for r in out.collect()) == [(i, k + 1, j) for i in range(90) for k, j in enumerate(np.argsort(-s[i], kind="stable")[:4].tolist())]
+    modes = V.window_scores(q, b, 3, 5)
+    got = {(r.stream, r.term_id): r.best for r in modes.collect()}
+    assert len(got) == 9 * 90 and all(abs(v - s[i * 10 : i * 10 + 10, j].max()) < 1e-9 for (i, j), v in got.items())
+    plan = modes._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan

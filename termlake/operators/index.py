@@ -1,7 +1,8 @@
 """A stored neighbour index: coarse cells, short codes of what cells leave over, exact reranking by id.
 
-``build`` writes one table partitioned by cell; ``search`` sends a query to the cells nearest to it, compares it there with
-codes only, and reads the vectors of the few candidates that the codes leave.
+``build`` writes one table partitioned by cell; ``search`` compares a query with the codes of the cells nearest to it, and with
+the vectors of the few candidates that the codes leave; both are done where a group's codes are, so that candidates never
+leave a task and of each block of queries and partition of groups only the best answers do.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .vector import dot, top_k
+from .vector import best_rows, block_pairs, exact, packed, top_k
 
 #: Vectors that cells and code steps are fitted on at most: those whose ids hash smallest.
 SAMPLE = 8192
@@ -24,6 +25,8 @@ MOST_CELLS = 1024
 CELL_ROWS = 16_384
 #: Queries that a task holds at once, and of them those that it compares with its codes in one product.
 QUERY_ROWS, QUERY_TILE = 8192, 64
+#: Groups of codes that a task passes over with its queries.
+TOGETHER = 16
 #: With four bits: candidates stay whose rough score comes within so many deviations of its error.
 DEVIATIONS = 5.0
 
@@ -125,53 +128,88 @@ def _deal(counts: list[int]) -> np.ndarray:
     return np.array(out)
 
 
-def _candidates(index: Index, spark: SparkSession, queries: DataFrame, k: int, probes: int | None, itself: bool) -> DataFrame:
-    """query_id, term_id, lower, upper: of each query and group of codes those that can be among its k nearest."""
+def _candidates(index: Index, spark: SparkSession, queries: DataFrame, k: int, probes: int | None, itself: bool, bank: DataFrame | None = None) -> DataFrame:
+    """query_id, term_id, score: of each query and group of codes those that can be among its k nearest, without a score.
+
+    With the bank the k best of them by their vectors, from each task.
+    """
     dims = index.centroids.shape[1]
     n = min(probes or len(index.centroids), len(index.centroids))
     first, parts = index.groups[:, 0], index.groups[:, 1]
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells = index.nearest(_vectors(b.column("vec"), dims), n)
-            groups = [sorted({g for c in own for g in range(first[c], first[c] + parts[c])}) for own in cells.tolist()]
-            row = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-            yield pa.RecordBatch.from_arrays([pa.array([g for own in groups for g in own], pa.int32()), b.column("query_id").take(pa.array(row)), b.column("vec").take(pa.array(row))], names=["group", "query_id", "vec"])
-
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(route, "group int, query_id long, vec array<double>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked = queries.count()
+    blocks = max(1, -(-asked // QUERY_ROWS), min(2 * spark.sparkContext.defaultParallelism, asked // 1024))
     of_cell = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1)
-    codes = spark.read.parquet(f"{index.path}/codes").withColumn("group", (of_cell(first) + F.pmod(F.xxhash64("term_id"), of_cell(parts))).cast("int"))
-    both = asked.unionByName(codes.select("group", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "cell", "term_id", "code", "error"), allowMissingColumns=True)
-    schema = pa.schema([("query_id", pa.int64()), ("term_id", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
+    codes = spark.read.parquet(f"{index.path}/codes").select("term_id", "cell", "code", "error")
+    scored = bank is not None
+    if scored:
+        codes = codes.join(bank.select(F.col("term_id").cast("long").alias("term_id"), "vec"), "term_id")
+    left = packed(queries.select(F.col("query_id").cast("long").alias("query_id"), "vec"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)), blocks)
+    right = packed(codes, of_cell(first) + F.pmod(F.xxhash64("term_id"), of_cell(parts)), -(-int((first + parts).max()) // TOGETHER))
     loose = 1.0 if index.bits == 8 else DEVIATIONS / np.sqrt(dims)  # an upper bound of the error by the norms, or its usual size
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = pa.Table.from_batches(list(batches))
-        is_query = np.asarray(data.column("query_id").is_valid())
-        if not is_query.any() or is_query.all():
-            return
-        q, t = data.filter(pa.array(is_query)), data.filter(pa.array(~is_query))
-        cell = t.column("cell").to_numpy()
-        x = index.decode(np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(t), -1), cell)
-        vec, ids, terms, error = _vectors(q.column("vec").combine_chunks(), dims), q.column("query_id").to_numpy(), t.column("term_id").to_numpy(), t.column("error").to_numpy() * loose
-        for at in range(0, len(vec), QUERY_TILE):  # candidates leave tile by tile
-            v = vec[at : at + QUERY_TILE]
-            slack = np.linalg.norm(v, axis=1)[:, None] * error + 1e-9
-            rough = v @ x.T
-            if n < len(index.centroids):
-                asked_cells = np.zeros((len(v), len(index.centroids)), bool)
-                np.put_along_axis(asked_cells, index.nearest(v, n), True, 1)
-                rough[~asked_cells[:, cell]] = -np.inf
-            if not itself:
-                rough[ids[at : at + QUERY_TILE][:, None] == terms] = -np.inf
-            lower, upper = rough - slack, rough + slack
-            edge = np.partition(lower, max(0, len(terms) - k), axis=1)[:, max(0, len(terms) - k)] if len(terms) > k else np.full(len(v), -np.inf)
-            i, j = np.nonzero((upper >= edge[:, None]) & (rough > -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[at + i], terms[j], lower[i, j], upper[i, j])], schema=schema)
-
-    return both.groupBy("group", "block").applyInArrow(meet, "query_id long, term_id long, lower double, upper double")
+    def meet(mine: pa.Table, groups: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        ids, vec = mine.column("query_id").to_numpy(), _vectors(mine.column("vec").combine_chunks(), dims)
+        norm, tiles = np.linalg.norm(vec, axis=1), [slice(at, at + QUERY_TILE) for at in range(0, len(vec), QUERY_TILE)]
+        cells = np.concatenate([_asked(index, vec[rows], n) for rows in tiles]) if n < len(index.centroids) else None
+        best = [pa.table({"query_id": pa.array([], pa.int64()), "term_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}) for _ in tiles]  # rows for ids
+        for t in groups:
+            cell, terms = t.column("cell").to_numpy(), t.column("term_id").to_numpy()
+            x = index.decode(np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(t), -1), cell)
+            theirs = _vectors(t.column("vec").combine_chunks(), dims) if scored else None
+            most = np.linalg.norm(x, axis=1).max()
+            kind = np.float32 if 0 < max(norm.max(), most) < 1e15 else np.float64
+            right, error = x.astype(kind), t.column("error").to_numpy() * loose
+            for p, rows in enumerate(tiles):  # candidates are scored, or leave, tile by tile
+                v = vec[rows]
+                rough = (v.astype(kind) @ right.T).astype(np.float64)
+                if cells is not None:
+                    rough[~cells[rows][:, cell]] = -np.inf
+                if not itself:
+                    rough[ids[rows][:, None] == terms] = -np.inf
+                slack = norm[rows][:, None] * (error + (dims + 8) * 4 * np.finfo(kind).eps * most) + 1e-9
+                if theirs is None:
+                    i, j = _near(rough, slack, _kth_largest(rough - slack, k))
+                    yield pa.table({"query_id": ids[rows][i], "term_id": terms[j], "score": pa.nulls(len(i), pa.float64())})
+                    continue
+                edge = _edge(best[p], len(v), k)
+                new = np.flatnonzero(edge == -np.inf)
+                if len(new) and len(terms) >= k:  # the least true score of any k is at most that of the k-th nearest
+                    top = np.argpartition(rough[new], len(terms) - k, axis=1)[:, len(terms) - k :]
+                    true = exact(v, theirs, np.repeat(new, k), top.ravel()).reshape(-1, k)
+                    edge[new] = np.where(np.take_along_axis(rough[new], top, 1) > -np.inf, true, -np.inf).min(1)
+                i, j = _near(rough, slack, edge)
+                found = pa.table({"query_id": i, "term_id": terms[j], "score": exact(v, theirs, i, j)})
+                best[p] = best_rows(pa.concat_tables([best[p], found]), k)
+        if scored:
+            for rows, b in zip(tiles, best, strict=True):
+                yield b.set_column(0, "query_id", pa.array(ids[rows][b.column("query_id").to_numpy()], pa.int64()))
+
+    return block_pairs(left, right, meet, "query_id long, term_id long, score double")
+
+
+def _asked(index: Index, x: np.ndarray, n: int) -> np.ndarray:
+    """Whether each row asks each cell."""
+    out = np.zeros((len(x), len(index.centroids)), bool)
+    np.put_along_axis(out, index.nearest(x, n), True, 1)
+    return out
+
+
+def _near(rough: np.ndarray, slack: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero((rough + slack >= edge[:, None]) & (rough > -np.inf))
+
+
+def _kth_largest(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each row, -inf where there are no more."""
+    return np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k] if x.shape[1] > k else np.full(len(x), -np.inf)
+
+
+def _edge(best: pa.Table, rows: int, k: int) -> np.ndarray:
+    """The k-th score of each row of queries so far, -inf where it has fewer; sorted by row and score."""
+    out, row = np.full(rows, -np.inf), best.column("query_id").to_numpy()
+    last = np.searchsorted(row, np.arange(rows)) + k - 1
+    has = last < np.searchsorted(row, np.arange(rows), "right")
+    out[has] = best.column("score").to_numpy()[last[has]]
+    return out
 
 
 def search(index: Index, queries: DataFrame, bank: DataFrame, k: int, probes: int | None = None, itself: bool = True) -> DataFrame:
@@ -183,8 +221,4 @@ def search(index: Index, queries: DataFrame, bank: DataFrame, k: int, probes: in
     """
     if k > index.answers:
         raise ValueError(f"the index was built for at most {index.answers} answers")
-    near = _candidates(index, bank.sparkSession, queries, k, probes, itself)
-    edge = F.nth_value("lower", k).over(Window.partitionBy("query_id").orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    near = near.withColumn("edge", edge).where("edge IS NULL OR upper >= edge").select("query_id", "term_id")
-    exact = near.join(bank.select(F.col("term_id").cast("long"), F.col("vec").alias("bv")), "term_id").join(queries.select(F.col("query_id").cast("long"), F.col("vec").alias("qv")), "query_id")
-    return top_k(exact.select("query_id", "term_id", F.round(dot("qv", "bv"), 12).alias("score")), ["query_id"], k)
+    return top_k(_candidates(index, bank.sparkSession, queries, k, probes, itself, bank), ["query_id"], k)

@@ -92,3 +92,20 @@ def test_queries_meet_codes_by_blocks(spark, monkeypatch):
     near = I._candidates(index, spark, q, 7, None, False)
     assert "block" in near._jdf.queryExecution().optimizedPlan().toString()
     assert found(I.search(index, q, b, 7, itself=False)) == brute(x, 7, False)
+
+
+def test_candidates_are_scored_where_their_codes_are(spark, monkeypatch):
+    """What leaves a task are its best answers, not candidates; no query has a row for each group of codes."""
+    monkeypatch.setattr(I, "CELL_ROWS", 60)
+    monkeypatch.setattr(I, "TOGETHER", 3)
+    monkeypatch.setattr(I, "QUERY_ROWS", 100)
+    x = np.random.default_rng(6).normal(size=(400, 5))
+    q, b = frames(spark, x)
+    index = I.build(b, shared_path(spark, "index"), bits=4)
+    groups = int(index.groups.sum(1).max())
+    near = I._candidates(index, spark, q, 7, None, False, b)
+    assert groups > 3 and near.count() <= len(x) * 7 * -(-groups // 3) < I._candidates(index, spark, q, 7, None, False).count()
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    got = found(I.search(index, q, b, 7, itself=False))
+    assert np.mean([len(set(got[i]) & set(w)) / 7 for i, w in brute(x, 7, False).items()]) > 0.99
